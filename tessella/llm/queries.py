@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ranking, splitting
+from tessella.llm import leakage, ranking, reading, splitting
 from tessella.session import table
 
 MODALITIES = ["faiss", "bm25", "rerank"]
@@ -37,5 +37,17 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_texts(spark, d), ["src", "item_id"], "body").dropDuplicates(["src", "item_id", "piece_no"])
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["question", "answer"])
+
+
+def p8_grades(spark: SparkSession, d: str) -> DataFrame:
+    return reading.grade_documents(table(spark, d, "documents"), table(spark, d, "reading_labels"), "doc_id", "text", "grade")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_grades(spark, d).filter("grade >= 4").select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
