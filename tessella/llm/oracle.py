@@ -12,11 +12,25 @@ v AS (SELECT query_id, id, n, (a + b + c) / 3 m, list_sort([a, b, c]) l FROM w)
 """
 
 
+#: Full-width letters and digits and what NFKC makes of them (the only forms the test tables hold).
+WIDE = "".join(chr(c + 0xFEE0) for c in [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
+ASCII = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
+
+
 def oracle_sql() -> dict[str, str]:
+    return {k: v.replace("@WIDE@", WIDE).replace("@ASCII@", ASCII) for k, v in _sql().items()}
+
+
+def _sql() -> dict[str, str]:
     return {
         "p3_found": P3 + "SELECT query_id, id FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(m, 9) DESC, round(l[1], 9) DESC, round(l[2], 9) DESC, round(l[3], 9) DESC, id) <= 5",
         "p3_leximin": P3 + """SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(l[1], 9) DESC, round(l[2], 9) DESC, round(l[3], 9) DESC, id) AS INT) AS position,
             n AS candidates, round(l[1], 6) v1, round(l[2], 6) v2, round(l[3], 6) v3 FROM v QUALIFY position <= 10""",
+        "p4_found": r"""WITH l AS (SELECT id, doc_id, source, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line_no FROM chunks WHERE type = 'text'),
+            n AS (SELECT id, doc_id, source, line_no, regexp_replace(regexp_replace(lower(line_norm), '[^\p{L}\p{N}]+', '', 'g'), '\p{Nd}+', '0', 'g') AS line FROM (SELECT *, translate(line, '@WIDE@', '@ASCII@') AS line_norm FROM l)),
+            t AS (SELECT source, count(DISTINCT doc_id) AS docs FROM chunks GROUP BY 1),
+            g AS (SELECT source, line, count(DISTINCT doc_id) AS docs FROM n WHERE line != '' GROUP BY 1, 2)
+            SELECT DISTINCT id, CAST(line_no AS INT) AS line_no FROM n JOIN g USING (source, line) JOIN t USING (source) WHERE g.docs >= 3 AND g.docs >= 0.1 * t.docs""",
         "p5_found": r"""WITH t AS (SELECT 'chunks' AS src, id AS item_id, content AS body FROM chunks UNION ALL SELECT 'content_list', unit_id, text FROM content_list)
             SELECT DISTINCT src, item_id FROM t WHERE length(trim(regexp_replace(body, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) > 500""",
     }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, ranking, reading, splitting
-from tessella.session import table
+from tessella.llm import leakage, ranking, reading, sitelines, splitting
+from tessella.session import cut, table
 
 MODALITIES = ["faiss", "bm25", "rerank"]
 
@@ -22,6 +22,31 @@ def p3_leximin(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", "id", "position", "candidates", *(F.round(F.col("leximin")[k], 6).alias(f"v{k + 1}") for k in range(3)))
 
 
+def _site(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """chunks, the documents of each source, the lines of the texts (kept in the shared folder, as two passes read them), the frequent ones."""
+    chunks = table(spark, d, "chunks")
+    docs = chunks.filter(F.col("source").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("source").alias("s"), F.xxhash64("doc_id").alias("d"))
+    lines = cut(sitelines.line_table(chunks.filter("type = 'text'"), "id", "doc_id", "source", "content"))
+    return chunks, docs, lines, cut(sitelines.frequent_lines(lines, docs))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    _, _, lines, frequent = _site(spark, d)
+    return sitelines.occurrences(lines, frequent).select(F.col("k").alias("id"), "line_no").distinct()
+
+
+def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
+    _, docs, lines, frequent = _site(spark, d)
+    at = cut(sitelines.occurrences(lines, frequent))
+    return sitelines.prefix_span(at, docs).select(F.col("s").alias("source"), F.size("pattern").alias("length"), "pattern", "support")
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    chunks, _, lines, frequent = _site(spark, d)
+    texts = chunks.filter("type = 'text'").select("id", "doc_id", "source", "content").dropDuplicates(["id"])
+    return sitelines.remove_lines(texts, "id", "content", lines, frequent).drop("content")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("src"), F.col("id").alias("item_id"), F.col("content").alias("body"))
     units = table(spark, d, "content_list").select(F.lit("content_list").alias("src"), F.col("unit_id").alias("item_id"), F.col("text").alias("body"))
