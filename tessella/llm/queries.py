@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, ranking, reading, sitelines, splitting
+from tessella.llm import leakage, packing, ranking, reading, sitelines, splitting
 from tessella.session import cut, table
 
 MODALITIES = ["faiss", "bm25", "rerank"]
@@ -62,6 +62,15 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_texts(spark, d), ["src", "item_id"], "body").dropDuplicates(["src", "item_id", "piece_no"])
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    used = p6_containers(spark, d).filter("tokens > 0").groupBy("container").agg(F.sum("tokens").alias("used"), F.count("*").alias("items"))
+    return used.groupBy((packing.CAPACITY - F.col("used")).alias("unused")).agg(F.count("*").alias("containers"), F.sum("items").alias("items"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["question", "answer"])
 
