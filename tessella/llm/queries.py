@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import leakage, packing, ranking, reading, sitelines, splitting
+from tessella.llm import leakage, markup, packing, ranking, reading, sitelines, splitting
 from tessella.session import cut, table
 
 MODALITIES = ["faiss", "bm25", "rerank"]
 
 
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "content_list").filter("table_body IS NOT NULL").select(F.lit("content_list").alias("src"), F.col("unit_id").alias("item_id"), F.col("table_body").alias("body"))
+    index = table(spark, d, "meta").select(F.lit("meta").alias("src"), F.col("id").alias("item_id"), F.col("raw_content").alias("body"))
+    return units.unionByName(index)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    clean = markup.clean_markup(_marked(spark, d), ["src", "item_id"], "body", only_marked=True)
+    return clean.select("src", "item_id", F.explode("syntaxes").alias("syntax")).distinct()
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_markup(_marked(spark, d), ["src", "item_id"], "body").dropDuplicates(["src", "item_id"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.rank_candidates(table(spark, d, "hits"), "query_id", "id", "modal", "score_raw", MODALITIES, 5, "average").select("query_id", "id")
 
