@@ -6,8 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.operators import units
+from tessella.session import table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.common_values(table(spark, d, "content_list"), table(spark, d, "meta"), table(spark, d, "unit_measures"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
