@@ -42,6 +42,9 @@ ENDS = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th"
 #: Where the search for such an element stops.
 SCOPE = {"li": ("ul", "ol"), "td": ("table",), "th": ("table",), "tr": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 
+#: Elements below this depth stay flat, as in browsers.
+MAX_DEPTH = 150
+
 _NAMES = "|".join(sorted(KNOWN, key=len, reverse=True))
 _TAG = re.compile(rf"<!--.*?-->|<!doctype[^>]*>|<(/?)({_NAMES})((?:\s[^<>]*)?)/?>", re.I | re.S)
 _ESCAPED = re.compile(rf"&lt;(?:!--|/?(?:{_NAMES})(?:\s|/|&gt;))", re.I)
@@ -49,12 +52,13 @@ _ENTITY = re.compile(r"&(?:lt|gt|amp|quot|nbsp|apos|ensp|emsp|thinsp|copy|reg|mi
 
 
 class Node:
-    __slots__ = ("name", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "depth")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.children = name, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def tree(text: str) -> Node:
@@ -83,7 +87,7 @@ def tree(text: str) -> Node:
                 at = up.parent
         node = Node(name, at)
         at.children.append(node)
-        if name not in VOID:
+        if name not in VOID and node.depth < MAX_DEPTH:
             at = node
     if pos < len(text):
         at.children.append(text[pos:])
