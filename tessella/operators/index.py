@@ -16,10 +16,14 @@ from tessella.session import broadcast_if_small
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(rows: DataFrame, index: str, rid: str, text: str) -> DataFrame:
-    """(idx, rid, term, tf, dl) of every row with tokens. dl is taken before terms are exploded; a row's counts are made inside the row."""
+def postings(rows: DataFrame, index: str, rid: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(idx, rid, term, tf, dl) of every row with tokens. dl is taken before terms are exploded; a row's counts are combined in its task.
+
+    only: (term) of a small set; other terms are dropped before the shuffle."""
     tokens = rows.select(F.col(index).alias("idx"), F.col(rid).alias("rid"), tx.bm25_tokens(text).alias("tokens"))
     each = tokens.select("idx", "rid", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if only is not None:
+        each = each.join(broadcast_if_small(only.select("term").distinct()), "term", "left_semi")
     return each.groupBy("idx", "rid", "dl", "term").agg(F.count("*").alias("tf")).select("idx", "rid", "term", "tf", "dl")
 
 
@@ -29,9 +33,14 @@ def index_stats(rows: DataFrame, index: str, text: str) -> DataFrame:
     return rows.groupBy(F.col(index).alias("idx")).agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"))
 
 
-def term_stats(post: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+def document_frequencies(rows: DataFrame, index: str, text: str) -> DataFrame:
+    """(idx, term, df): rows that have the term, without making postings: each row's distinct tokens are combined before the shuffle."""
+    each = rows.select(F.col(index).alias("idx"), F.explode(F.array_distinct(tx.bm25_tokens(text))).alias("term"))
+    return each.groupBy("idx", "term").agg(F.count("*").alias("df"))
+
+
+def term_stats(df: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """(idx, term, df, idf): ln(n - df + 0.5) - ln(df + 0.5), negative ones raised to epsilon times the mean over the index's terms."""
-    df = post.groupBy("idx", "term").agg(F.count("*").alias("df"))
     raw = df.join(broadcast_if_small(stats.select("idx", "n")), "idx").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("idx").agg(F.avg("raw").alias("mean"))
     return raw.join(broadcast_if_small(mean), "idx").select("idx", "term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))

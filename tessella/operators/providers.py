@@ -6,11 +6,11 @@ its own to retry; `retrying` wraps one with attempts and a growing pause.
 
 from __future__ import annotations
 
-import hashlib
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ class Generator(Protocol):
 
 
 class HashedEmbedder:
-    """Counts of hashed characters: equal texts get equal vectors. For tests and offline runs."""
+    """Counts of hashed characters (white space left out): equal texts get equal vectors. For tests and offline runs."""
 
     def __init__(self, size: int = 32):
         self.size = size
@@ -37,10 +37,9 @@ class HashedEmbedder:
     def __call__(self, texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
-            v = [0.0] * self.size
-            for c in t:
-                v[int.from_bytes(hashlib.blake2b(c.encode("utf-8", "replace"), digest_size=2).digest()) % self.size] += 1.0
-            out.append(v)
+            a = np.frombuffer("".join(t.split()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            slot = ((a * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(self.size)
+            out.append(np.bincount(slot.astype(np.int64), minlength=self.size).astype(float).tolist())
         return out
 
 

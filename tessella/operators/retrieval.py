@@ -18,7 +18,7 @@ from pyspark.sql.window import Window as W
 from tessella.functions import text as tx
 from tessella.functions import vector as vec
 from tessella.operators import index as ix
-from tessella.session import broadcast_if_small
+from tessella.session import broadcast_if_small, cut
 
 RRF = 60
 
@@ -83,13 +83,16 @@ def bm25_scores(queries: DataFrame, post: DataFrame, terms: DataFrame, stats: Da
 
 def bm25_top_k(queries: DataFrame, rows: DataFrame, index: str, rid: str, text: str, k: int) -> DataFrame:
     """(query_id, idx, rid, score, rank): the k best rows per sub-index; rows without a match score 0 and fill up to k, the least rid first."""
-    post = ix.postings(rows, index, rid, text)
-    stats = ix.index_stats(rows, index, text)
-    scores = bm25_scores(queries, post, ix.term_stats(post, stats), stats)
+    stats = cut(ix.index_stats(rows, index, text))
+    terms = ix.term_stats(cut(ix.document_frequencies(rows, index, text)), stats)
+    asked = cut(queries.select("query_id", "q"))
+    # only the terms that are asked for need postings
+    post = ix.postings(rows, index, rid, text, asked.select(F.explode(tx.bm25_tokens("q")).alias("term")))
+    scores = bm25_scores(asked, post, terms, stats)
     # among rows that score 0 only the k least rids of a sub-index can be among its k best
     fill = vec.top_k(rows.select(F.col(index).alias("idx"), F.col(rid).alias("rid")).filter("idx IS NOT NULL"), ["idx"], [F.col("rid")], k, "n").drop("n")
     zero = None
-    for ids in blocks_of(queries.select("query_id"), "query_id", 4096):
+    for ids in blocks_of(asked.select("query_id"), "query_id", 4096):
         part = fill.select(F.explode(F.lit([r.query_id for r in ids])).alias("query_id"), "idx", "rid", F.lit(0.0).alias("score"))
         zero = part if zero is None else zero.unionByName(part)
     if zero is None:

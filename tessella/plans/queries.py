@@ -11,9 +11,9 @@ from pyspark.sql.window import Window as W
 from tessella.functions import domain as dm
 from tessella.functions import text as tx
 from tessella.functions import vector as vec
-from tessella.operators import chunking, evaluate, registry, retrieval, tables, units
+from tessella.operators import chunking, evaluate, providers, registry, retrieval, tables, units
 from tessella.operators import index as ix
-from tessella.session import table
+from tessella.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,15 +236,14 @@ def chunk_level(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.length("content").alias("n"), F.md5("content").alias("hash"))
 
 
-def _hashed_vector(c: str, size: int = 16) -> F.Column:
-    """A deterministic vector: how many tokens hash to each slot."""
-    slot = F.transform(tx.bm25_tokens(c), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slot, lambda s: s == i)).cast("double"))
+def _embedded(df: DataFrame, text: str) -> DataFrame:
+    """`df` with the vectors of the offline embedder in `v`."""
+    return providers.embed(df, text, "v", providers.HashedEmbedder(16), 1000)
 
 
 @query
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
-    u = _eval_units(spark, d).filter("body <> ''").withColumn("v", _hashed_vector("body"))
+    u = _embedded(_eval_units(spark, d).filter("body <> ''"), "body")
     c = chunking.strategy_chunks(chunking.semantic_breaks(u, "doc_id", "unit_no", "v"), "doc_id", "unit_no", "body", "semantic", 800, breaks="split_here")
     return c.select("id", F.length("content").alias("n"), F.md5("content").alias("hash"))
 
@@ -252,14 +251,14 @@ def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
 @query
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     """The three strategies as one dimension: chunk statistics and adjacent distances, weighted by chunks."""
-    u = _eval_units(spark, d).filter("body <> ''").withColumn("v", _hashed_vector("body"))
+    u = _embedded(_eval_units(spark, d).filter("body <> ''"), "body")
     split = chunking.semantic_breaks(u, "doc_id", "unit_no", "v")
     made = {"length": chunking.strategy_chunks(u, "doc_id", "unit_no", "body", "length", 800, 200), "level": chunking.strategy_chunks(u, "doc_id", "unit_no", "body", "level", 800, breaks="brk"), "semantic": chunking.strategy_chunks(split, "doc_id", "unit_no", "body", "semantic", 800, breaks="split_here")}
     every = None
     for name, c in made.items():
         c = c.withColumn("strategy", F.lit(name))
         every = c if every is None else every.unionByName(c)
-    every = every.withColumn("g", F.struct("strategy", "doc_id")).withColumn("v", _hashed_vector("content"))
+    every = _embedded(every.withColumn("g", F.struct("strategy", "doc_id")), "content")
     score = evaluate.adjacent_distance(every, "g", "no", "v").select("g.strategy", F.col("segments").alias("chunk_count"), "score", F.lit(0.0).alias("time_sec"))
     r = evaluate.weighted_report(score)
     return r.select("strategy", F.round("avg_score", 6).alias("avg_score"), "avg_time", "total_chunks", "files")
@@ -287,8 +286,7 @@ def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    post = ix.postings(docs, "source", "doc_id", "text")
-    t = ix.term_stats(post, ix.index_stats(docs, "source", "text"))
+    t = ix.term_stats(cut(ix.document_frequencies(docs, "source", "text")), cut(ix.index_stats(docs, "source", "text")))
     return t.select("idx", "term", "df", F.round("idf", 6).alias("idf"))
 
 
