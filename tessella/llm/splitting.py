@@ -83,20 +83,22 @@ def cut_points(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
     back = np.full(m + 1, -1, dtype=np.int64)
     ends = np.append(pos, n)
     cost_at = np.append(penalty, 0.0)
-    for j in range(m + 1):
-        e = int(ends[j])
-        if e <= max_chars:
-            best[j] = cost_at[j] + ((e - ideal) / ideal) ** 2
-        # the piece before ends at i, so this one starts at ends[i] - overlap (never before the text)
-        lo = int(np.searchsorted(ends[:j], e - step))
-        hi = int(np.searchsorted(ends[:j], e, side="left"))
-        if lo < hi:
-            start = np.maximum(ends[lo:hi] - overlap, 0)
-            length = e - start
-            total = best[lo:hi] + cost_at[j] + ((length - ideal) / ideal) ** 2
-            k = int(np.argmin(total))
-            if total[k] < best[j]:
-                best[j], back[j] = total[k], lo + k
+    first = ends <= max_chars
+    best[first] = cost_at[first] + ((ends[first] - ideal) / ideal) ** 2
+    # the piece before ends at i, so this one starts at ends[i] - overlap (never before the text)
+    begin = np.maximum(ends - overlap, 0) + ideal
+    lows = np.searchsorted(ends, ends - step).tolist()
+    scale = 1.0 / ideal
+    for j in range(1, m + 1):
+        lo = lows[j]
+        if lo < j:
+            size = (ends[j] - begin[lo:j]) * scale
+            size *= size
+            size += best[lo:j]
+            k = int(size.argmin())
+            total = size[k] + cost_at[j]
+            if total < best[j]:
+                best[j], back[j] = total, lo + k
     path, j = [], m
     while j >= 0:
         path.append(j)
@@ -115,7 +117,8 @@ def split_oversized(df: DataFrame, key: list[str], text: str, max_chars: int = 5
 
     Texts within the limit stay in the JVM; only oversized ones go through the Python operator.
     """
-    norm = df.select(*key, normalised(F.col(text)).alias("__t")).filter(F.length("__t") > 0)
+    rows = df.filter(F.length(text) > max_chars) if only_oversized else df  # normalising never lengthens a text
+    norm = rows.select(*key, normalised(F.col(text)).alias("__t")).filter(F.length("__t") > 0)
     big = norm.filter(F.length("__t") > max_chars)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in big.select(*key).schema), "piece_no int, pieces int, start int, end int, boundary string, piece string"])
 
