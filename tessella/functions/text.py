@@ -58,7 +58,7 @@ def truncate(c: Column | str, limit: int) -> Column:
 def has_merged_cells(html: Column | str) -> Column:
     """Whether any colspan or rowspan is greater than 1."""
     spans = F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(r"(?i)\b(?:colspan|rowspan)\s*=\s*[\"']?\s*(\d+)"), F.lit(1))
-    return F.exists(spans, lambda x: x.try_cast("bigint") > 1)
+    return F.exists(spans, lambda x: x.rlike(r"^0*(?:[2-9]|[1-9]\d)"))
 
 
 def angle_parts(c: Column | str) -> Column:
