@@ -19,6 +19,7 @@ from tessella.functions import text as tx
 from tessella.functions import vector as vec
 from tessella.operators import chunking, intent, providers, registry, retrieval
 from tessella.operators import index as ix
+from tessella.session import cut
 
 
 @dataclass
@@ -66,7 +67,7 @@ class Engine:
         if not parts:
             raise ValueError("one of the searches must run")
         both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        both = both.withColumnsRenamed({"idx": "index_dir", "score": "score_raw"}).drop("rank")
+        both = cut(both.withColumnsRenamed({"idx": "index_dir", "score": "score_raw"}).drop("rank"))  # k rows per query and sub-index, read twice
         scaled = vec.with_minmax(both, ["query_id", "modal"], "score_raw", "score_norm", True)
         facts = rows.select("index_dir", "rid", "id", "doc_id", "page", "type", "ord", F.col("tbl.id").alias("table_id"), tx.content_of("raw_content", "embed_text").alias("content"))
         return scaled.join(facts, ["index_dir", "rid"])
@@ -88,10 +89,10 @@ class Engine:
             found = ranked.withColumn("score_fused", weight / (retrieval.RRF + F.col("rank"))).drop("rank")
         else:
             raise ValueError("fuse is blend or rrf")
-        pruned = retrieval.prune(found, "score_fused", p.pre_top_k)
+        pruned = cut(retrieval.prune(found, "score_fused", p.pre_top_k))  # at most pre_top_k rows per query
         order = retrieval.W.partitionBy("query_id").orderBy("pre_rank")
         placed = pruned.withColumn("position", F.row_number().over(order) - 1).join(questions, "query_id")
-        best = retrieval.rerank(placed, reranker(placed) if reranker else None, p.rerank_top_k)
+        best = cut(retrieval.rerank(placed, reranker(placed) if reranker else None, p.rerank_top_k))
         hits = best.withColumn("hit_id", F.struct("query_id", "index_dir", "rid"))
         chunks = rows.select("index_dir", "doc_id", "ord", F.col("tbl.id").alias("table_id"), F.col("tbl.row_index").alias("row_index"), tx.content_of("raw_content", "embed_text").alias("content"))
         return retrieval.restore_context(hits, chunks, p.radius).drop("hit_id")

@@ -50,6 +50,14 @@ def walk(node: Any, nested: bool, found: list[dict[str, Any]]) -> list[dict[str,
     return found
 
 
+def _item(i: Any) -> str | None:
+    """The text of a list item: itself, or the first of its fields that is not blank."""
+    if isinstance(i, str):
+        return i
+    fields = [i.get(k) for k in ("text", "content", "value", "raw")] if isinstance(i, dict) else []
+    return next((x for x in fields if isinstance(x, str) and x.strip()), None)
+
+
 def unit_of(n: dict[str, Any], no: int) -> dict[str, Any]:
     """The fields of a node; the first of text, content, value and raw that is not blank becomes the text."""
     texts = [_string(n.get(k)) for k in ("text", "content", "value", "raw")]
@@ -58,7 +66,7 @@ def unit_of(n: dict[str, Any], no: int) -> dict[str, Any]:
     return {
         "unit_no": no, "type": n.get("type"), "page_idx": _string(n.get("page_idx")), "page": _string(n.get("page")),
         "text": next((t for t in texts if t and t.strip()), None), "content": _string(n.get("content")),
-        "items": [s for s in (i if isinstance(i, str) else next((x for k in ("text", "content", "value", "raw") if isinstance(x := i.get(k), str) and x.strip()), "") if isinstance(i, dict) else "" for i in items) if s] if isinstance(items, list) else None,
+        "items": [t for t in map(_item, items) if t] if isinstance(items, list) else None,
         "table_body": _string(n.get("table_body")), "table_text": _string(n.get("table_text")), "text_level": level if isinstance(level, int) else None if level is None else 0,
     }
 
