@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tessella.session import cut, salted_join
+from tessella.session import broadcast_if_small, cut, salted_join
 
 # Units of each dimension as multiples of the common unit (money 元, energy 千瓦时, mass 千克, area 平方米,
 # power 千伏安, time 小时, ratio 基点, length 米), as written after NFKC.
@@ -316,7 +316,9 @@ def to_common(found: DataFrame, key: list[str]) -> DataFrame:
     Records are as long as one text is; figures with stated units never leave the task that read them."""
     found = cut(found)  # read three times, and reading figures is the costly part
     stated = found.filter("factor IS NOT NULL")
-    series = found.groupBy(*key, "measure_id", "dimension").agg(F.array_sort(F.collect_list(F.struct("no", "raw", "factor"))).alias("figures"), F.count_if(F.col("factor").isNull()).alias("open")).filter("open > 0")
+    # only series that have a figure without a unit are gathered
+    without = broadcast_if_small(found.filter("factor IS NULL").select(*key, "measure_id").distinct())
+    series = found.join(without, [*key, "measure_id"], "left_semi").groupBy(*key, "measure_id", "dimension").agg(F.array_sort(F.collect_list(F.struct("no", "raw", "factor"))).alias("figures"))
     levels = stated.filter("cast(raw AS double) <> 0").groupBy("measure_id").agg(F.avg(F.log10(F.abs(F.col("raw").cast("double")) * F.col("factor"))).alias("m"), F.stddev_pop(F.log10(F.abs(F.col("raw").cast("double")) * F.col("factor"))).alias("s"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(*key).schema)
 
