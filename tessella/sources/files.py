@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +108,14 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return read.json(path)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table (a registry, an index), or an empty one with the schema if the folder is missing or holds no readable file."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines in UTF-8; null fields are left out. `append` makes a report that grows, with a run id of the caller."""
     df.write.mode(mode).json(path)

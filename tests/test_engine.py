@@ -30,7 +30,7 @@ def test_search(spark):
     with pytest.raises(ValueError):
         e.candidates(q, rows, Parameters(), dense=False, sparse=False)
     found, what, trace = e.route_and_search("2022年年度报告的电缆", rows, dense=False)
-    assert what.years == [2022] and what.doc_type == "report" and {r.year for r in found.collect()} == {2022} and trace.to_dict()["stages"][0]["name"] == "intent"
+    assert what.years == [2022] and what.doc_type == "report" and all("2022年" in r.doc_id for r in found.collect()) and trace.to_dict()["stages"][0]["name"] == "intent"
     again = e.index(e.chunk(units(spark), "rows"), done=rows.select("index_dir").distinct())
     assert again.count() == 0
 

@@ -31,6 +31,7 @@ def test_lines(spark, tmp_path):
     sf.write_lines(df.limit(1), str(out), "append")
     text = "".join(f.read_text(encoding="utf-8") for f in out.glob("*.json"))
     assert text.count("\n") == 4 and "字" in text and "null" not in text
+    assert sf.read_or_empty(spark, str(tmp_path / "missing"), sf.TABLE).count() == 0
     sf.write_json(df.select("id"), str(tmp_path / "j"))
     assert sorted(line for f in (tmp_path / "j").glob("part*") for line in f.read_text().splitlines()) == ['{"id":"1"}', '{"id":"2"}', '{"id":"3"}']
 
