@@ -32,17 +32,26 @@ def queries() -> dict[str, Query]:
 # inputs
 
 
-def content_list(spark: SparkSession, d: str) -> DataFrame:
-    """Each unit once, the latest delivery."""
-    return chunking.latest_by_key(table(spark, d, "content_list"), ["unit_id"], "loaded_at")
+def once(df: DataFrame, key: str, version: str, cols: tuple[str, ...]) -> DataFrame:
+    """Each key once, the latest delivery. Only the columns asked for are read and shuffled."""
+    return chunking.latest_by_key(df.select(*dict.fromkeys([key, *cols, version])), [key], version)
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.latest_by_key(table(spark, d, "chunks"), ["id"], "loaded_at")
+def content_list(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return once(table(spark, d, "content_list"), "unit_id", "loaded_at", cols)
 
 
-def meta(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.latest_by_key(table(spark, d, "meta"), ["id"], "loaded_at")
+def chunks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return once(table(spark, d, "chunks"), "id", "loaded_at", cols)
+
+
+def meta(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return once(table(spark, d, "meta"), "id", "loaded_at", cols)
+
+
+#: What chunk assembly and the evaluation read of a unit.
+UNIT = ("doc_id", "unit_no", "type", "page_idx", "page", "text", "content", "items", "table_body", "table_text")
+EVAL_UNIT = ("doc_id", "unit_no", "type", "text", "content", "items", "table_text", "text_level")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -87,28 +96,28 @@ def bm25_tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def strip_html(spark: SparkSession, d: str) -> DataFrame:
-    return meta(spark, d).select("id", tx.strip_html("raw_content").alias("plain"))
+    return meta(spark, d, "raw_content").select("id", tx.strip_html("raw_content").alias("plain"))
 
 
 @query
 def merged_cell_flag(spark: SparkSession, d: str) -> DataFrame:
-    return content_list(spark, d).filter("table_body IS NOT NULL").select("unit_id", tx.has_merged_cells("table_body").alias("merged"))
+    return content_list(spark, d, "table_body").filter("table_body IS NOT NULL").select("unit_id", tx.has_merged_cells("table_body").alias("merged"))
 
 
 @query
 def content_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return meta(spark, d).select("id", F.length(tx.content_of("embed_text", "raw_content")).alias("n"))
+    return meta(spark, d, "embed_text", "raw_content").select("id", F.length(tx.content_of("embed_text", "raw_content")).alias("n"))
 
 
 @query
 def unit_text(spark: SparkSession, d: str) -> DataFrame:
-    u = content_list(spark, d).filter(F.col("type").isin(*chunking.KINDS) & (F.col("type") != "table"))
+    u = content_list(spark, d, "type", "page_idx", "page", "text", "content", "items").filter(F.col("type").isin(*chunking.KINDS) & (F.col("type") != "table"))
     return u.select("unit_id", tx.page_number("page_idx", "page").alias("page_no"), chunking.unit_text().alias("body"))
 
 
 @query
 def unit_text_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    u = content_list(spark, d).filter(F.col("type").isin(*chunking.KINDS))
+    u = content_list(spark, d, *EVAL_UNIT).filter(F.col("type").isin(*chunking.KINDS))
     return u.select("unit_id", chunking.eval_unit_text().alias("body")).filter("body <> ''")
 
 
@@ -146,7 +155,7 @@ def angle_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def truncate_context(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("id", tx.truncate("content", 40).alias("short"))
+    return chunks(spark, d, "content").select("id", tx.truncate("content", 40).alias("short"))
 
 
 @query
@@ -174,13 +183,13 @@ def textify_no_header(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def textify_tables(spark: SparkSession, d: str) -> DataFrame:
-    t = content_list(spark, d).filter("table_body IS NOT NULL")
+    t = content_list(spark, d, "table_body").filter("table_body IS NOT NULL")
     return tables.textify(t, "table_body", "body").select("unit_id", "body")
 
 
 @query
 def textify_resumed(spark: SparkSession, d: str) -> DataFrame:
-    t = content_list(spark, d).filter("table_body IS NOT NULL")
+    t = content_list(spark, d, "table_body", "table_text").filter("table_body IS NOT NULL")
     done = tables.textify(t, "table_body", "body", earlier=F.col("table_text"))
     return done.select("unit_id", tx.non_blank("table_text").isNotNull().alias("reused"), F.md5("body").alias("hash"))
 
@@ -196,25 +205,25 @@ def chunk_pack_500(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunks_rows(spark: SparkSession, d: str) -> DataFrame:
-    c = chunking.assemble(content_list(spark, d), "rows")
+    c = chunking.assemble(content_list(spark, d, *UNIT), "rows")
     return c.select("id", "doc_id", "type", "page", "content", "ord", F.col("tbl.id").alias("table_id"), "tbl.seq", "tbl.row_index", "tbl.digest")
 
 
 @query
 def chunks_html(spark: SparkSession, d: str) -> DataFrame:
-    c = chunking.assemble(content_list(spark, d), "html")
+    c = chunking.assemble(content_list(spark, d, *UNIT), "html")
     return c.select("id", "doc_id", "type", "page", "content", "ord", F.col("tbl.id").alias("table_id"), "tbl.seq", "tbl.part", "tbl.parts")
 
 
 @query
 def tables_index(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.tables_index(content_list(spark, d), "rows").select("id", "doc_id", "page", "seq", "digest")
+    return chunking.tables_index(content_list(spark, d, "doc_id", "unit_no", "type", "page_idx", "page", "table_body", "table_text"), "rows").select("id", "doc_id", "page", "seq", "digest")
 
 
 @query
 def interleave_islands(spark: SparkSession, d: str) -> DataFrame:
     """Runs of units between tables: how many units and characters each has."""
-    u = content_list(spark, d).filter(F.col("type").isin(*chunking.KINDS))
+    u = content_list(spark, d, "doc_id", "unit_no", "type").filter(F.col("type").isin(*chunking.KINDS))
     seq = u.withColumn("island", F.sum((F.col("type") == "table").cast("int")).over(W.partitionBy("doc_id").orderBy("unit_no")))
     return seq.filter("type <> 'table'").groupBy("doc_id", "island").agg(F.count("*").alias("units"), F.min("unit_no").alias("first"), F.max("unit_no").alias("last"))
 
@@ -226,7 +235,7 @@ def chunk_length_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _eval_units(spark: SparkSession, d: str) -> DataFrame:
-    u = content_list(spark, d).filter(F.col("type").isin(*chunking.KINDS))
+    u = content_list(spark, d, *EVAL_UNIT).filter(F.col("type").isin(*chunking.KINDS))
     return u.select("doc_id", "unit_no", chunking.eval_unit_text().alias("body"), F.col("text_level").isNotNull().alias("brk"))
 
 
@@ -266,13 +275,13 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = evaluate.chunk_stats(chunks(spark, d), ["source", "type"], "content")
+    s = evaluate.chunk_stats(chunks(spark, d, "source", "type", "content"), ["source", "type"], "content")
     return s.select("source", "type", "chunk_count", F.round("avg_chunk_len", 6).alias("avg_chunk_len"))
 
 
 @query
 def table_counts(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.table_counts(content_list(spark, d))
+    return evaluate.table_counts(content_list(spark, d, "doc_id", "type", "table_text"))
 
 
 # indexes and search
@@ -362,14 +371,14 @@ def dedup_pretopk(spark: SparkSession, d: str) -> DataFrame:
 def post_filter_page(spark: SparkSession, d: str) -> DataFrame:
     """Pages are filtered after scaling and ranking, so ranks keep their gaps."""
     ranked = retrieval.modal_rank(two_modes(spark, d))
-    pages = meta(spark, d).select("id", "page")
+    pages = meta(spark, d, "page").select("id", "page")
     return retrieval.page_filter(ranked.join(pages, "id"), 2, 3).select("query_id", "modal", "id", "page", "rank")
 
 
 def _for_rerank(spark: SparkSession, d: str) -> DataFrame:
     p = retrieval.prune(_with_table(_blended(spark, d)), "score_blend", 30)
     placed = p.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy("pre_rank")) - 1)
-    texts = meta(spark, d).select("id", tx.content_of("raw_content", "embed_text").alias("content"), "page", "type", "doc_id", "ord")
+    texts = meta(spark, d, "raw_content", "embed_text", "page", "type", "doc_id", "ord").select("id", tx.content_of("raw_content", "embed_text").alias("content"), "page", "type", "doc_id", "ord")
     return placed.join(texts, "id").join(table(spark, d, "queries").select("query_id", "query_text"), "query_id")
 
 
@@ -388,7 +397,7 @@ def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("id", F.col("source").alias("index_dir"), "doc_id", "ord", F.col("tbl.id").alias("table_id"), F.col("tbl.row_index").alias("row_index"), "content", "page", "type")
+    return chunks(spark, d, "source", "doc_id", "ord", "tbl", "content", "page", "type").select("id", F.col("source").alias("index_dir"), "doc_id", "ord", F.col("tbl.id").alias("table_id"), F.col("tbl.row_index").alias("row_index"), "content", "page", "type")
 
 
 def _restored(spark: SparkSession, d: str, radius: int) -> DataFrame:
@@ -446,12 +455,12 @@ def usage_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.latest_by_key(table(spark, d, "doc_registry"), ["doc_id"], "loaded_at").select("doc_id", "doc_type", "year", "quarter", "source_date")
+    return once(table(spark, d, "doc_registry"), "doc_id", "loaded_at", ("doc_type", "year", "quarter", "source_date")).select("doc_id", "doc_type", "year", "quarter", "source_date")
 
 
 @query
 def registry_docs(spark: SparkSession, d: str) -> DataFrame:
-    return registry.document_registry(registry.first_rows(meta(spark, d)))
+    return registry.document_registry(registry.first_rows(meta(spark, d, "index_dir", "rid", "doc_id", "doc_meta")))
 
 
 @query
@@ -462,7 +471,7 @@ def registry_type_year(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_registry_enrich(spark: SparkSession, d: str) -> DataFrame:
-    first = registry.document_registry(registry.first_rows(meta(spark, d)))
+    first = registry.document_registry(registry.first_rows(meta(spark, d, "index_dir", "rid", "doc_id", "doc_meta")))
     return registry.enrich(first, _docs(spark, d))
 
 
