@@ -103,6 +103,25 @@ PACK = f"""WITH RECURSIVE u AS (SELECT doc_id, row_number() OVER (PARTITION BY d
         FROM f JOIN u ON u.doc_id = f.doc_id AND u.i = f.i + 1)
     SELECT doc_id, CAST(no AS INT) AS no, length(string_agg(body, chr(10) ORDER BY i)) AS n, md5(string_agg(body, chr(10) ORDER BY i)) AS hash FROM f JOIN u USING (doc_id, i) GROUP BY doc_id, no"""
 
+ROWS = f"""WITH RECURSIVE k AS (SELECT *, {PAGE} AS p, CASE WHEN type = 'table' THEN coalesce(table_text, '') ELSE {UNIT_TEXT} END AS body, CAST(sum(CASE WHEN type = 'table' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY unit_no) AS INT) AS seq
+        FROM {UNITS} WHERE type IN {KINDS}),
+    u AS (SELECT doc_id, seq, p, body, row_number() OVER (PARTITION BY doc_id, seq ORDER BY unit_no) AS i FROM k WHERE type <> 'table' AND body <> ''),
+    f AS (SELECT doc_id, seq, i, CAST(0 AS BIGINT) AS no, CAST(length(body) AS BIGINT) AS size, length(body) > 500 AS alone FROM u WHERE i = 1
+        UNION ALL SELECT u.doc_id, u.seq, u.i, CASE WHEN f.alone OR length(u.body) > 500 OR f.size + 1 + length(u.body) > 500 THEN f.no + 1 ELSE f.no END,
+            CASE WHEN f.alone OR length(u.body) > 500 OR f.size + 1 + length(u.body) > 500 THEN length(u.body) ELSE f.size + 1 + length(u.body) END, length(u.body) > 500
+        FROM f JOIN u ON u.doc_id = f.doc_id AND u.seq = f.seq AND u.i = f.i + 1),
+    t AS (SELECT doc_id, 2 * seq + 1 AS place, no AS sub, 'text' AS type, arg_min(p, i) FILTER (p IS NOT NULL) AS page, string_agg(body, chr(10) ORDER BY i) AS content, CAST(NULL AS INT) AS s, CAST(NULL AS INT) AS r, CAST(NULL AS VARCHAR) AS digest FROM f JOIN u USING (doc_id, seq, i) GROUP BY doc_id, seq, no),
+    l AS (SELECT doc_id, seq, p, sha1({space('body')}) AS digest, list_filter(list_transform(string_split(body, chr(10)), lambda x: {space('x')}), lambda x: x <> '') AS parts FROM k WHERE type = 'table'),
+    r AS (SELECT doc_id, 2 * seq AS place, unnest(range(len(parts))) AS sub, 'table_row' AS type, p AS page, unnest(parts) AS content, seq AS s, CAST(unnest(range(1, len(parts) + 1)) AS INT) AS r, digest FROM l),
+    a AS (SELECT * FROM t UNION ALL SELECT * FROM r),
+    b AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, sub) AS INT) AS ord, CAST(sum(CASE WHEN type = 'text' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place, sub) AS INT) AS idx FROM a)
+    SELECT doc_id || coalesce('#p' || page, '') || CASE WHEN type = 'text' THEN '#c' || idx ELSE '#t' || s || '#r' || r END AS id, doc_id, type, page, content, ord, CASE WHEN s IS NOT NULL THEN doc_id || coalesce('::p' || page, '') || '::t' || s END AS table_id, s AS seq, r AS row_index, digest FROM b"""
+
+HTML = ROWS[: ROWS.index("    l AS (")].replace("coalesce(table_text, '')", "coalesce(table_body, '')").replace("CAST(NULL AS VARCHAR) AS digest", "CAST(NULL AS INT) AS n") + f"""    l AS (SELECT doc_id, seq, p, CASE WHEN {space('body')} = '' THEN [] WHEN length(body) <= 4000 THEN [body] ELSE [body[1:length(body) // 2], body[length(body) // 2 + 1:]] END AS parts FROM k WHERE type = 'table'),
+    r AS (SELECT doc_id, 2 * seq AS place, unnest(range(len(parts))) AS sub, 'table' AS type, p AS page, unnest(parts) AS content, seq AS s, CAST(unnest(range(1, len(parts) + 1)) AS INT) AS r, CAST(len(parts) AS INT) AS n FROM l),
+    a AS (SELECT * FROM t UNION ALL SELECT * FROM r), b AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, sub) AS INT) AS ord FROM a)
+    SELECT doc_id || coalesce('#p' || page, '') || '#c' || ord AS id, doc_id, type, page, content, ord, CASE WHEN s IS NOT NULL THEN doc_id || coalesce('::p' || page, '') || '::t' || s END AS table_id, s AS seq, r AS part, n AS parts FROM b"""
+
 #: Units of the chunking evaluation, oversize ones cut: each part is a chunk of its own.
 LEVEL = f"""WITH RECURSIVE e AS (SELECT doc_id, unit_no, {EVAL_TEXT} AS body, text_level IS NOT NULL AS brk FROM {UNITS} WHERE type IN {KINDS}),
     u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS i FROM e WHERE body <> ''),
@@ -199,6 +218,8 @@ def oracle_sql() -> dict[str, str]:
         "textify_simple_table": "SELECT n_nationkey, '国家: ' || n_name || '，列2: ' || n_nationkey || CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE '，区域: ' || r_name END || '。' AS body FROM nation JOIN region ON n_regionkey = r_regionkey",
         "textify_no_header": "SELECT r_regionkey, '列1: ' || r_name || '。' || chr(10) || '列1: ' || r_regionkey || '.' AS body FROM region",
         "chunk_pack_500": PACK,
+        "chunks_rows": ROWS,
+        "chunks_html": HTML,
         "tables_index": f"""SELECT doc_id || CASE WHEN p IS NOT NULL THEN '::p' || p ELSE '' END || '::t' || seq AS id, doc_id, p AS page, seq, sha1({space("coalesce(table_text, '')")}) AS digest
             FROM (SELECT *, {PAGE} AS p, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS INT) AS seq FROM {UNITS} WHERE type = 'table')""",
         "interleave_islands": f"""SELECT doc_id, island, count(*) AS units, min(unit_no) AS first, max(unit_no) AS last FROM (SELECT *, CAST(sum(CASE WHEN type = 'table' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY unit_no) AS BIGINT) AS island
