@@ -351,7 +351,7 @@ class Converter:
         if "**" in text:
             text = drop(r"\*\*(?=[^\s*])([^\n]*?[^\s*])\*\*", r"\1", "markdown", text)
         if "__" in text:
-            text = drop(r"(?<![A-Za-z0-9_])__(?=[^\s_])([^_\n]*[^\s_])__(?![A-Za-z_])", r"\1", "markdown", text)
+            text = drop(r"(?<![A-Za-z0-9_])__(?=[^\s_])([^_\n]*[^\s_])__(?!_)", r"\1", "markdown", text)
         if "~~" in text:
             text = drop(r"~~(?=[^\s~])([^~\n]+?)~~", r"\1", "markdown", text)
         if "\\" in text:

@@ -10,6 +10,7 @@ CASES = [
     ("<pre><code>for x in rows:\n    keep(x &gt; 1)</code></pre>", "for x in rows:\n    keep(x > 1)", ["html"]),
     ("# 标题 #\n\n* 一\n+ 二\n\n> 引用[链](https://a.example/x)", "标题\n\n- 一\n- 二\n\n引用链", ["markdown"]),
     ("标题\n======\n\n文`码`字__粗__5", "标题\n\n文码字粗5", ["markdown"]),
+    ("__研发投入__CNY 1 mn，接__口变量__a_b_c", "研发投入CNY 1 mn，接口变量a_b_c", ["markdown"]),
     ("```\nlimit=40\n# no heading\n```", "limit=40\n# no heading", ["markdown"]),
     ("| a | b |\n| :--- | --- |\n| 1 | 2 |", "a | b\n1 | 2", ["markdown"]),
     ("== 标题 ==\n: 一\n:: 二\n** 三\n'''粗'''与''斜''[[词条|链]][[Category:公告]]", "标题\n一\n二\n- 三\n粗与斜链", ["wiki"]),
