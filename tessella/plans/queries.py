@@ -72,7 +72,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 def hits(spark: SparkSession, d: str) -> DataFrame:
     """Candidates once each, with the root of their sub-index cut off; null scores are left out, as an index returns none."""
     key = ["query_id", "modal", "index_dir", "rid"]
-    one = chunking.latest_by_key(table(spark, d, "hits"), key, "run_at")
+    one = chunking.latest_by_key(table(spark, d, "hits").drop("score_norm"), key, "run_at")
     return one.filter("score_raw IS NOT NULL")
 
 
@@ -397,7 +397,7 @@ def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d, "source", "doc_id", "ord", "tbl", "content", "page", "type").select("id", F.col("source").alias("index_dir"), "doc_id", "ord", F.col("tbl.id").alias("table_id"), F.col("tbl.row_index").alias("row_index"), "content", "page", "type")
+    return chunks(spark, d, "source", "doc_id", "ord", "tbl", "content").select("id", F.col("source").alias("index_dir"), "doc_id", "ord", F.col("tbl.id").alias("table_id"), F.col("tbl.row_index").alias("row_index"), "content")
 
 
 def _restored(spark: SparkSession, d: str, radius: int) -> DataFrame:
