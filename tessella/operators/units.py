@@ -366,6 +366,7 @@ def content_list_figures(units: DataFrame, rows: list[tuple[int, str, str, str]]
     """The figures of the tables of content_list: statements come from the text unit before a table and from earlier units."""
     texts = units.filter("type <> 'table'").select("doc_id", "unit_no", _body("text", "content").alias("t")).filter(F.col("t").rlike("单位|列示|填列|计量"))
     said = texts.select("doc_id", "unit_no", statements("t").alias("s")).select("doc_id", "unit_no", "s.document", "s.next").filter("document IS NOT NULL OR next IS NOT NULL")
+    said = cut(said)  # few rows, read twice; else the texts would be searched again for each use
     tables = units.filter("type = 'table' AND table_text IS NOT NULL").select("unit_id", "doc_id", "unit_no", "table_text")
     # a row of a statement carries it; a table takes the one of the unit right before it and the latest of the document
     both = tables.withColumn("document", F.lit(None).cast("long")).withColumn("next", F.lit(None).cast("long")).unionByName(said.select(F.lit(None).cast("string").alias("unit_id"), "doc_id", "unit_no", F.lit(None).cast("string").alias("table_text"), "document", "next"))
