@@ -399,8 +399,9 @@ def convert(text: str | None) -> tuple[str | None, list[str]]:
     return clean, sorted(c.syntaxes)
 
 
-#: Java regex of what any notation above needs; texts without it are clean already.
-SIGNS = r"[<*#_`\\$|]|&[a-zA-Z#]|\[\[|\]\(|\{\{|''|~~|(?m)^[ \t]*(?:[-+>:;] |={2,})"
+#: Java regex of what any notation above needs; texts without it are clean already. It is wider than the patterns of
+#: `lines` and `inline`: a line sign counts alone, behind any white space that `str.strip` takes off.
+SIGNS = r"[<*#_`\\$|\ue000-\ue002]|&[a-zA-Z#]|\[\[|\]\(|\[https?://|\{\{|''|~~|(?mU)^(?:[^\S\n\r]|[\x1c-\x1f])*+(?:[-+>:;]|={2,})"
 
 
 def clean_markup(df: DataFrame, key: list[str], text: str, only_marked: bool = False) -> DataFrame:

@@ -59,3 +59,14 @@ def test_frame(spark):
     got = sorted((r.id, len(r.clean or "") if r.clean is not None else None, list(r.syntaxes)) for r in mk.clean_markup(df, ["id"], "t").collect())
     assert got == [("a", 1, ["html"]), ("a", 1, ["html"]), ("b", None, []), ("c", 0, []), ("d", 200000, []), ("e", 200000, ["html"])]
     assert mk.clean_markup(df.limit(0), ["id"], "t").count() == 0
+
+
+ALONE = [":: 一", ":::\t一", ";术语: 义", "; 术语: 义", ">> 引", ">  引", "-\t项", "+\t项", "标题\n---", "标题\n===", "文\r:: 一", "\u3000: 一", "\x1c- 项", "见[https://a.example/x 链接]处", "\ue000: 一"]
+
+
+def test_every_notation_passes_the_prefilter(spark):
+    raws = ALONE + [raw for raw, _, _ in CASES]
+    df = spark.createDataFrame(list(enumerate(raws)), "id int, t string")
+    got = {r.id: (r.clean, list(r.syntaxes)) for r in mk.clean_markup(df, ["id"], "t", only_marked=True).collect()}
+    want = {i: mk.convert(raw) for i, raw in enumerate(raws) if mk.convert(raw)[1]}
+    assert {i: got.get(i) for i in want} == want and len(want) == len(raws) - 1  # `;` without a space is none
