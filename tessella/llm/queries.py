@@ -37,11 +37,11 @@ def p3_leximin(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", "id", "position", "candidates", *(F.round(F.col("leximin")[k], 6).alias(f"v{k + 1}") for k in range(3)))
 
 
-def _site(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _site(spark: SparkSession, d: str, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """chunks, the documents of each source, the lines of the texts (kept in the shared folder, as two passes read them), the frequent ones."""
     chunks = table(spark, d, "chunks")
     docs = chunks.filter(F.col("source").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("source").alias("s"), F.xxhash64("doc_id").alias("d"))
-    lines = cut(sitelines.line_table(chunks.filter("type = 'text'"), "id", "doc_id", "source", "content"))
+    lines = cut(sitelines.line_table(chunks.filter("type = 'text'"), "id", "doc_id", "source", "content", order))
     return chunks, docs, lines, cut(sitelines.frequent_lines(lines, docs))
 
 
@@ -51,7 +51,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
-    _, docs, lines, frequent = _site(spark, d)
+    _, docs, lines, frequent = _site(spark, d, "ord")
     at = cut(sitelines.occurrences(lines, frequent))
     return sitelines.prefix_span(at, docs).select(F.col("s").alias("source"), F.size("pattern").alias("length"), "pattern", "support")
 

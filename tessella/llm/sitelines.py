@@ -10,8 +10,9 @@ is deleted from the documents.
 * `frequent_lines` is the first PrefixSpan step: support is counted in distinct documents, combined
   before the shuffle; (source, line) keys are spread by their hash, so that a source with a third of all
   rows is no hot group.
-* `prefix_span` grows the patterns: each step joins the projected occurrences (document, position) of a
-  pattern with the frequent lines behind it. Only frequent lines take part.
+* `prefix_span` grows the patterns over one sequence for each document of a source, its texts in order: each step
+  extends a pattern by the frequent lines in what is left of the document behind its first occurrence, until no
+  pattern is frequent. Lines may stand between; only frequent lines take part.
 * `remove_lines` cuts the occurrences. By the Apriori property every line of a frequent sequence
   is a frequent single line with at least the sequence's support, so that the occurrences of frequent sequences are
   those of the frequent single lines.
@@ -80,17 +81,18 @@ def line_ids(texts: list[str | None]) -> list[np.ndarray]:
     return np.split(h.view(np.int64), np.cumsum(per)[:-1])
 
 
-def line_table(df: DataFrame, key: str, doc: str, source: str, text: str) -> DataFrame:
-    """(key, source, document hash, array of line identifiers) of every text that is not null."""
+def line_table(df: DataFrame, key: str, doc: str, source: str, text: str, order: str | None = None) -> DataFrame:
+    """(key, source, document hash, array of line identifiers) of every text that is not null; with `order` also its place `o` in the document."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     ready = df.filter(F.col(text).isNotNull() & F.col(source).isNotNull() & F.col(doc).isNotNull())
-    ready = ready.select(F.col(key).alias("k"), F.col(source).alias("s"), F.xxhash64(doc).alias("d"), F.col(text).alias("t"))
+    place = [F.col(order).alias("o")] if order else []
+    ready = ready.select(F.col(key).alias("k"), F.col(source).alias("s"), F.xxhash64(doc).alias("d"), *place, F.col(text).alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"k": pdf["k"], "s": pdf["s"], "d": pdf["d"], "lines": line_ids(pdf["t"].tolist())})
+            yield pdf.drop(columns="t").assign(lines=line_ids(pdf["t"].tolist()))
 
-    return ready.mapInPandas(run, f"k {kinds[key]}, s {kinds[source]}, d long, lines array<long>")
+    return ready.mapInPandas(run, f"k {kinds[key]}, s {kinds[source]}, d long, {f'o {kinds[order]}, ' if order else ''}lines array<long>")
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -104,32 +106,49 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS,
 
 
 def occurrences(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(k, s, d, line_no, line) of every occurrence of a frequent line.
+    """(k, s, d, o if `lines` has it, line_no, line) of every occurrence of a frequent line.
 
     A frequent line is in a tenth of its source's documents, so their number is bounded by ten times the
     lines of a document for each source; it is broadcast only if it is small all the same."""
-    each = lines.select("k", "s", "d", F.posexplode("lines").alias("line_no", "line")).filter("line != 0")
+    each = lines.select(*(c for c in lines.columns if c != "lines"), F.posexplode("lines").alias("line_no", "line")).filter("line != 0")
     return each.join(broadcast_if_small(frequent.select("s", "line")), ["s", "line"])
 
 
-def prefix_span(at: DataFrame, docs: DataFrame, max_length: int = 3, max_gap: int = 1, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(s, pattern, support): frequent sequences of up to `max_length` lines, neighbours at most `max_gap` lines apart in a text.
+def prefix_span(at: DataFrame, docs: DataFrame, max_length: int | None = None, max_gap: int | None = None, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(s, pattern, support): all frequent sequences of lines over the documents of each source.
 
-    at: `occurrences`. Every step extends the occurrences of the frequent patterns by the frequent lines
-    behind them; the projection of a pattern is kept as (text, position of its end)."""
+    at: `occurrences`. A document is the sequence of its frequent lines, texts ordered by `o` (nulls last), then key.
+    The projection of a pattern on a document is what is left behind its first occurrence. Options, off by default:
+    `max_length` lines, and neighbours at most `max_gap` lines apart in one text (then every occurrence is kept).
+    The result holds all subsequences of a frequent sequence: n different lines common to enough documents give 2^n - 1."""
     total = broadcast_if_small(cut(docs.distinct().groupBy("s").agg(F.count("*").alias("docs"))))
-    items = at.select("k", "s", "d", "line_no", "line").distinct()
-    here = items.select("k", "s", "d", F.col("line_no").alias("end"), F.array("line").alias("pattern"))
-    found = None
-    for length in range(1, max_length + 1):
-        support = here.select("s", "d", "pattern").distinct().groupBy("s", "pattern").agg(F.count("*").alias("support"))
+    place = F.col("o") if "o" in at.columns else F.lit(None).cast("int")
+    line = F.struct(place.isNull().alias("last"), place.alias("o"), "k", "line_no", "line")
+    sequences = at.groupBy("s", "d").agg(F.array_sort(F.collect_set(line)).alias("rest"))
+    thin = (lambda x: x["line"]) if max_gap is None else (lambda x: F.struct(x["k"].alias("k"), x["line_no"].alias("line_no"), x["line"].alias("line")))
+    here = cut(sequences.select("s", "d", F.array().cast("array<long>").alias("pattern"), F.transform("rest", thin).alias("rest")))
+    found, length = None, 0
+    while max_length is None or length < max_length:
+        length += 1
+        if max_gap is None:
+            step = here.select("s", "d", "pattern", "rest", F.explode(F.array_distinct("rest")).alias("line"))
+            step = step.withColumn("i", F.array_position("rest", F.col("line")))
+        else:
+            step = here.select("*", F.posexplode("rest").alias("i", "x"))
+            if length > 1:
+                step = step.filter((F.col("x.k") == F.col("end.k")) & (F.col("x.line_no") - F.col("end.line_no") <= max_gap))
+            step = step.withColumn("line", F.col("x.line")).withColumn("i", F.col("i") + 1).withColumn("end", F.col("x"))
+        behind = F.slice("rest", F.col("i").cast("int") + 1, F.greatest(F.size("rest") - F.col("i").cast("int"), F.lit(0)))
+        step = step.select("s", "d", F.concat("pattern", F.array("line")).alias("pattern"), behind.alias("rest"), *(["end"] if max_gap is not None else []))
+        # without a gap a document has one projection of a pattern, so that rows are documents
+        holders = step.select("s", "pattern") if max_gap is None else step.select("s", "d", "pattern").distinct()
+        support = holders.groupBy("s", "pattern").agg(F.count("*").alias("support"))
         good = cut(support.join(total, "s").filter((F.col("support") >= min_docs) & (F.col("support") >= F.ceil(F.col("docs") * F.lit(min_share) - F.lit(1e-9)))).select("s", "pattern", "support"))
         found = good if found is None else found.unionByName(good)
-        if length == max_length or good.isEmpty():
+        if good.isEmpty():
             break
-        ends = here.join(broadcast_if_small(good.select("s", "pattern")), ["s", "pattern"])
-        nexts = items.select("k", F.col("line_no").alias("next"), "line", F.explode(F.transform(F.sequence(F.lit(1), F.lit(max_gap)), lambda g: F.col("line_no") - g)).alias("end"))
-        here = ends.join(nexts, ["k", "end"]).select("k", "s", "d", F.col("next").alias("end"), F.concat("pattern", F.array("line")).alias("pattern"))
+        left = step.filter(F.size("rest") > 0).join(broadcast_if_small(good.select("s", "pattern")), ["s", "pattern"])
+        here = cut(left if max_gap is None else left.dropDuplicates(["s", "d", "pattern", "end"]))
     return found
 
 

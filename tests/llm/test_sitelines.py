@@ -1,6 +1,7 @@
 import re
 import unicodedata
 from collections import defaultdict
+from itertools import combinations
 
 from tessella.llm import sitelines as sl
 
@@ -76,3 +77,30 @@ def test_empty(spark):
     df, docs, lines, frequent = frames(spark, [("x", "y", "z", None)])
     assert lines.count() == 0 and frequent.count() == 0 and sl.occurrences(lines, frequent).count() == 0
     assert sl.remove_lines(df, "id", "content", lines, frequent).first().clean is None
+
+
+def test_prefix_span_over_whole_documents(spark):
+    """Four lines with bodies and blanks between, over two chunks whose ids are not in document order; all against brute force."""
+    data = []
+    for d in range(4):
+        data += [(f"z{d}", f"d{d}", "a", 1, f"首行\n正文{chr(0x4E00 + d)}\n\n次行"), (f"y{d}", f"d{d}", "a", 2, f"三行\n首行\n段{chr(0x5000 + d)}\n末行{d}")]
+    data += [("x", "d9", "a", 1, "末行1\n首行"), ("w", "d8", "a", None, "次行"), ("v", "d8", "a", 5, "首行")]
+    df = spark.createDataFrame(data + data[:3], "id string, doc_id string, source string, ord int, content string")
+    docs = df.select(sl.F.col("source").alias("s"), sl.F.xxhash64("doc_id").alias("d"))
+    lines = sl.cut(sl.line_table(df, "id", "doc_id", "source", "content", "ord"))
+    at = sl.cut(sl.occurrences(lines, sl.frequent_lines(lines, docs)))
+    got = [(tuple(r.pattern), r.support) for r in sl.prefix_span(at, docs).collect()]
+
+    name = {x: int(sl.line_ids([x])[0][0]) for x in ("首行", "次行", "三行", "末行1")}
+    documents = [[name[x] for x in t] for t in [["首行", "次行", "三行", "首行", "末行1"]] * 4 + [["末行1", "首行"], ["首行", "次行"]]]
+    held = defaultdict(set)
+    for i, t in enumerate(documents):
+        for n in range(1, len(t) + 1):
+            for c in combinations(t, n):
+                held[c].add(i)
+    assert len(got) == len(dict(got)) and dict(got) == {p: len(v) for p, v in held.items() if len(v) >= 3}
+    assert dict(got)[tuple(name[x] for x in ("首行", "次行", "三行", "首行", "末行1"))] == 4
+    # the options: at most two lines, next to each other in one chunk
+    near = {tuple(r.pattern): r.support for r in sl.prefix_span(at, docs, 2, 1).collect()}
+    assert {p: n for p, n in near.items() if len(p) > 1} == {(name["三行"], name["首行"]): 4}
+    assert {len(p) for p in map(tuple, (r.pattern for r in sl.prefix_span(at, docs, 3).collect()))} == {1, 2, 3}
