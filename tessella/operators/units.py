@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,7 +64,8 @@ _LINK = re.compile(r"\s*(?:为|是|达到?|:|由|从|=)?\s*")
 _PRIOR = re.compile(r"\s*(?:变为|变至|增至|降至|\(\s*(?:上期|上年同期|去年)\s*:?|,\s*(?:上年同期|去年同期|去年|上期|上年)\s*为?|,\s*较\s*(?:上期|上年同期|去年同期|去年|上年)?的?)\s*")
 #: Inline notation that may surround a name in running text.
 _MARKS = re.compile(r"\*\*|__|`|'{2,5}|\[\[(?:[^\[\]|]*\|)?|\]\]|\]\([^()\s]*\)|\[|\\[A-Za-z]+\*?\{|(?<!\\)[{}]")
-_DOC = re.compile(rf"(?:除另有说明|除特别说明|若非特别标注|如无特别(?:注明|说明|标注)|本文件所列)[^。;\n]{{0,30}}?(?:以|按|单位[为:])\s*(?:人民币)?({_MONEY_UNIT})")
+_OPENING = "除另有说明|除特别说明|若非特别标注|如无特别(?:注明|说明|标注)|本文件所列"
+_DOC = re.compile(rf"(?:{_OPENING})[^。;\n]{{0,30}}?(?:以|按|单位[为:])\s*(?:人民币)?({_MONEY_UNIT})")
 _TABLE = re.compile(rf"(?:金额|计量|下列金额|货币)?单位\s*(?:为|:|\s)\s*(?:人民币)?({_MONEY_UNIT})(?:人民币)?")
 _CELLS = re.compile(r",(?=[^,:]{1,40}: )")
 _RATE = re.compile(r"增减|变动|同比|环比|增长|幅度|change|growth", re.I)
@@ -281,16 +283,44 @@ def measure_rows(measures: DataFrame) -> list[tuple[int, str, str, str]]:
     return [(r.measure_id, r.name_zh, r.name_en, r.dimension) for r in rows if r.dimension in UNITS]
 
 
+@cache
+def variants(chars: str) -> str:
+    """Java regex of a character that NFKC turns into something with one of `chars`, such as a full-width letter."""
+    want, spans = set(unicodedata.normalize("NFKD", chars).lower()), []
+    for i in range(0x80, 0x110000):
+        c = chr(i)
+        if c not in chars and not want.isdisjoint(unicodedata.normalize("NFKD", c).lower()):
+            if spans and spans[-1][1] == i - 1:
+                spans[-1][1] = i
+            else:
+                spans.append([i, i])
+    # Han and ASCII are most of the text and are passed over before the long class
+    inside = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans)
+    return rf"(?![\x00-\x7f\x{{4e00}}-\x{{9fff}}])[{inside}]" if spans else "(?!)"
+
+
+def may_say(c: Column) -> Column:
+    """Whether a text may hold what `_DOC` or `_TABLE` looks for; all texts that `statements` reads pass."""
+    return c.rlike(f"单位|{_OPENING}") | c.rlike(variants("".join(sorted(set(re.sub(r"[(?:|)]", "", _OPENING)) | set("单位")))))
+
+
 def names_pattern(rows: list[tuple[int, str, str, str]]) -> str:
-    """Java regex by which texts without any measure are left out before Python."""
-    each = {n for _, zh, en, _ in rows for n in (zh, en) if n}
-    return "(?i)" + "|".join(sorted(r"\s*".join(re.escape(c) for c in n if not c.isspace()) for n in each)) if each else "(?!)"
+    """Java regex of the measures' names in normalised texts, with white space and inline notation between the characters."""
+    each = {unicodedata.normalize("NFKC", n) for _, zh, en, _ in rows for n in (zh, en) if n}
+    between = rf"(?:[\s\x1c-\x1f]|{_MARKS.pattern})*+"
+    return "(?iuU)" + "|".join(sorted(between.join(re.escape(c) for c in n if not c.isspace()) for n in each)) if each else "(?!)"
+
+
+def may_name(c: Column, rows: list[tuple[int, str, str, str]]) -> Column:
+    """Whether a text may name a measure; all texts in which `Measures` finds one pass, as it reads them after NFKC."""
+    letters = {x for _, zh, en, _ in rows for n in (zh, en) if n for x in unicodedata.normalize("NFKC", n).lower() if not x.isspace()}
+    return c.rlike(names_pattern(rows)) | c.rlike(variants("".join(sorted(letters | set("*_`'[]{}|\\")))) + r"|\][（﹙⁽₍︵]")
 
 
 def figures(df: DataFrame, key: list[str], kind: str, text: str, before: str | None, document: str, rows: list[tuple[int, str, str, str]]) -> DataFrame:
     """(key, no, measure_id, dimension, raw, factor) of every figure; factor is null where no unit is stated."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
-    keep = df.filter(F.col(text).rlike(names_pattern(rows)) & F.col(text).rlike(rf"(?U)\d|[{_WORDS}]"))
+    keep = df.filter(may_name(F.col(text), rows) & (F.col(text).rlike(rf"(?U)\d|[{_WORDS}]") | F.col(text).rlike(variants("0123456789" + _WORDS))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         measures = Measures(rows)
@@ -364,7 +394,7 @@ def _body(text: str, content: str) -> Column:
 
 def content_list_figures(units: DataFrame, rows: list[tuple[int, str, str, str]]) -> DataFrame:
     """The figures of the tables of content_list: statements come from the text unit before a table and from earlier units."""
-    texts = units.filter("type <> 'table'").select("doc_id", "unit_no", _body("text", "content").alias("t")).filter(F.col("t").rlike("单位|列示|填列|计量"))
+    texts = units.filter("type <> 'table'").select("doc_id", "unit_no", _body("text", "content").alias("t")).filter(may_say(F.col("t")))
     said = texts.select("doc_id", "unit_no", statements("t").alias("s")).select("doc_id", "unit_no", "s.document", "s.next").filter("document IS NOT NULL OR next IS NOT NULL")
     said = cut(said)  # few rows, read twice; else the texts would be searched again for each use
     tables = units.filter("type = 'table' AND table_text IS NOT NULL").select("unit_id", "doc_id", "unit_no", "table_text")
@@ -378,9 +408,9 @@ def content_list_figures(units: DataFrame, rows: list[tuple[int, str, str, str]]
 
 def meta_figures(meta: DataFrame, rows: list[tuple[int, str, str, str]]) -> DataFrame:
     """The figures of meta.embed_text; the document's statement is in row 0 of its index_dir."""
-    first = meta.filter("rid = 0").select("index_dir", F.coalesce("embed_text", "raw_content").alias("t")).filter(F.col("t").rlike("列示|填列|单位"))
+    first = meta.filter("rid = 0").select("index_dir", F.coalesce("embed_text", "raw_content").alias("t")).filter(may_say(F.col("t")))
     said = first.select("index_dir", statements("t").alias("s")).select("index_dir", F.col("s.document").alias("doc_factor")).filter("doc_factor IS NOT NULL").dropDuplicates(["index_dir"])
-    texts = meta.filter(F.col("embed_text").rlike(names_pattern(rows))).select("index_dir", F.lit("meta").alias("src"), F.col("id").alias("item_id"), "embed_text")
+    texts = meta.filter(may_name(F.col("embed_text"), rows)).select("index_dir", F.lit("meta").alias("src"), F.col("id").alias("item_id"), "embed_text")
     ready = salted_join(texts, said, ["index_dir"], F.col("item_id"), 4, "left")
     return figures(ready, ["src", "item_id"], "text", "embed_text", None, "doc_factor", rows)
 

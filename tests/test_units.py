@@ -118,3 +118,20 @@ def test_last_before_in_blocks(spark):
     want = {(g, o): next((v for x, p, v in sorted(rows, key=lambda r: -r[1]) if x == g and p < o and v is not None), None) for g, o, _ in rows}
     for block in (7, 1000):
         assert {(r.g, r.o): r.out for r in un.last_before(df, "g", "o", "v", "out", block).collect()} == want
+
+
+def test_prefilters_pass_what_is_read(spark):
+    said = ["除另有说明外,金额以千元计", "除特别说明外，金额以千元计。", "若非特别标注，金额按千元", "如无特别注明，以千元", "本文件所列以千元", "除另有说明外，金额以千元⼈民币", "⾦额单位：千元", "除另有說明".replace("說", "说") + "，以千元", "如无特别㊟明，以千元"]
+    texts = ["营业收入5", "ｒｅｖｅｎｕｅ 5", "营业　收入5", "营业**收入**5", "营业＊＊收入＊＊5", "营业\n收入5", "net profit 5", "[[a|营业]]收入5", "营业收⼊5", "营业收入⑤", "NET PROFIT 5"]
+    F = un.F
+    held = spark.createDataFrame([(t,) for t in said + ["单位：千元"]], "t string").filter(un.may_say(F.col("t")))
+    assert held.count() == len(said) + 1
+    assert all(un.statement(t, True) == 1000 or un.statement(t, False) == 1000 for t in said)
+    assert all(un.from_text(t, M, 1000) for t in texts)
+    plain = spark.createDataFrame([("其他，文字（一）",)], "t string")
+    assert plain.filter(un.may_say(F.col("t")) | un.may_name(F.col("t"), ROWS)).count() == 0
+    measures = spark.createDataFrame([(*r, "") for r in ROWS], "measure_id int, name_zh string, name_en string, dimension string, common_unit string")
+    meta = spark.createDataFrame([(f"x{i}", 0, f"s{i}", s, s) for i, s in enumerate(said[:6])] + [(f"x{i % 6}", i + 1, f"i{i}", t, t) for i, t in enumerate(texts)], "index_dir string, rid int, id string, embed_text string, raw_content string")
+    units = spark.createDataFrame([("s", "d", 0, "text", said[0], None, None), ("t", "d", 2, "table", None, None, "项目: ｒｅｖｅｎｕｅ，本期: 7，上期: 8。")], "unit_id string, doc_id string, unit_no int, type string, text string, content string, table_text string")
+    got = {(r.item_id, r.value_common) for r in un.common_values(units, meta, measures).collect()}
+    assert got == {(f"i{i}", 5000) for i in range(len(texts))} | {("t", 7000), ("t", 8000)}
