@@ -172,7 +172,7 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item
     blocks = max(1, -(-size * 2 // block_chars))
     kinds = {f.name: f.dataType.simpleString() for f in corpus.schema} | {"__item": items.schema[item_id].dataType.simpleString()}
     schema = f"`{doc_id}` {kinds[doc_id]}, `{item_id}` {kinds['__item']}"
-    column = corpus.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter(F.length("t") >= run)
+    column = corpus.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter(F.col("t").isNotNull())  # a short text may hold a run after NFKC
     parts = []
     for b in range(blocks):
         rows = passages.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).distinct().collect()

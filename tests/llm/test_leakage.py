@@ -77,3 +77,11 @@ def test_folding_equals_the_exact_way():
         assert fold(t).tolist() == (exact(t).tolist() if t else [])
     a, bounds = fold_all(texts)
     assert [a[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == [fold(t).tolist() for t in texts]
+
+
+def test_short_text_that_nfkc_lengthens(spark):
+    """Three signs of 15 letters each are a run of 45."""
+    docs = spark.createDataFrame([(1, "\ufdfa" * 3), (2, "\ufdfa" * 2), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, unicodedata.normalize("NFKC", "\ufdfa" * 3), None)], "item_id long, question string, answer string")
+    got = lk.find_leaks(docs, "doc_id", "text", items, "item_id", ["question", "answer"])
+    assert [tuple(r) for r in got.collect()] == [(1, 7)]
