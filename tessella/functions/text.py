@@ -1,12 +1,18 @@
-"""Text functions as Spark expressions (JVM side)."""
+"""Text functions as Spark expressions (JVM side; only rare HTML entities are decoded in Arrow batches)."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Named entities that are decoded in the JVM, `&amp;` last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&middot;": "·", "&copy;": "©", "&times;": "×", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
+#: Java regex of what may be any other entity, with or without `;`.
+OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e in ENTITIES) + ");)[#a-zA-Z]"
 TOKEN = r"[\x{4e00}-\x{9fff}]|[A-Za-z0-9_]+"
 
 
@@ -29,12 +35,19 @@ def bm25_tokens(c: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
 
 
+@F.pandas_udf(T.StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """All entities of HTML, named or numeric."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def strip_html(c: Column | str) -> Column:
-    """Tags become spaces, entities are decoded, white space normalised."""
-    out = F.regexp_replace(col(c), "<[^>]+>", " ")
+    """Tags become spaces, entities are decoded, white space normalised. Only texts with an entity outside of ENTITIES go to Python."""
+    bare = F.regexp_replace(col(c), "<[^>]+>", " ")
+    out = bare
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    return normalize_space(out)
+    return normalize_space(F.coalesce(unescape(F.when(bare.rlike(OTHER_ENTITY), bare)), out))
 
 
 def digest(c: Column | str) -> Column:

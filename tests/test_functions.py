@@ -1,3 +1,5 @@
+import html
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,9 @@ def test_vectors(spark):
     got = sorted((r.g, r.s, r.n) for r in vec.with_minmax(df, ["g"], "s", "n", True).collect())
     assert got == [("a", 2.0, 0.0), ("a", 4.0, 0.5), ("a", 6.0, 1.0), ("b", 3.0, 0.0)]
     assert vec.with_minmax(df.limit(0), ["g"], "s", "n", False).count() == 0
+
+
+@pytest.mark.parametrize("raw", ["&#20013;&#x4e2d;&ensp;&reg;&amp;#20013;", "&amp;lt;&LT;&copy2020", "R&D&nbsp;&mdash;&hellip;", "&#0;&#x80;&notit;&bogus;", "A&amp;B", "", "&"])
+def test_strip_html_decodes_every_entity(spark, raw):
+    assert one(spark, raw, tx.strip_html) == " ".join(html.unescape(raw).split())
+    assert one(spark, None, tx.strip_html) is None
