@@ -41,7 +41,7 @@ def document_frequencies(rows: DataFrame, index: str, text: str) -> DataFrame:
 
 def term_stats(df: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """(idx, term, df, idf): ln(n - df + 0.5) - ln(df + 0.5), negative ones raised to epsilon times the mean over the index's terms."""
-    raw = df.join(broadcast_if_small(stats.select("idx", "n")), "idx").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = df.join(broadcast_if_small(stats.select("idx", "n"), True), "idx").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("idx").agg(F.avg("raw").alias("mean"))
     return raw.join(broadcast_if_small(mean), "idx").select("idx", "term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
 

@@ -77,7 +77,7 @@ def bm25_scores(queries: DataFrame, post: DataFrame, terms: DataFrame, stats: Da
     asked = queries.select("query_id", F.explode(tx.bm25_tokens("q")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = broadcast_if_small(asked)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hit = post.join(asked, "term").join(terms.select("idx", "term", "idf"), ["idx", "term"]).join(broadcast_if_small(stats.select("idx", "avgdl")), "idx")
+    hit = post.join(asked, "term").join(terms.select("idx", "term", "idf"), ["idx", "term"]).join(broadcast_if_small(stats.select("idx", "avgdl"), True), "idx")
     return hit.groupBy("query_id", "idx", "rid").agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
 
 

@@ -1,18 +1,19 @@
 """Quantities recorded in different units: every figure of a known measure in its common unit (problem 2).
 
-Figures are read from textified tables (`header: label，header: cell。` lines) and running text. The unit
-of a figure is the hidden state of a Markov model along the figures of one measure in a record: a unit
-at the figure, else in its label or column, else stated for the table, else for the document makes
-all other states impossible; where nothing is stated, the Viterbi path takes the units whose values jump least against the
-smooth underlying level of the measure (in log10) and change unit least often. Levels of measures are
-gathered over all figures with stated units.
+Figures are read from textified tables (`header: label，header: cell。` lines) and running text. A device is a
+company: all its figures of one measure, in order of time, are one series of a hidden Markov model whose hidden state is the
+unit. A unit stated at the figure, else in its label or column, else for the table, else for the document is an observation
+of near-certain weight; the rest is the jump of the value in log10 against the figure before, the change of the unit, and, where no
+unit is stated, the distance to the smooth level of the measure over all stated figures. Every figure's unit is the one on
+the Viterbi path (`decode_units`).
 
 Statements for a whole document hold for the rows after them. They are carried along documents in
 blocks of unit numbers, so that a document with very many rows is no hot group.
 
 Defined results: null texts and cells without a figure (n/a signs, blanks) give nothing; bracketed
 figures are negative in money columns; values that are not whole are rounded half up; equal values of one measure
-in a record come once; repeated rows count once; a table without measures gives no rows.
+in a record come once; repeated rows count once; a table without measures gives no rows; a figure without any stated unit, level
+or neighbour takes the least unit.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tessella.session import broadcast_if_small, cut, salted_join
+from tessella.session import cut, once_each, salted_join
 
 # Units of each dimension as multiples of the common unit (money 元, energy 千瓦时, mass 千克, area 平方米,
 # power 千伏安, time 小时, ratio 基点, length 米), as written after NFKC.
@@ -65,9 +67,9 @@ _PRIOR = re.compile(r"\s*(?:变为|变至|增至|降至|\(\s*(?:上期|上年同
 #: Inline notation that may surround a name in running text.
 _MARKS = re.compile(r"\*\*|__|`|'{2,5}|\[\[(?:[^\[\]|]*\|)?|\]\]|\]\([^()\s]*\)|\[|\\[A-Za-z]+\*?\{|(?<!\\)[{}]")
 _OPENING = "除另有说明|除特别说明|若非特别标注|如无特别(?:注明|说明|标注)|本文件所列"
-_DOC = re.compile(rf"(?:{_OPENING})[^。;\n]{{0,30}}?(?:以|按|单位[为:])\s*(?:人民币)?({_MONEY_UNIT})")
+_DOC = re.compile(rf"(?:{_OPENING})[^。;\n]*?(?:以|按|单位[为:])\s*(?:人民币)?({_MONEY_UNIT})")
 _TABLE = re.compile(rf"(?:金额|计量|下列金额|货币)?单位\s*(?:为|:|\s)\s*(?:人民币)?({_MONEY_UNIT})(?:人民币)?")
-_CELLS = re.compile(r",(?=[^,:]{1,40}: )")
+_CELLS = re.compile(r",(?=[^,:]+: )")
 _RATE = re.compile(r"增减|变动|同比|环比|增长|幅度|change|growth", re.I)
 
 
@@ -137,37 +139,97 @@ def figure(text: str, pos: int, dimension: str, brackets: bool) -> Figure | None
     return Figure(sign * raw, factor, end)
 
 
+#: States of each dimension: the log10 of its factors, in ascending order of the factors, padded to one width.
+FACTORS = {d: sorted(set(us.values())) for d, us in UNITS.items()}
+WIDTH = max(map(len, FACTORS.values()))
+#: Costs (negative log-likelihoods up to a constant): another unit than the stated one, a change of unit, the greatest cost of
+#: a jump of the value, and the variance of jumps in log10. A wrong stated unit costs more than both jumps at a figure can
+#: save, so that a stated unit always holds.
+STATED, CHANGE, JUMP_MOST, JUMP_VARIANCE, NEVER = 64.0, 0.7, 8.0, 0.25, 1e18
+
+
+def state_table(dimensions: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 of the factors, whether the state exists) of each dimension, padded to WIDTH."""
+    logs, real = np.zeros((len(dimensions), WIDTH)), np.zeros((len(dimensions), WIDTH), bool)
+    for i, d in enumerate(dimensions):
+        n = len(FACTORS[d])
+        logs[i, :n], real[i, :n] = np.log10(np.array(FACTORS[d], float)), True
+    return logs, real
+
+
+def emissions(x: np.ndarray, stated: np.ndarray, logs: np.ndarray, real: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Cost of each state at each figure. x: log10 of the raw numbers (NaN for 0); stated: the state that is stated, or -1;
+    mean and spread: the level of the measure in log10 (NaN if unknown), which weighs where no unit is stated."""
+    far = ((x[:, None] + logs - mean[:, None]) / np.maximum(spread, 0.3)[:, None]) ** 2 / 2
+    cost = np.where(stated[:, None] >= 0, np.where(np.arange(WIDTH) == stated[:, None], 0.0, STATED), np.nan_to_num(far, nan=0.0))
+    return np.where(real, cost, NEVER)
+
+
+def _moves(x: np.ndarray, logs: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Cost of each move from the state of the figure before i (axis 1) to that of i (axis 2)."""
+    jump = (x[i] - x[i - 1])[:, None, None] + logs[i][:, None, :] - logs[i - 1][:, :, None]
+    return np.nan_to_num(np.minimum(JUMP_MOST, jump**2 / (2 * JUMP_VARIANCE)), nan=0.0) + CHANGE * (1 - np.eye(WIDTH))
+
+
+def viterbi(x: np.ndarray, cost: np.ndarray, logs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The states of the least costly path through each series; the series lie one after another and begin at `starts`.
+
+    All series take a step at once, the longest first in the arrays, so that a step is a few array operations."""
+    size = np.diff(np.append(starts, len(x)))
+    order = np.argsort(-size, kind="stable")
+    first, size = starts[order], size[order]
+    now, back = cost[first].copy(), np.zeros((len(x), WIDTH), np.int8)
+    for t in range(1, int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -t))  # series that are longer than t
+        i = first[:n] + t
+        total = now[:n, :, None] + _moves(x, logs, i)
+        back[i] = total.argmin(1)
+        now[:n] = total.min(1) + cost[i]
+    states = np.zeros(len(x), np.int64)
+    states[first + size - 1] = now.argmin(1)
+    for t in range(int(size[0]) - 1 if len(size) else 0, 0, -1):
+        n = int(np.searchsorted(-size, -t))
+        i = first[:n] + t
+        states[i - 1] = back[i, states[i]]
+    return states
+
+
+def transfer(x: np.ndarray, cost: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Least cost of the paths through one part of a series, from each first state to each last state."""
+    m = np.where(np.eye(WIDTH, dtype=bool), cost[0], NEVER)
+    for i in range(1, len(x)):
+        m = (m[:, :, None] + _moves(x, logs, np.array([i]))).min(1) + cost[i]
+    return m
+
+
+def link_parts(parts: list[tuple[np.ndarray, float, float]], logs: np.ndarray) -> list[tuple[int, int]]:
+    """First and last state of each part of one series on the best path through all of them.
+
+    parts: (transfer costs, log10 of the first raw number, of the last one), in order; logs: of the series' states."""
+    total, froms, ends = parts[0][0], [], [parts[0][0].argmin(0)]
+    now = total.min(0)
+    for (_, _, last), (m, first, _) in zip(parts, parts[1:]):
+        enter = now[:, None] + _moves(np.array([last, first]), np.stack([logs, logs]), np.array([1]))[0]
+        froms.append(enter.argmin(0))  # by first state of this part: the last state of the part before
+        through = enter.min(0)[:, None] + m
+        ends.append(through.argmin(0))  # by last state of this part: its first state
+        now = through.min(0)
+    out, last = [], int(now.argmin())
+    for k in range(len(parts) - 1, -1, -1):
+        first = int(ends[k][last])
+        out.append((first, last))
+        if k:
+            last = int(froms[k - 1][first])
+    return out[::-1]
+
+
 def decode(raws: list[Decimal], stated: list[int | None], dimension: str, level: tuple[float, float] | None) -> list[int]:
-    """Viterbi: the factors of the units of one measure's figures in reading order.
-
-    A stated unit leaves one state. level: mean and deviation of the measure's log10 in the common unit."""
-    if all(stated):
-        return stated  # one path only
-    states = sorted(set(UNITS[dimension].values()))
-    logs = [math.log10(abs(r)) if r else None for r in raws]
-    mean, spread = level or (0.0, 0.0)
-    cost, back = [], []
-    for i, (x, s) in enumerate(zip(logs, stated)):
-        allowed = [s] if s else states
-        now = {}
-        for f in allowed:
-            here = 0.0
-            if x is not None and level and not s:
-                here = ((x + math.log10(f) - mean) / max(spread, 0.3)) ** 2 / 2
-            if not i:
-                now[f] = (here, None)
-                continue
-            now[f] = min(
-                ((c + here + (0.0 if g == f else 0.7) + (0.0 if x is None or logs[i - 1] is None else min(8.0, (x + math.log10(f) - logs[i - 1] - math.log10(g)) ** 2 / 0.5)), g) for g, (c, _) in cost[-1].items()),
-                key=lambda t: t[0],
-            )
-        cost.append(now)
-    f = min(cost[-1], key=lambda k: cost[-1][k][0])
-    path = [f]
-    for now in reversed(cost[1:]):
-        f = now[f][1]
-        path.append(f)
-    return path[::-1]
+    """The factors along one series of figures, in reading order."""
+    logs, real = (np.repeat(a, len(raws), 0) for a in state_table([dimension]))
+    x = np.array([math.log10(abs(r)) if r else np.nan for r in raws])
+    s = np.array([FACTORS[dimension].index(f) if f else -1 for f in stated])
+    mean, spread = (np.full(len(raws), v) for v in level or (np.nan, np.nan))
+    return [FACTORS[dimension][k] for k in viterbi(x, emissions(x, s, logs, real, mean, spread), logs, np.array([0]))]
 
 
 class Measures:
@@ -202,7 +264,7 @@ def from_table(text: str, measures: Measures, before: int | None, document: int
         cells = [c.split(": ", 1) for c in _CELLS.split(line)] if ": " in line else []
         if len(cells) < 2 or any(len(c) < 2 for c in cells):
             m = _TABLE.search(line)
-            if m and len(line) < 60:
+            if m:
                 table = factor_of(m[1], "money")
             continue
         label = _MARKS.sub("", cells[0][1]).strip()
@@ -340,33 +402,106 @@ def figures(df: DataFrame, key: list[str], kind: str, text: str, before: str | N
     return chosen.mapInPandas(run, f"{kinds}, no int, measure_id int, dimension string, raw string, factor long")
 
 
-def to_common(found: DataFrame, key: list[str]) -> DataFrame:
-    """(key, measure_id, value_common), the units of each record's measures decoded along its figures.
+#: Figures that one task decodes, about.
+PART_ROWS = 500_000
 
-    Records are as long as one text is; figures with stated units never leave the task that read them."""
-    found = cut(found)  # read three times, and reading figures is the costly part
-    stated = found.filter("factor IS NOT NULL")
-    # only series that have a figure without a unit are gathered
-    without = broadcast_if_small(found.filter("factor IS NULL").select(*key, "measure_id").distinct())
-    series = found.join(without, [*key, "measure_id"], "left_semi").groupBy(*key, "measure_id", "dimension").agg(F.array_sort(F.collect_list(F.struct("no", "raw", "factor"))).alias("figures"))
-    levels = stated.filter("cast(raw AS double) <> 0").groupBy("measure_id").agg(F.avg(F.log10(F.abs(F.col("raw").cast("double")) * F.col("factor"))).alias("m"), F.stddev_pop(F.log10(F.abs(F.col("raw").cast("double")) * F.col("factor"))).alias("s"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(*key).schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, (figs, dimension, m, s) in enumerate(zip(pdf["figures"], pdf["dimension"], pdf["m"], pdf["s"])):
-                raws = [Decimal(f["raw"]) for f in figs]
-                given = [None if pd.isna(f["factor"]) else int(f["factor"]) for f in figs]
-                level = None if pd.isna(m) else (float(m), float(s))
-                out += [(i, common(r, f)) for r, f, g in zip(raws, decode(raws, given, dimension, level), given) if not g]
-            part = pd.DataFrame(out, columns=["i", "value_common"])
-            keys = pdf[[*key, "measure_id"]].iloc[part["i"].astype(int).to_numpy()].reset_index(drop=True)
-            yield pd.concat([keys, part.drop(columns="i")], axis=1)
+def _prepared(pdf: pd.DataFrame, levels: dict[int, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 of raw numbers, costs of the states, log10 of the states' factors) of figures."""
+    kinds, at = np.unique(pdf["dimension"].to_numpy(str), return_inverse=True)
+    logs, real = (a[at] for a in state_table([str(k) for k in kinds]))
+    raw = np.abs(pdf["raw"].astype(float).to_numpy())
+    with np.errstate(divide="ignore"):
+        x = np.where(raw > 0, np.log10(raw), np.nan)
+    index = {(d, f): k for d, fs in FACTORS.items() for k, f in enumerate(fs)}
+    stated = np.array([-1 if pd.isna(f) else index[d, int(f)] for d, f in zip(pdf["dimension"], pdf["factor"])], np.int64)
+    level = np.array([levels.get(m, (np.nan, np.nan)) for m in pdf["measure_id"].tolist()], float).reshape(-1, 2)
+    return x, emissions(x, stated, logs, real, level[:, 0], level[:, 1]), logs
+
+
+def _whole_series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted batches, cut only between series of (part, device, measure_id); repeats of a figure are left out."""
+    held: list[pd.DataFrame] = []
+    series, one = ["device", "measure_id"], ["src", "item_id", "measure_id", "no"]
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        last = pdf[series].iloc[-1]
+        ends = (pdf[series] != last).any(axis=1).to_numpy()
+        cut_at = int(np.flatnonzero(ends)[-1]) + 1 if ends.any() else 0
+        if held and (held[-1][series].iloc[-1] == pdf[series].iloc[0]).all() and not cut_at:
+            held.append(pdf)
+            continue
+        whole = pd.concat([*held, pdf.iloc[:cut_at]]) if held else pdf.iloc[:cut_at]
+        if len(whole):
+            yield whole.drop_duplicates(one).reset_index(drop=True)
+        held = [pdf.iloc[cut_at:]]
+    if held:
+        yield pd.concat(held).drop_duplicates(one).reset_index(drop=True)
+
+
+def _starts(pdf: pd.DataFrame) -> np.ndarray:
+    s = pdf[["device", "measure_id"]]
+    return np.flatnonzero((s != s.shift()).any(axis=1).to_numpy())
+
+
+def decode_units(found: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """`found` (src, item_id, device, at, no, measure_id, dimension, raw, factor) with every figure decoded: `decoded` (factor),
+    `value_common` and `first` (the first figure of the record with this value of the measure).
+
+    A series is what one device (a company) reports of one measure, in order of time. Series are sorted over range partitions,
+    so that a series with a third of all figures lies in many of them; its parts are linked exactly: each gives the least
+    costs from each first to each last state, these are chained, and each part is decoded between the states found."""
+    spark = found.sparkSession
+    known = found.filter("factor IS NOT NULL AND cast(raw AS double) <> 0").groupBy("measure_id")
+    log = F.log10(F.abs(F.col("raw").cast("double")) * F.col("factor"))
+    stats = known.agg(F.avg(log).alias("m"), F.stddev_pop(log).alias("s")).collect()  # one row for each measure of the dictionary
+    levels = {r.measure_id: (r.m, r.s) for r in stats}
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + found.count() // 1000), -(-found.count() // part_rows))
+    place = ["device", "measure_id", "at", "src", "item_id"]
+    ordered = cut(found.repartitionByRange(parts, *place).sortWithinPartitions(*place, "no").withColumn("part", F.spark_partition_id()))
+    series = F.struct("device", "measure_id")
+    ends = sorted(ordered.groupBy("part").agg(F.min(series).alias("lo"), F.max(series).alias("hi")).collect())  # a row for each partition
+    shared = sorted({a.hi for a, b in zip(ends, ends[1:]) if a.hi == b.lo})
+    fixed: dict[tuple[int, str, int], tuple[int, int]] = {}
+    if shared:
+        split = spark.createDataFrame([tuple(s) for s in shared], "device string, measure_id int")
+
+        def costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in _whole_series(batches):
+                x, cost, logs = _prepared(pdf, levels)
+                for a, b in zip(s := _starts(pdf), [*s[1:], len(pdf)]):
+                    r = pdf.iloc[a]
+                    yield pd.DataFrame({"part": [r["part"]], "device": r["device"], "measure_id": r["measure_id"], "dimension": r["dimension"], "first": x[a], "last": x[b - 1], "costs": [transfer(x[a:b], cost[a:b], logs[a:b]).ravel()]})
+
+        # fewer series than partitions are split, and each part gives one small row
+        rows = ordered.join(F.broadcast(split), ["device", "measure_id"], "left_semi").select(ordered.columns).mapInPandas(costs, "part int, device string, measure_id int, dimension string, first double, last double, costs array<double>").collect()
+        for key in shared:
+            mine = sorted((r for r in rows if (r.device, r.measure_id) == tuple(key)), key=lambda r: r.part)
+            tie = lambda v: np.nan if v is None else v
+            states = link_parts([(np.array(r.costs).reshape(WIDTH, WIDTH), tie(r.first), tie(r.last)) for r in mine], state_table([mine[0].dimension])[0][0])
+            fixed |= {(r.part, r.device, r.measure_id): s for r, s in zip(mine, states)}
+    sent = spark.sparkContext.broadcast((levels, fixed))
 
-    decoded = series.join(F.broadcast(levels), "measure_id", "left").mapInPandas(run, f"{kinds}, measure_id int, value_common long")  # one level for each measure of the dictionary
-    value = F.round(F.col("raw").cast("decimal(30,8)") * F.col("factor").cast("decimal(20,0)"), 0).cast("long")
-    return stated.select(*key, "measure_id", value.alias("value_common")).unionByName(decoded).distinct()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        levels, fixed = sent.value
+        for pdf in _whole_series(batches):
+            x, cost, logs = _prepared(pdf, levels)
+            starts = _starts(pdf)
+            for a, b in zip(starts, [*starts[1:], len(pdf)]) if fixed else ():
+                r = pdf.iloc[a]
+                ends = fixed.get((r["part"], r["device"], r["measure_id"]))
+                if ends:
+                    for row, state in zip((a, b - 1), ends):
+                        cost[row, np.arange(WIDTH) != state] += NEVER
+            states = viterbi(x, cost, logs, starts)
+            decoded = [FACTORS[d][k] for d, k in zip(pdf["dimension"], states.tolist())]
+            values = [common(Decimal(r), f) for r, f in zip(pdf["raw"], decoded)]
+            out = pdf.drop(columns="part").assign(decoded=decoded, value_common=values)
+            yield out.assign(first=~out.duplicated(["src", "item_id", "measure_id", "value_common"]))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    return ordered.mapInPandas(run, f"{kinds}, decoded long, value_common long, first boolean")
 
 
 def common(raw: Decimal, factor: int) -> int:
@@ -392,6 +527,16 @@ def _body(text: str, content: str) -> Column:
     return F.coalesce(F.when(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) != "", F.col(text)), F.col(content))
 
 
+#: What names a figure's record, and its place in time: `figures` carries it along.
+KEY = ["src", "item_id", "device", "at"]
+
+
+def device_and_time(name: str) -> list[Column]:
+    """The company and the date in a filing's name `date number company title`; a name in another form is a device of its own."""
+    company = F.regexp_extract(name, r"^\d{4}-\d{2}-\d{2}\s+\S+\s+(\S+)", 1)
+    return [F.when(company != "", company).otherwise(F.coalesce(F.col(name), F.lit(""))).alias("device"), F.coalesce(F.left(name, F.lit(10)), F.lit("")).alias("at")]
+
+
 def content_list_figures(units: DataFrame, rows: list[tuple[int, str, str, str]]) -> DataFrame:
     """The figures of the tables of content_list: statements come from the text unit before a table and from earlier units."""
     texts = units.filter("type <> 'table'").select("doc_id", "unit_no", _body("text", "content").alias("t")).filter(may_say(F.col("t")))
@@ -403,20 +548,36 @@ def content_list_figures(units: DataFrame, rows: list[tuple[int, str, str, str]]
     carried = last_before(both, "doc_id", "unit_no", "document", "doc_factor")
     before = said.filter("next IS NOT NULL").select("doc_id", (F.col("unit_no") + 1).alias("unit_no"), F.col("next").alias("table_factor")).dropDuplicates(["doc_id", "unit_no"])
     ready = carried.filter("unit_id IS NOT NULL").join(before, ["doc_id", "unit_no"], "left")
-    return figures(ready.select(F.lit("content_list").alias("src"), F.col("unit_id").alias("item_id"), "table_text", "table_factor", "doc_factor"), ["src", "item_id"], "table", "table_text", "table_factor", "doc_factor", rows)
+    named = ready.select(F.lit("content_list").alias("src"), F.col("unit_id").alias("item_id"), *device_and_time("doc_id"), "table_text", "table_factor", "doc_factor")
+    return figures(named, KEY, "table", "table_text", "table_factor", "doc_factor", rows)
 
 
 def meta_figures(meta: DataFrame, rows: list[tuple[int, str, str, str]]) -> DataFrame:
     """The figures of meta.embed_text; the document's statement is in row 0 of its index_dir."""
     first = meta.filter("rid = 0").select("index_dir", F.coalesce("embed_text", "raw_content").alias("t")).filter(may_say(F.col("t")))
     said = first.select("index_dir", statements("t").alias("s")).select("index_dir", F.col("s.document").alias("doc_factor")).filter("doc_factor IS NOT NULL").dropDuplicates(["index_dir"])
-    texts = meta.filter(may_name(F.col("embed_text"), rows)).select("index_dir", F.lit("meta").alias("src"), F.col("id").alias("item_id"), "embed_text")
+    texts = meta.filter(may_name(F.col("embed_text"), rows)).select("index_dir", F.lit("meta").alias("src"), F.col("id").alias("item_id"), *device_and_time("index_dir"), "embed_text")
     ready = salted_join(texts, said, ["index_dir"], F.col("item_id"), 4, "left")
-    return figures(ready, ["src", "item_id"], "text", "embed_text", None, "doc_factor", rows)
+    return figures(ready, KEY, "text", "embed_text", None, "doc_factor", rows)
+
+
+def all_figures(units: DataFrame, meta: DataFrame, measures: DataFrame) -> DataFrame:
+    """The figures of both tables, kept in the shared folder, as they are read more than once and reading text is the costly part.
+
+    Deliveries of a record are reduced to one before its text is read."""
+    rows = measure_rows(measures)
+    return cut(content_list_figures(once_each(units, ["unit_id"]), rows).unionByName(meta_figures(once_each(meta, ["id"]), rows)))
 
 
 def common_values(units: DataFrame, meta: DataFrame, measures: DataFrame) -> DataFrame:
     """(src, item_id, measure_id, value_common) of all figures of both tables."""
-    rows = measure_rows(measures)
-    found = content_list_figures(units, rows).unionByName(meta_figures(meta, rows))
-    return to_common(found, ["src", "item_id"])
+    return decode_units(all_figures(units, meta, measures)).filter("first").select("src", "item_id", "measure_id", "value_common")
+
+
+def recovered_units(units: DataFrame, meta: DataFrame, measures: DataFrame, hide: int = 4) -> DataFrame:
+    """(measure_id, figures, hidden, recovered): how many of the stated units that are hidden (every `hide`-th by hash) the
+    decoding finds again, over all figures."""
+    found = all_figures(units, meta, measures)
+    hidden = (F.pmod(F.xxhash64("src", "item_id", "measure_id", "no"), F.lit(hide)) == 0) & F.col("factor").isNotNull()
+    blind = found.withColumns({"truth": F.when(hidden, F.col("factor")), "factor": F.when(hidden, None).otherwise(F.col("factor"))})
+    return decode_units(blind).groupBy("measure_id").agg(F.count("*").alias("figures"), F.count("truth").alias("hidden"), F.count_if(F.col("truth") == F.col("decoded")).alias("recovered"))

@@ -518,3 +518,8 @@ def resume_reuse(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return units.common_values(table(spark, d, "content_list"), table(spark, d, "meta"), table(spark, d, "unit_measures"))
+
+
+@query
+def p2_recovered(spark: SparkSession, d: str) -> DataFrame:
+    return units.recovered_units(table(spark, d, "content_list"), table(spark, d, "meta"), table(spark, d, "unit_measures"))

@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast; beyond it joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the (already cheap or materialised) frame has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def broadcast_if_small(df: DataFrame, ready: bool = False, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, with a broadcast hint only if it has at most `most` rows and `most_bytes` bytes (as JSON).
+
+    A frame that is not `ready` (materialised already) is kept in the shared folder, so that measuring computes nothing twice."""
+    kept = df if ready else cut(df)
+    size = F.sum(F.octet_length(F.to_json(F.struct(*kept.columns))))
+    n = kept.limit(most + 1).agg(F.count("*").alias("rows"), size.alias("bytes")).first()
+    return F.broadcast(kept) if n.rows <= most and (n.bytes or 0) <= most_bytes else kept
+
+
+def once_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once (of repeated rows any one). Only keys are shuffled: rows of keys that come once stay where they are, those of
+    the others go through an aggregation that combines before its shuffle. Rows with a null key are all kept."""
+    again = broadcast_if_small(df.groupBy(*keys).count().filter("count > 1").select(*keys))
+    return df.join(again, keys, "left_anti").select(df.columns).unionByName(df.join(again, keys, "left_semi").select(df.columns).dropDuplicates(keys))
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, salts: int = 16, how: str = "inner") -> DataFrame:

@@ -36,6 +36,7 @@ def test_text(text, document, want):
     ("项目: 营业收入，本期: 7，上期: （8）。", 10**6, 10**8, [(1, 7000000), (1, -8000000)]),
     ("项目: 营业收入，本期: 7，上期: 8。", None, 10**8, [(1, 700000000), (1, 800000000)]),
     ("项目: 营业收入增长率，本期: 7，同比变动: 8。\n项目: 净利润 *，本期: 7元，变动幅度: 8%。", None, None, [(2, 7)]),
+    ("本表各项数据均摘自经审计的合并财务报表及其附注，若与其他章节披露的口径不同以本表为准，计量单位：万元\n项目: 营业收入，截至报告期末且经审计调整后并按新会计准则重述列报的本期合并口径累计金额合计数: 7，上期: 8。", None, 10**8, [(1, 70000), (1, 80000)]),
     ("(表格文本化失败: 超时)", None, None, []), ("", None, None, []),
 ])
 def test_table(text, before, document, want):
@@ -47,6 +48,8 @@ def test_statements():
     assert un.statement("<p>本文件所列金额数据，如无特别注明，单位为百万元。</p>", True) == 10**6
     assert un.statement("若非特别标注，以下金额按亿元填列。", True) == 10**8 and un.statement("未经许可，任何单位不得转载", True) is None
     assert un.statement("（金额单位：万元人民币）", False) == 10**4 and un.statement("计量单位 元", False) == 1
+    assert un.statement("本文件所列金额以人民币万元计。", True) == 10**4
+    assert un.statement("除另有说明外，本文件及其附件、附注和补充资料中所列示的全部金额、余额和发生额均以人民币千元列示。", True) == 1000
     assert un.statement("单位：万元，其他文字在后面", False) is None and un.statement(None, True) is None
 
 
@@ -71,6 +74,49 @@ def brute(raws, stated, dimension, level):
     return best
 
 
+def test_viterbi_of_many_series_and_of_split_ones():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(3)
+    series = [[(Decimal(rnd.choice([0, 7, 70000, 300000000])), rnd.choice([None, None, 1, 10**4, 10**8])) for _ in range(rnd.randrange(1, 9))] for _ in range(30)]
+    flat = [f for s in series for f in s]
+    logs, real = (np.repeat(a, len(flat), 0) for a in un.state_table(["money"]))
+    x = np.array([float(r.log10()) if r else np.nan for r, _ in flat])
+    stated = np.array([un.FACTORS["money"].index(f) if f else -1 for _, f in flat])
+    cost = un.emissions(x, stated, logs, real, np.full(len(flat), 9.0), np.full(len(flat), 0.8))
+    starts = np.cumsum([0, *map(len, series)])[:-1]
+    together = un.viterbi(x, cost, logs, starts).tolist()
+    for s, a in zip(series, starts):
+        one = un.decode([r for r, _ in s], [f for _, f in s], "money", (9.0, 0.8))
+        assert [un.FACTORS["money"][k] for k in together[a : a + len(s)]] == one
+        assert all(f in (None, g) for (_, f), g in zip(s, one))
+        if len(s) > 3:  # in parts
+            cuts = sorted(rnd.sample(range(1, len(s)), 2))
+            ends = list(zip([0, *cuts], [*cuts, len(s)]))
+            parts = [(un.transfer(x[a + i : a + j], cost[a + i : a + j], logs[a + i : a + j]), x[a + i], x[a + j - 1]) for i, j in ends]
+            path = [un.FACTORS["money"].index(g) for g in one]
+            whole = un.transfer(x[a : a + len(s)], cost[a : a + len(s)], logs[a : a + len(s)]).min()
+            linked = un.link_parts(parts, logs[0])
+            for (i, j), (first, last) in zip(ends, linked):
+                assert (path[i], path[j - 1]) == (first, last)
+            assert whole < un.NEVER
+
+
+def test_a_series_over_many_partitions(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [("meta", f"i{k:03}", "公司" if k % 3 else "另一", f"2020-01-{k % 28 + 1:02}", 0, 1, "money", str(rnd.choice([5, 50000, 0, 400000000])), rnd.choice([None, None, 10**4, 1])) for k in range(90)]
+    found = spark.createDataFrame(rows * 2, "src string, item_id string, device string, at string, no int, measure_id int, dimension string, raw string, factor long")
+    one = {(r.item_id, r.no): r.decoded for r in un.decode_units(found).collect()}
+    many = un.decode_units(found, part_rows=5)
+    assert many.rdd.getNumPartitions() > 5
+    rows = many.collect()
+    assert len(rows) == 90 and {(r.item_id, r.no): r.decoded for r in rows} == one
+
+
 @pytest.mark.parametrize("raws,stated", [(["5", "50000"], [10**8, None]), (["12", "13", "130000"], [None, None, None]), (["0", "3"], [None, 10**4]), (["2.5"], [None]), (["7", "70", "0.0007"], [None, 10**4, None])])
 def test_viterbi_against_all_paths(raws, stated):
     raws = [Decimal(r) for r in raws]
