@@ -102,7 +102,7 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS,
     total = cut(docs.distinct().groupBy("s").agg(F.count("*").alias("docs")))
     held = lines.select("s", "d", F.explode(F.array_distinct("lines")).alias("line")).filter("line != 0").distinct()
     support = held.groupBy("s", "line").agg(F.count("*").alias("support")).filter(F.col("support") >= min_docs)
-    return support.join(broadcast_if_small(total), "s").filter(F.col("support") >= F.ceil(F.col("docs") * F.lit(min_share) - F.lit(1e-9))).select("s", "line", "support")
+    return support.join(broadcast_if_small(total, True), "s").filter(F.col("support") >= F.ceil(F.col("docs") * F.lit(min_share) - F.lit(1e-9))).select("s", "line", "support")
 
 
 def occurrences(lines: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def occurrences(lines: DataFrame, frequent: DataFrame) -> DataFrame:
     A frequent line is in a tenth of its source's documents, so their number is bounded by ten times the
     lines of a document for each source; it is broadcast only if it is small all the same."""
     each = lines.select(*(c for c in lines.columns if c != "lines"), F.posexplode("lines").alias("line_no", "line")).filter("line != 0")
-    return each.join(broadcast_if_small(frequent.select("s", "line")), ["s", "line"])
+    return each.join(broadcast_if_small(frequent.select("s", "line"), True), ["s", "line"])
 
 
 def prefix_span(at: DataFrame, docs: DataFrame, max_length: int | None = None, max_gap: int | None = None, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -121,7 +121,7 @@ def prefix_span(at: DataFrame, docs: DataFrame, max_length: int | None = None, m
     The projection of a pattern on a document is what is left behind its first occurrence. Options, off by default:
     `max_length` lines, and neighbours at most `max_gap` lines apart in one text (then every occurrence is kept).
     The result holds all subsequences of a frequent sequence: n different lines common to enough documents give 2^n - 1."""
-    total = broadcast_if_small(cut(docs.distinct().groupBy("s").agg(F.count("*").alias("docs"))))
+    total = broadcast_if_small(cut(docs.distinct().groupBy("s").agg(F.count("*").alias("docs"))), True)
     place = F.col("o") if "o" in at.columns else F.lit(None).cast("int")
     line = F.struct(place.isNull().alias("last"), place.alias("o"), "k", "line_no", "line")
     sequences = at.groupBy("s", "d").agg(F.array_sort(F.collect_set(line)).alias("rest"))
@@ -147,7 +147,7 @@ def prefix_span(at: DataFrame, docs: DataFrame, max_length: int | None = None, m
         found = good if found is None else found.unionByName(good)
         if good.isEmpty():
             break
-        left = step.filter(F.size("rest") > 0).join(broadcast_if_small(good.select("s", "pattern")), ["s", "pattern"])
+        left = step.filter(F.size("rest") > 0).join(broadcast_if_small(good.select("s", "pattern"), True), ["s", "pattern"])
         here = cut(left if max_gap is None else left.dropDuplicates(["s", "d", "pattern", "end"]))
     return found
 
