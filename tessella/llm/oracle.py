@@ -5,10 +5,10 @@ WITH one AS (SELECT query_id, id, modal, max(CASE WHEN NOT isnan(score_raw) THEN
   WHERE modal IN ('faiss','bm25','rerank') AND query_id IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
 r AS (SELECT query_id, id, modal, CASE WHEN s IS NOT NULL THEN rank() OVER (PARTITION BY query_id, modal ORDER BY s DESC NULLS LAST)
     + (count(*) OVER (PARTITION BY query_id, modal, s) - 1) / 2.0 END r FROM one),
-n AS (SELECT query_id, count(DISTINCT id) n FROM one GROUP BY 1),
-w AS (SELECT query_id, id, n, coalesce(1 - (max(r) FILTER (modal = 'faiss') - 0.5) / n, 0) a, coalesce(1 - (max(r) FILTER (modal = 'bm25') - 0.5) / n, 0) b,
-    coalesce(1 - (max(r) FILTER (modal = 'rerank') - 0.5) / n, 0) c FROM r JOIN n USING (query_id) GROUP BY query_id, id, n),
-v AS (SELECT query_id, id, n, (a + b + c) / 3 m, list_sort([a, b, c]) l FROM w)
+n AS (SELECT query_id, modal, count(s) n FROM one GROUP BY 1, 2),
+w AS (SELECT query_id, id, coalesce(max(1 - (r - 0.5) / n) FILTER (modal = 'faiss'), 0) a, coalesce(max(1 - (r - 0.5) / n) FILTER (modal = 'bm25'), 0) b,
+    coalesce(max(1 - (r - 0.5) / n) FILTER (modal = 'rerank'), 0) c FROM r JOIN n USING (query_id, modal) GROUP BY query_id, id),
+v AS (SELECT query_id, id, (a + b + c) / 3 m, list_sort([a, b, c]) l FROM w)
 """
 
 
@@ -25,7 +25,7 @@ def _sql() -> dict[str, str]:
     return {
         "p3_found": P3 + "SELECT query_id, id FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(m, 9) DESC, round(l[1], 9) DESC, round(l[2], 9) DESC, round(l[3], 9) DESC, id) <= 5",
         "p3_leximin": P3 + """SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(l[1], 9) DESC, round(l[2], 9) DESC, round(l[3], 9) DESC, id) AS INT) AS position,
-            n AS candidates, round(l[1], 6) v1, round(l[2], 6) v2, round(l[3], 6) v3 FROM v QUALIFY position <= 10""",
+            round(l[1], 6) v1, round(l[2], 6) v2, round(l[3], 6) v3 FROM v QUALIFY position <= 10""",
         "p4_found": r"""WITH l AS (SELECT id, doc_id, source, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line_no FROM chunks WHERE type = 'text'),
             n AS (SELECT id, doc_id, source, line_no, regexp_replace(regexp_replace(lower(line_norm), '[^\p{L}\p{N}]+', '', 'g'), '\p{Nd}+', '0', 'g') AS line FROM (SELECT *, translate(line, '@WIDE@', '@ASCII@') AS line_norm FROM l)),
             t AS (SELECT source, count(DISTINCT doc_id) AS docs FROM chunks GROUP BY 1),

@@ -34,7 +34,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_leximin(spark: SparkSession, d: str) -> DataFrame:
     r = ranking.rank_candidates(table(spark, d, "hits"), "query_id", "id", "modal", "score_raw", MODALITIES, 10)
-    return r.select("query_id", "id", "position", "candidates", *(F.round(F.col("leximin")[k], 6).alias(f"v{k + 1}") for k in range(3)))
+    return r.select("query_id", "id", "position", *(F.round(F.col("leximin")[k], 6).alias(f"v{k + 1}") for k in range(3)))
 
 
 def _site(spark: SparkSession, d: str, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

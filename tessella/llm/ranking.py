@@ -1,14 +1,15 @@
 """One ranking from several differently-scaled scores (problem 3).
 
-Scores become percentiles (standings) within their group and modality, so that ranges and
+Scores become percentiles (standings) among the scored items of their group and modality, so that ranges and
 distributions do not count. Every item has one standing per modality; a missing or null score stands
 last (0). Leximin: each item's own vector is sorted ascending and vectors are compared
 lexicographically, the greatest first, so that a weak score cannot be masked by strong ones.
 `order="average"` compares the mean standing first and uses the leximin vector for ties.
 
-Ranks are taken over a sort that is split: the scores of a (group, modality) with more than
-`hot_rows` rows are divided at approximate quantiles into buckets, ranked per bucket, and shifted by
-the counts of the better buckets. So no task holds an unbounded group. Ties share their middle rank.
+Ranks come from one sort of each (group, modality). Where one has more than `hot_rows` rows, its rows are counted by score
+first, the distinct scores are divided at approximate quantiles into buckets, each bucket is summed up by itself and
+shifted by the counts of the better buckets, and the ranks are joined back over salts. So no task holds an unbounded group, nor all
+rows of one score, and the ranks are the same exact ones. Ties share their middle rank.
 
 Defined results: NaN scores count as null; repeated rows of (group, modality, item) count once, with
 the greatest score; rows with null group or item are dropped; an empty table gives no rows; remaining
@@ -25,44 +26,56 @@ from pyspark.sql.window import Window as W
 
 from tessella.session import broadcast_if_small, salted_join
 
-HOT_ROWS, BUCKETS = 100_000, 64
+HOT_ROWS, BUCKETS = 100_000, 256
 
 
-def split_rank(df: DataFrame, group: list[str], score: str, out: str, hot_rows: int = HOT_ROWS, buckets: int = BUCKETS) -> DataFrame:
-    """`df` with `out`: the middle rank (1 is best) of the non-null `score`, descending, within `group`."""
-    cuts = F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 1000)
-    hot = df.groupBy(*group).agg(F.count("*").alias("__n"), cuts.alias("__cuts")).filter(F.col("__n") > hot_rows).drop("__n")
-    # at most rows / hot_rows groups are hot, and none usually
-    hot = broadcast_if_small(hot)
-    tagged = df.join(hot, group, "left").withColumn("__bucket", F.coalesce(F.size(F.filter("__cuts", lambda c: c >= F.col(score))), F.lit(0)))
-    w = W.partitionBy(*group, "__bucket").orderBy(F.col(score).desc())
-    ranked = tagged.withColumn("__rk", F.rank().over(w)).withColumn("__ties", F.count("*").over(W.partitionBy(*group, "__bucket", score)))
-    counts = tagged.filter(F.col("__cuts").isNotNull()).groupBy(*group, "__bucket").count()
-    before = F.coalesce(F.sum("count").over(W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shift = broadcast_if_small(counts.select(*group, "__bucket", before.alias("__before")))
-    return (
-        ranked.join(shift, [*group, "__bucket"], "left")
-        .withColumn(out, F.coalesce("__before", F.lit(0)) + F.col("__rk") + (F.col("__ties") - 1) / 2)
-        .drop("__cuts", "__bucket", "__rk", "__ties", "__before")
-    )
+def _sorted_ranks(df: DataFrame, group: list[str], score: str, out: str) -> DataFrame:
+    """`df` with the middle rank `out` and the size `__size` of the group: one shuffle and one sort."""
+    by_score = W.partitionBy(*group).orderBy(F.col(score).desc())
+    ties = F.count("*").over(by_score.rangeBetween(W.currentRow, W.currentRow))
+    return df.withColumns({out: F.rank().over(by_score) + (ties - 1) / 2, "__size": F.count("*").over(W.partitionBy(*group))})
+
+
+def _bucket_ranks(df: DataFrame, group: list[str], score: str, out: str, buckets: int) -> DataFrame:
+    """The same for large groups: over the distinct scores of each group, in buckets."""
+    counts = df.groupBy(*group, score).agg(F.count("*").alias("__ties"))
+    cuts = counts.groupBy(*group).agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("__cuts"))
+    placed = counts.join(broadcast_if_small(cuts), group).withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c >= F.col(score)))).drop("__cuts")
+    better = lambda w: F.coalesce(F.sum("__ties").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = placed.withColumn("__inside", better(W.partitionBy(*group, "__bucket").orderBy(F.col(score).desc())))
+    totals = placed.groupBy(*group, "__bucket").agg(F.sum("__ties").alias("__ties"))  # at most `buckets` rows a group
+    before = totals.select(*group, "__bucket", better(W.partitionBy(*group).orderBy("__bucket")).alias("__before"), F.sum("__ties").over(W.partitionBy(*group)).alias("__size"))
+    ranks = inside.join(broadcast_if_small(before), [*group, "__bucket"])
+    ranks = ranks.select(*group, score, (F.col("__before") + F.col("__inside") + (F.col("__ties") + 1) / 2).alias(out), "__size")
+    return salted_join(df, ranks, [*group, score], F.col("__i"))
+
+
+def split_rank(df: DataFrame, group: list[str], score: str, out: str, sizes: DataFrame, hot_rows: int = HOT_ROWS, buckets: int = BUCKETS) -> DataFrame:
+    """`df` (with an item column `__i`) with `out`, the middle rank (1 is best) of the non-null `score`, descending, within `group`, and
+    `__size`, the rows of the group. sizes: (group, n), at least the rows of each group."""
+    hot = sizes.filter(F.col("n") > hot_rows).select(*group)
+    if hot.isEmpty():
+        return _sorted_ranks(df, group, score, out)
+    hot = broadcast_if_small(hot)  # at most rows / hot_rows groups
+    large = df.join(hot, group, "left_semi").select(df.columns)
+    return _sorted_ranks(df.join(hot, group, "left_anti").select(df.columns), group, score, out).unionByName(_bucket_ranks(large, group, score, out, buckets).select(*df.columns, out, "__size"))
 
 
 def standings(df: DataFrame, group: str, item: str, modality: str, score: str, modalities: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per (group, item): candidates, a standing in [0, 1) per modality `s_<modality>`, their mean, and the ascending vector."""
-    one = (
-        df.filter(F.col(modality).isin(modalities) & F.col(group).isNotNull() & F.col(item).isNotNull())
-        .select(F.col(group).alias("__g"), F.col(item).alias("__i"), F.col(modality).alias("__m"), F.when(~F.isnan(score), F.col(score)).alias("__s"))
-        .groupBy("__g", "__i", "__m").agg(F.max("__s").alias("__s"))
-    )
-    ranked = split_rank(one.filter(F.col("__s").isNotNull()), ["__g", "__m"], "__s", "__r", hot_rows)
-    per_item = one.filter(F.col("__s").isNull()).withColumn("__r", F.lit(None).cast("double")).unionByName(ranked)
-    wide = per_item.groupBy("__g", "__i").agg(*(F.max(F.when(F.col("__m") == m, F.col("__r"))).alias(f"r{k}") for k, m in enumerate(modalities)))
-    size = wide.groupBy("__g").agg(F.count("*").alias("candidates"))
-    wide = salted_join(wide, size, ["__g"], F.col("__i"))
-    stand = [F.coalesce(1 - (F.col(f"r{k}") - 0.5) / F.col("candidates"), F.lit(0.0)) for k in range(len(modalities))]
+    """One row per (group, item): a standing in [0, 1) per modality `s_<modality>`, their mean, and the ascending vector."""
+    kept = df.filter(F.col(modality).isin(modalities) & F.col(group).isNotNull() & F.col(item).isNotNull())
+    rows = kept.select(F.col(group).alias("__g"), F.col(item).alias("__i"), F.col(modality).alias("__m"), F.when(~F.isnan(score), F.col(score)).alias("__s"))
+    one = rows.groupBy("__g", "__i", "__m").agg(F.max("__s").alias("__s"))
+    sizes = rows.groupBy("__g", "__m").agg(F.count("__s").alias("n"))  # with repeats, so at least the rows to rank
+    ranked = split_rank(one.filter(F.col("__s").isNotNull()), ["__g", "__m"], "__s", "__r", sizes, hot_rows)
+    standing = ranked.select("__g", "__i", "__m", (1 - (F.col("__r") - 0.5) / F.col("__size")).alias("__s"))
+    # items without any score stand last everywhere; a null standing keeps them
+    unscored = one.filter(F.col("__s").isNull()).select("__g", "__i", "__m", "__s")
+    wide = standing.unionByName(unscored).groupBy("__g", "__i").agg(*(F.max(F.when(F.col("__m") == m, F.col("__s"))).alias(f"r{k}") for k, m in enumerate(modalities)))
+    stand = [F.coalesce(f"r{k}", F.lit(0.0)) for k in range(len(modalities))]
     mean = reduce(Column.__add__, stand) / len(modalities)
     return wide.select(
-        F.col("__g").alias(group), F.col("__i").alias(item), "candidates",
+        F.col("__g").alias(group), F.col("__i").alias(item),
         *(s.alias(f"s_{m}") for s, m in zip(stand, modalities)),
         mean.alias("mean_standing"), F.array_sort(F.array(*stand)).alias("leximin"),
     )

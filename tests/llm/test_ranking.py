@@ -18,7 +18,7 @@ def brute(rows, average):
         v = np.zeros((len(ids), 3))
         for k, m in enumerate(M):
             s = g[g.modal == m].set_index("id").score_raw.reindex(ids)
-            v[:, k] = (1 - (s.rank(ascending=False, method="average") - 0.5) / len(ids)).fillna(0)
+            v[:, k] = (1 - (s.rank(ascending=False, method="average") - 0.5) / max(1, s.notna().sum())).fillna(0)
         low = np.sort(v, axis=1).round(9)
         key = [(-round(v[i].mean(), 9) if average else 0, *(-low[i]), ids[i]) for i in range(len(ids))]
         out[q] = [ids[i] for i in sorted(range(len(ids)), key=lambda i: key[i])]
@@ -47,6 +47,15 @@ def test_weak_scores_are_not_masked(spark):
     assert got.sort_values("position").id.iloc[0] == "even"
 
 
+def test_one_score_shared_by_a_third_of_a_hot_group(spark):
+    rnd = random.Random(4)
+    rows = [(1, m, f"d{i:04}", 5.0 if i % 3 == 0 else rnd.random() * 10) for m in M for i in range(900)] + [(2, "faiss", "x", 1.0)]
+    df = spark.createDataFrame(rows, "query_id int, modal string, id string, score_raw double")
+    want = brute(rows, True)
+    got = ranking.rank_candidates(df, "query_id", "id", "modal", "score_raw", M, 900, "average", 100).toPandas()
+    assert {q: g.sort_values("position").id.tolist() for q, g in got.groupby("query_id")} == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "query_id int, modal string, id string, score_raw double")
     assert ranking.rank_candidates(df, "query_id", "id", "modal", "score_raw", M, 5).count() == 0
