@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import leakage, markup, packing, ranking, reading, sitelines, splitting
-from tessella.session import cut, table
+from tessella.session import cut, once_each, table
 
 MODALITIES = ["faiss", "bm25", "rerank"]
 
@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.clean_markup(_marked(spark, d), ["src", "item_id"], "body").dropDuplicates(["src", "item_id"])
+    return markup.clean_markup(once_each(_marked(spark, d), ["src", "item_id"]), ["src", "item_id"], "body")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +74,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(_texts(spark, d), ["src", "item_id"], "body").dropDuplicates(["src", "item_id", "piece_no"])
+    return splitting.split_oversized(once_each(_texts(spark, d), ["src", "item_id"]), ["src", "item_id"], "body")
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:

@@ -24,9 +24,6 @@ PARAGRAPH, SENTENCE, CLAUSE, SPACE, HARD = 0, 1, 2, 3, 4
 #: Cost of a cut by kind of boundary, against a squared imbalance of 1 for a piece that is empty.
 PENALTY = (0.0, 0.15, 0.6, 1.5, 6.0)
 NAMES = ("paragraph", "sentence", "clause", "space", "hard", "end")
-#: Between natural boundaries that lie further apart than a piece can advance, hard cuts are tried on this grid.
-HARD_GRID = 10
-
 _CLOSERS = "”’」』）)》】\"'"
 _BOUNDARY = re.compile(
     rf"(?P<p>\n)|(?P<s>[。！？!?；;…]+[{_CLOSERS}]*|\.[{_CLOSERS}]*(?=\s|$))|(?P<c>[，、：:]|,(?!\d))|(?P<w> )"
@@ -45,21 +42,22 @@ def normalised(col) -> F.Column:
 
 
 def _boundaries(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where a cut may lie on a best path, and their kinds.
+
+    All natural boundaries, and every position that is less than `2 * step` away from a gap of more than `step` between
+    neighbouring boundaries. No other hard cut can be on a best path: a piece advances by at most `step`, so the cut before and
+    the one behind lie within `2 * step` of each other, and if all gaps there are at most `step`, one or two natural boundaries
+    reach from one to the other. These cost at most two spaces and three imbalances of at most 1 each, which is no more than HARD."""
     at: dict[int, int] = {}
     for m in _BOUNDARY.finditer(text):
         kind = {"p": PARAGRAPH, "s": SENTENCE, "c": CLAUSE, "w": SPACE}[m.lastgroup]
         end = m.start() if kind in (PARAGRAPH, SPACE) else m.end()
         at[end] = min(kind, at.get(end, HARD))
     n = len(text)
-    ends = sorted(e for e in at if 0 < e < n)
-    # a piece advances by at most `step`; wider gaps get hard cuts
-    extra, last = [], 0
-    for e in [*ends, n]:
-        if e - last > step // 2:
-            extra += range(last + HARD_GRID, e, HARD_GRID)
-        last = e
-    for e in extra:
-        at.setdefault(e, HARD)
+    ends = np.array([0, *sorted(e for e in at if 0 < e < n), n])
+    for k in np.flatnonzero(np.diff(ends) > step):
+        for e in range(max(1, int(ends[k]) - 2 * step + 1), min(n, int(ends[k + 1]) + 2 * step)):
+            at.setdefault(e, HARD)
     pos = np.array(sorted(e for e in at if 0 < e < n), dtype=np.int64)
     return pos, np.array([at[int(e)] for e in pos], dtype=np.int64)
 
@@ -73,9 +71,19 @@ def cut_points(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
         return []
     if n <= max_chars:
         return [(0, n, "end")]
+    pos, kind = _boundaries(text, max_chars - overlap)
+    path = best_path(n, pos, np.array(PENALTY)[kind], max_chars, overlap)[1]
+    out, start = [], 0
+    for j in path:
+        e = int(pos[j]) if j < len(pos) else n
+        out.append((start, e, NAMES[kind[j]] if j < len(pos) else "end"))
+        start = e - overlap
+    return out
+
+
+def best_path(n: int, pos: np.ndarray, penalty: np.ndarray, max_chars: int, overlap: int) -> tuple[float, list[int]]:
+    """Least cost and cuts (indexes into pos, the end last) of a text of n characters that may be cut at pos."""
     step = max_chars - overlap
-    pos, kind = _boundaries(text, step)
-    penalty = np.array(PENALTY)[kind]
     pieces = -(-(n - overlap) // step)
     ideal = (n + (pieces - 1) * overlap) / pieces
     m = len(pos)
@@ -83,10 +91,10 @@ def cut_points(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
     back = np.full(m + 1, -1, dtype=np.int64)
     ends = np.append(pos, n)
     cost_at = np.append(penalty, 0.0)
-    first = ends <= max_chars
+    first = (ends <= max_chars) & (ends > overlap)  # a shorter first piece could not share `overlap` characters
     best[first] = cost_at[first] + ((ends[first] - ideal) / ideal) ** 2
-    # the piece before ends at i, so this one starts at ends[i] - overlap (never before the text)
-    begin = np.maximum(ends - overlap, 0) + ideal
+    # the piece before ends at i, so this one starts at ends[i] - overlap
+    begin = ends - overlap + ideal
     lows = np.searchsorted(ends, ends - step).tolist()
     scale = 1.0 / ideal
     for j in range(1, m + 1):
@@ -103,13 +111,7 @@ def cut_points(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
     while j >= 0:
         path.append(j)
         j = int(back[j])
-    path.reverse()
-    out, start = [], 0
-    for k, j in enumerate(path):
-        e = int(ends[j])
-        out.append((start, e, NAMES[kind[j]] if j < m else "end"))
-        start = max(e - overlap, 0)
-    return out
+    return float(best[m]), path[::-1]
 
 
 def split_oversized(df: DataFrame, key: list[str], text: str, max_chars: int = 500, overlap: int = 50, only_oversized: bool = False) -> DataFrame:

@@ -20,36 +20,52 @@ def test_pieces_cover_the_text(raw, limits):
         return
     assert cuts[0][0] == 0 and cuts[-1][1] == len(t)
     assert all(0 < e - s <= most for s, e, _ in cuts)
-    assert all(s2 == max(e - overlap, 0) and e2 > e for (_, e, _), (s2, e2, _) in zip(cuts, cuts[1:]))
+    assert all(s2 == e - overlap and e2 > e for (_, e, _), (s2, e2, _) in zip(cuts, cuts[1:]))
 
 
 def brute(t, most, overlap):
-    """Least cost over all sequences of the same candidates, by plain recursion."""
+    """Least cost over all cuts at all positions, by plain recursion."""
     import functools
 
-    pos, kind = sp._boundaries(t, most - overlap)
-    cost = {int(p): sp.PENALTY[k] for p, k in zip(pos, kind)} | {len(t): 0.0}
-    pieces = -(-(len(t) - overlap) // (most - overlap))
-    ideal = (len(t) + (pieces - 1) * overlap) / pieces
+    n = len(t)
+    cost = {e: sp.PENALTY[sp.HARD] for e in range(1, n)} | {n: 0.0}
+    for m in sp._BOUNDARY.finditer(t):
+        kind = {"p": sp.PARAGRAPH, "s": sp.SENTENCE, "c": sp.CLAUSE, "w": sp.SPACE}[m.lastgroup]
+        e = m.start() if m.lastgroup in "pw" else m.end()
+        if 0 < e < n:
+            cost[e] = min(cost[e], sp.PENALTY[kind])
+    pieces = -(-(n - overlap) // (most - overlap))
+    ideal = (n + (pieces - 1) * overlap) / pieces
 
     @functools.cache
     def best(end, start):
         return min(
-            (cost[e] + ((e - start - ideal) / ideal) ** 2 + (0 if e == len(t) else best(e, max(e - overlap, 0))) for e in cost if end < e <= start + most),
+            (cost[e] + ((e - start - ideal) / ideal) ** 2 + (0 if e == n else best(e, e - overlap)) for e in range(max(end, overlap) + 1, min(n, start + most) + 1)),
             default=float("inf"),
         )
 
     return best(0, 0)
 
 
+def total(t, most, overlap):
+    cuts = sp.cut_points(t, most, overlap)
+    pieces = -(-(len(t) - overlap) // (most - overlap))
+    ideal = (len(t) + (pieces - 1) * overlap) / pieces
+    names = dict(zip(sp.NAMES, [*sp.PENALTY, 0.0]))
+    return sum(names[k] + ((e - s - ideal) / ideal) ** 2 for s, e, k in cuts)
+
+
 def test_least_cost_against_brute_force():
     t = sp.normalise("第一句话在这里。第二句，比较长一些的内容也在这里！第三段\n另起一段。" * 4)
-    cuts = sp.cut_points(t, 40, 6)
-    pieces = -(-(len(t) - 6) // 34)
-    ideal = (len(t) + (pieces - 1) * 6) / pieces
-    names = dict(zip(sp.NAMES, [*sp.PENALTY, 0.0]))
-    got = sum(names[k] + ((e - s - ideal) / ideal) ** 2 for s, e, k in cuts)
-    assert got == pytest.approx(brute(t, 40, 6))
+    assert total(t, 40, 6) == pytest.approx(brute(t, 40, 6))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 45), st.sampled_from("。，\n ")), max_size=8), st.sampled_from([(20, 4), (30, 3), (25, 12)]))
+def test_least_cost_over_all_positions(runs, limits):
+    t = sp.normalise("".join("字" * k + c for k, c in runs))
+    if len(t) > limits[0]:
+        assert total(t, *limits) == pytest.approx(brute(t, *limits))
 
 
 def test_natural_boundaries_are_preferred():
