@@ -37,29 +37,33 @@ def p3_leximin(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", "id", "position", *(F.round(F.col("leximin")[k], 6).alias(f"v{k + 1}") for k in range(3)))
 
 
-def _site(spark: SparkSession, d: str, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """chunks, the documents of each source, the lines of the texts (kept in the shared folder, as two passes read them), the frequent ones."""
+def _site(spark: SparkSession, d: str, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """chunks, the documents of each source, the occurrences of frequent lines (kept in the shared folder, as the sequences grow from them)."""
     chunks = table(spark, d, "chunks")
     docs = chunks.filter(F.col("source").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("source").alias("s"), F.xxhash64("doc_id").alias("d"))
     lines = cut(sitelines.line_table(chunks.filter("type = 'text'"), "id", "doc_id", "source", "content", order))
-    return chunks, docs, lines, cut(sitelines.frequent_lines(lines, docs))
+    return chunks, docs, cut(sitelines.occurrences(lines, cut(sitelines.frequent_lines(lines, docs))))
+
+
+def _repeated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """chunks, and the occurrences of all frequent runs of lines."""
+    chunks, docs, at = _site(spark, d)
+    return chunks, sitelines.of_sequences(at, sitelines.prefix_span(at, docs, max_gap=1))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    _, _, lines, frequent = _site(spark, d)
-    return sitelines.occurrences(lines, frequent).select(F.col("k").alias("id"), "line_no").distinct()
+    return _repeated(spark, d)[1].select(F.col("k").alias("id"), "line_no").distinct()
 
 
 def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
-    _, docs, lines, frequent = _site(spark, d, "ord")
-    at = cut(sitelines.occurrences(lines, frequent))
+    _, docs, at = _site(spark, d, "ord")
     return sitelines.prefix_span(at, docs).select(F.col("s").alias("source"), F.size("pattern").alias("length"), "pattern", "support")
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
-    chunks, _, lines, frequent = _site(spark, d)
-    texts = chunks.filter("type = 'text'").select("id", "doc_id", "source", "content").dropDuplicates(["id"])
-    return sitelines.remove_lines(texts, "id", "content", lines, frequent).drop("content")
+    chunks, at = _repeated(spark, d)
+    texts = once_each(chunks.filter("type = 'text'").select("id", "doc_id", "source", "content"), ["id"])
+    return sitelines.remove_lines(texts, "id", "content", at).drop("content")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:

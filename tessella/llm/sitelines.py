@@ -12,10 +12,9 @@ is deleted from the documents.
   rows is no hot group.
 * `prefix_span` grows the patterns over one sequence for each document of a source, its texts in order: each step
   extends a pattern by the frequent lines in what is left of the document behind its first occurrence, until no
-  pattern is frequent. Lines may stand between; only frequent lines take part.
-* `remove_lines` cuts the occurrences. By the Apriori property every line of a frequent sequence
-  is a frequent single line with at least the sequence's support, so that the occurrences of frequent sequences are
-  those of the frequent single lines.
+  pattern is frequent. Lines may stand between; only frequent lines take part. With `max_gap` it grows runs of neighbouring
+  lines inside texts instead: n lines common to all documents have n (n + 1) / 2 runs, but 2^n - 1 subsequences.
+* `of_sequences` gives the occurrences of the sequences that were found, `remove_lines` cuts them.
 
 Defined results: null texts and null sources are left out of counting and keep their texts; an empty
 table gives no rows; repeated rows of a key count once; a text whose lines are all removed becomes empty.
@@ -119,14 +118,16 @@ def prefix_span(at: DataFrame, docs: DataFrame, max_length: int | None = None, m
 
     at: `occurrences`. A document is the sequence of its frequent lines, texts ordered by `o` (nulls last), then key.
     The projection of a pattern on a document is what is left behind its first occurrence. Options, off by default:
-    `max_length` lines, and neighbours at most `max_gap` lines apart in one text (then every occurrence is kept).
+    `max_length` lines, and neighbours at most `max_gap` lines apart in one text (then sequences are texts, so that no document
+    is gathered, and every occurrence is kept).
     The result holds all subsequences of a frequent sequence: n different lines common to enough documents give 2^n - 1."""
     total = broadcast_if_small(cut(docs.distinct().groupBy("s").agg(F.count("*").alias("docs"))), True)
     place = F.col("o") if "o" in at.columns else F.lit(None).cast("int")
     line = F.struct(place.isNull().alias("last"), place.alias("o"), "k", "line_no", "line")
-    sequences = at.groupBy("s", "d").agg(F.array_sort(F.collect_set(line)).alias("rest"))
-    thin = (lambda x: x["line"]) if max_gap is None else (lambda x: F.struct(x["k"].alias("k"), x["line_no"].alias("line_no"), x["line"].alias("line")))
-    here = cut(sequences.select("s", "d", F.array().cast("array<long>").alias("pattern"), F.transform("rest", thin).alias("rest")))
+    whole = ["s", "d"] if max_gap is None else ["s", "d", "k"]
+    sequences = at.groupBy(*whole).agg(F.array_sort(F.collect_set(line)).alias("rest"))
+    thin = (lambda x: x["line"]) if max_gap is None else (lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line")))
+    here = cut(sequences.select(*whole, F.array().cast("array<long>").alias("pattern"), F.transform("rest", thin).alias("rest")))
     found, length = None, 0
     while max_length is None or length < max_length:
         length += 1
@@ -136,10 +137,10 @@ def prefix_span(at: DataFrame, docs: DataFrame, max_length: int | None = None, m
         else:
             step = here.select("*", F.posexplode("rest").alias("i", "x"))
             if length > 1:
-                step = step.filter((F.col("x.k") == F.col("end.k")) & (F.col("x.line_no") - F.col("end.line_no") <= max_gap))
+                step = step.filter(F.col("x.line_no") - F.col("end.line_no") <= max_gap)
             step = step.withColumn("line", F.col("x.line")).withColumn("i", F.col("i") + 1).withColumn("end", F.col("x"))
         behind = F.slice("rest", F.col("i").cast("int") + 1, F.greatest(F.size("rest") - F.col("i").cast("int"), F.lit(0)))
-        step = step.select("s", "d", F.concat("pattern", F.array("line")).alias("pattern"), behind.alias("rest"), *(["end"] if max_gap is not None else []))
+        step = step.select(*whole, F.concat("pattern", F.array("line")).alias("pattern"), behind.alias("rest"), *(["end"] if max_gap is not None else []))
         # without a gap a document has one projection of a pattern, so that rows are documents
         holders = step.select("s", "pattern") if max_gap is None else step.select("s", "d", "pattern").distinct()
         support = holders.groupBy("s", "pattern").agg(F.count("*").alias("support"))
@@ -148,13 +149,21 @@ def prefix_span(at: DataFrame, docs: DataFrame, max_length: int | None = None, m
         if good.isEmpty():
             break
         left = step.filter(F.size("rest") > 0).join(broadcast_if_small(good.select("s", "pattern"), True), ["s", "pattern"])
-        here = cut(left if max_gap is None else left.dropDuplicates(["s", "d", "pattern", "end"]))
+        here = cut(left if max_gap is None else left.dropDuplicates([*whole, "pattern", "end"]))
     return found
 
 
-def remove_lines(df: DataFrame, key: str, text: str, lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """`df` with `clean`: the text without its frequent lines (all lines kept where the key has none)."""
-    gone = occurrences(lines, frequent).groupBy("k").agg(F.collect_set("line_no").alias("__gone"))
+def of_sequences(at: DataFrame, sequences: DataFrame) -> DataFrame:
+    """The rows of `at` (occurrences) whose line belongs to one of the sequences (s, pattern) of its source.
+
+    A line of a frequent sequence is frequent alone and a sequence of its own, so each of its occurrences is one of a sequence."""
+    members = sequences.select("s", F.explode("pattern").alias("line")).distinct()
+    return at.join(broadcast_if_small(members), ["s", "line"], "left_semi")
+
+
+def remove_lines(df: DataFrame, key: str, text: str, at: DataFrame) -> DataFrame:
+    """`df` with `clean`: the text without the lines at `at` (k, line_no); all lines are kept where the key has none."""
+    gone = at.groupBy("k").agg(F.collect_set("line_no").alias("__gone"))
     joined = df.join(gone.withColumnRenamed("k", key), key, "left")
     parts = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
     return joined.withColumn("clean", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(parts, "\n"))).drop("__gone")

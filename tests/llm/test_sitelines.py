@@ -49,9 +49,10 @@ def test_against_brute_force(spark):
         if d is not None:
             total[s].add(d)
     df, docs, lines, frequent = frames(spark, data)
-    got = {(r.k, r.line_no) for r in sl.occurrences(lines, frequent).collect()}
-    assert got == brute(data, total)
-    clean = {r.id: r.clean for r in sl.remove_lines(df.dropDuplicates(["id"]), "id", "content", lines, frequent).collect()}
+    at = sl.cut(sl.occurrences(lines, frequent))
+    at = sl.of_sequences(at, sl.prefix_span(at, docs, max_gap=1))
+    assert {(r.k, r.line_no) for r in at.collect()} == brute(data, total)
+    clean = {r.id: r.clean for r in sl.remove_lines(df.dropDuplicates(["id"]), "id", "content", at).collect()}
     assert clean["n2"] is None and clean["n1"] == "扫码关注a" and clean["c0#1"].endswith("扫码关注c\n罕见行\n版权所有\n翻印必究")
     assert clean["a0#1"] == f"正文{chr(0x4E00)}{chr(0x5000)}\n\n罕见行" and clean["long"] == "长行" * 50000
 
@@ -76,7 +77,8 @@ def test_identifiers():
 def test_empty(spark):
     df, docs, lines, frequent = frames(spark, [("x", "y", "z", None)])
     assert lines.count() == 0 and frequent.count() == 0 and sl.occurrences(lines, frequent).count() == 0
-    assert sl.remove_lines(df, "id", "content", lines, frequent).first().clean is None
+    at = sl.occurrences(lines, frequent)
+    assert sl.of_sequences(at, sl.prefix_span(at, docs, max_gap=1)).count() == 0 and sl.remove_lines(df, "id", "content", at).first().clean is None
 
 
 def test_prefix_span_over_whole_documents(spark):
