@@ -5,13 +5,15 @@ items as `- item`, table rows with ` | ` between the cells, code lines as they a
 
 HTML goes through a document tree and composite text density: for every node the characters per tag,
 adjusted for the share of characters in links; each node's density sum is that of its children; the
-node with the greatest sum is the content, and the least density on the path from the body to it is the
-threshold. Nodes below the threshold that consist of links mostly, and those that never hold content
-(script, style, navigation), are left out; headings, lists, tables and code inside the body stay.
+container with the greatest sum is the content, and the least density on the path from the body to it is the
+threshold. What lies in the content stays; outside of it a block (a list or a table as a whole) stays only if its density
+reaches the threshold, besides headings and preformatted text, which are short by nature. What never holds content
+(script, style, navigation) is left out. Lists and tables are structure, so they are no containers: else the one list of
+a notice would be its content and the paragraphs around it boilerplate.
 Markdown, wiki and LaTeX are read by line and by inline notation; code and formulas are set aside first,
 so that their signs are not taken for markup.
 
-A language is reported only if notation of it was converted: a lone `<`, `*`, `#`, `_`, `$`, a backslash
+A language is reported only if notation of it was converted, also in what the density leaves out: a lone `<`, `*`, `#`, `_`, `$`, a backslash
 or a literal bracket is no markup.
 
 Defined results: null gives null and no languages; an empty text gives an empty text; malformed and
@@ -23,7 +25,9 @@ from __future__ import annotations
 import html
 import math
 import re
+import sys
 from collections.abc import Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,19 +40,29 @@ BLOCK = HEADING | frozenset("address article aside blockquote body caption cente
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i iframe img input ins kbd label link mark meta object q rp rt ruby s samp script select small span strike strong style sub sup svg textarea time tt u var video wbr button canvas col colgroup embed area base map noscript option head".split())
 KNOWN = BLOCK | INLINE | VOID
 NO_CONTENT = frozenset("script style noscript nav aside footer iframe svg button select textarea head".split())
-STRUCTURE = HEADING | frozenset("ul ol li table tbody thead tfoot tr td th pre code dl dt dd caption sup sub".split())
+#: What can be the content of a page, and what stays outside of it below the threshold.
+CONTAINER = frozenset("body article section main div center blockquote form details fieldset".split())
+SHORT = HEADING | frozenset(["pre"])
 #: Which open elements a start tag closes.
 ENDS = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody"), "option": ("option",)}
 #: Where the search for such an element stops.
 SCOPE = {"li": ("ul", "ol"), "td": ("table",), "th": ("table",), "tr": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 
-#: Elements below this depth stay flat, as in browsers.
-MAX_DEPTH = 150
+#: Fixed value: elements below this depth stay flat, as in browsers (no text is lost).
+MAX_DEPTH = 512
 
 _NAMES = "|".join(sorted(KNOWN, key=len, reverse=True))
 _TAG = re.compile(rf"<!--.*?-->|<!doctype[^>]*>|<(/?)({_NAMES})((?:\s[^<>]*)?)/?>", re.I | re.S)
 _ESCAPED = re.compile(rf"&lt;(?:!--|/?(?:{_NAMES})(?:\s|/|&gt;))", re.I)
-_ENTITY = re.compile(r"&(?:lt|gt|amp|quot|nbsp|apos|ensp|emsp|thinsp|copy|reg|middot|times|hellip|mdash|ndash|[lr]dquo|[lr]squo|#\d{2,6}|#x[0-9a-f]{2,5});", re.I)
+_ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+#: Code points of which three that a text does not hold mark what is set aside and the items of HTML lists: first the
+#: noncharacters, which no entity stands for.
+MARKS = [*range(0xFDD0, 0xFDF0), *(plane << 16 | low for plane in range(17) for low in (0xFFFE, 0xFFFF)), *range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE)]
+
+
+def has_entity(text: str) -> bool:
+    """Whether the text holds a numeric entity or one of the named ones of HTML."""
+    return any(m.group()[1] == "#" or m.group()[1:] in html5 for m in _ENTITY.finditer(text))
 
 
 class Node:
@@ -129,7 +143,7 @@ def content(root: Node) -> tuple[Node, float]:
     best, stack = root, [root]
     while stack:
         n = stack.pop()
-        if n.total > best.total:
+        if n.total > best.total and n.name in CONTAINER:
             best = n
         stack += [c for c in n.children if isinstance(c, Node)]
     threshold, up = best.density, best
@@ -138,17 +152,13 @@ def content(root: Node) -> tuple[Node, float]:
     return best, threshold
 
 
-def _kept(n: Node, best: Node, threshold: float) -> bool:
-    if n.name in NO_CONTENT:
-        return False
-    if n.name in STRUCTURE or n.name not in BLOCK or n.density >= threshold:
-        return True
-    up = best
+def _path(best: Node) -> set[int]:
+    """The content and what it lies in."""
+    out, up = set(), best
     while up is not None:
-        if up is n:
-            return True
+        out.add(id(up))
         up = up.parent
-    return n.link_chars * 2 <= n.chars
+    return out
 
 
 class Converter:
@@ -157,12 +167,14 @@ class Converter:
     def __init__(self) -> None:
         self.syntaxes: set[str] = set()
         self.aside: list[str] = []
+        self.dropped: list[str] = []
+        self.open, self.close, self.item = map(chr, MARKS[:3])
 
     def keep(self, body: str, syntax: str | None, block: bool = False) -> str:
         if syntax:
             self.syntaxes.add(syntax)
         self.aside.append(body)
-        mark = f"\ue000{len(self.aside) - 1}\ue001"
+        mark = f"{self.open}{len(self.aside) - 1}{self.close}"
         return f"\n{mark}\n" if block else mark
 
     # HTML
@@ -176,16 +188,23 @@ class Converter:
             densities(root)
             best, threshold = content(root)
             out: list[str] = []
-            self.write(root, best, threshold, out, False)
+            self.write(root, best, _path(best), threshold, out, False, best is root)
             text = "".join(out)
-        if _ENTITY.search(text):
+        if has_entity(text):
             self.syntaxes.add("html")
             text = html.unescape(text).replace("\xa0", " ")
         return text
 
-    def write(self, n: Node, best: Node, threshold: float, out: list[str], in_row: bool) -> None:
-        if not _kept(n, best, threshold):
+    def write(self, n: Node, best: Node, path: set[int], threshold: float, out: list[str], in_row: bool, inside: bool) -> None:
+        """Text of a node; inside: whether it lies in the content."""
+        inside = inside or n is best
+        if n.name in NO_CONTENT:
             return
+        if not inside and id(n) not in path and n.name in BLOCK and n.name not in SHORT:
+            if n.density < threshold:
+                self.dropped.append(self.raw(n))
+                return
+            inside = True  # a list or table stays as a whole
         name = n.name
         if name == "pre":
             raw = html.unescape(self.raw(n)).strip("\n")
@@ -203,7 +222,7 @@ class Converter:
                 if isinstance(c, Node) and c.name in ("td", "th"):
                     part: list[str] = []
                     for x in c.children:
-                        self.one(x, best, threshold, part, True)
+                        self.one(x, best, path, threshold, part, True, inside)
                     cells.append(re.sub(r"\s+", " ", "".join(part)).strip())
             self.line_end(out)
             out.append(" | ".join(cells) + "\n")
@@ -212,9 +231,9 @@ class Converter:
         if block:
             self.line_end(out)
         if name == "li":
-            out.append("\ue002")
+            out.append(self.item)
         for x in n.children:
-            self.one(x, best, threshold, out, in_row)
+            self.one(x, best, path, threshold, out, in_row, inside)
         if block:
             self.line_end(out)
 
@@ -223,12 +242,12 @@ class Converter:
         if out and not out[-1].endswith("\n"):
             out.append("\n")
 
-    def one(self, x: Node | str, best: Node, threshold: float, out: list[str], in_row: bool) -> None:
+    def one(self, x: Node | str, best: Node, path: set[int], threshold: float, out: list[str], in_row: bool, inside: bool) -> None:
         if isinstance(x, str):
             # a line break in HTML is a space
             out.append(re.sub(r"[ \t]*\n[ \t]*", " " if in_row else "\n", x))
         else:
-            self.write(x, best, threshold, out, in_row)
+            self.write(x, best, path, threshold, out, in_row, inside)
 
     def raw(self, n: Node) -> str:
         return "".join(c if isinstance(c, str) else "\n" if c.name == "br" else self.raw(c) for c in n.children)
@@ -356,7 +375,7 @@ class Converter:
             text = drop(r"~~(?=[^\s~])([^~\n]+?)~~", r"\1", "markdown", text)
         if "\\" in text:
             text = drop(r"\\textbackslash(?:\{\})?", lambda m: self.keep("\\", None), "latex", text)
-            for _ in range(4):
+            while True:  # a level of nesting each time
                 new = drop(r"\\(?:textbf|textit|texttt|textsf|textsc|emph|underline|uline|mbox|text|title|author|caption|chapter\*?|section\*?|subsection\*?|subsubsection\*?|paragraph\*?)\{([^{}]*)\}", r"\1", "latex", text)
                 new = drop(r"\\footnote\{([^{}]*)\}", r"（\1）", "latex", new)
                 new = drop(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", "latex", new)
@@ -372,8 +391,10 @@ class Converter:
         return text
 
     def convert(self, text: str) -> str:
-        # \ue000, \ue001 and \ue002 mark what is set aside and the items of HTML lists
-        text = re.sub("[\ue000-\ue002]", "", text).replace("\r\n", "\n").replace("\r", "\n")
+        if any(chr(c) in text for c in MARKS[:3]):
+            held = set(text)
+            self.open, self.close, self.item = [chr(c) for c in MARKS if chr(c) not in held][:3]
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
         if _ESCAPED.search(text):
             self.syntaxes.add("html")
             text = html.unescape(text)
@@ -383,9 +404,15 @@ class Converter:
         else:
             text = self.protect(self.from_html(text))
         text = self.inline(self.lines(text))
-        for _ in range(2):
-            text = re.sub("\ue000(\\d+)\ue001", lambda m: self.aside[int(m[1])], text)
-        text = re.sub("\ue002[ \\t\\n]*", "- ", text)
+        mark = re.compile(f"{self.open}(\\d+){self.close}")
+        while mark.search(text):  # what is set aside may hold marks of what was set aside before
+            text = mark.sub(lambda m: self.aside[int(m[1])], text)
+        text = re.sub(f"{self.item}[ \\t\\n]*", "- ", text)
+        for part in self.dropped:
+            other = Converter()
+            other.open, other.close, other.item, other.aside = self.open, self.close, self.item, self.aside
+            other.inline(other.lines(other.protect(part)))
+            self.syntaxes |= other.syntaxes
         text = "\n".join(x.rstrip() if x[:1].isspace() else x.strip() for x in text.split("\n"))
         return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
 
@@ -394,6 +421,7 @@ def convert(text: str | None) -> tuple[str | None, list[str]]:
     """(clean text, sorted languages) of one text."""
     if text is None:
         return None, []
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * MAX_DEPTH))
     c = Converter()
     clean = c.convert(text)
     return clean, sorted(c.syntaxes)
@@ -401,7 +429,7 @@ def convert(text: str | None) -> tuple[str | None, list[str]]:
 
 #: Java regex of what any notation above needs; texts without it are clean already. It is wider than the patterns of
 #: `lines` and `inline`: a line sign counts alone, behind any white space that `str.strip` takes off.
-SIGNS = r"[<*#_`\\$|\ue000-\ue002]|&[a-zA-Z#]|\[\[|\]\(|\[https?://|\{\{|''|~~|(?mU)^(?:[^\S\n\r]|[\x1c-\x1f])*+(?:[-+>:;]|={2,})"
+SIGNS = r"[<*#_`\\$|]|&[a-zA-Z#]|\[\[|\]\(|\[https?://|\{\{|''|~~|(?mU)^(?:[^\S\n\r]|[\x1c-\x1f])*+(?:[-+>:;]|={2,})"
 
 
 def clean_markup(df: DataFrame, key: list[str], text: str, only_marked: bool = False) -> DataFrame:

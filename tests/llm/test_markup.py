@@ -47,7 +47,24 @@ def test_density_drops_links_and_keeps_content():
     assert best.chars > 200 and 0 < threshold <= best.density
 
 
-@pytest.mark.parametrize("bad", ["</p></div>", "<p><b>未闭合", "<table><tr><td>a</table><td>b", "<" * 500, "&" * 500, "[[" * 300, "**" * 400, "$" * 401, "{" * 100, "'" * 99, "\ue0005\ue001", "<a " * 300, "\\" * 51, "<li>" * 3000, "<b>" * 5000 + "x"])
+def test_what_lies_outside_of_the_content():
+    body = "<div>" + "".join(f"<p>第{k}段，正文内容很长，并且没有链接。</p>" for k in range(9)) + "<p>短</p></div>"
+    page = "<h1>标题</h1><div><p>本站 声明</p><p>**版权**</p></div><ul><li>首<li>页</ul>" + body
+    clean, syntaxes = mk.convert(page)
+    assert clean.startswith("标题\n第0段") and clean.endswith("短") and "声明" not in clean and "首" not in clean
+    assert syntaxes == ["html", "markdown"]  # notation counts where it is left out, too
+    # a list is no container: paragraphs around it stay
+    assert mk.convert("<p>短段落</p><ul>" + "<li>很长的一项内容，占了大部分篇幅</li>" * 9 + "</ul>")[0].startswith("短段落\n- 很长")
+
+
+def test_without_caps():
+    assert mk.convert("\\textbf{" * 6 + "深" + "}" * 6) == ("深", ["latex"])
+    assert mk.convert("\ue0001\ue001 `码`\ufdd0")[0] == "\ue0001\ue001 码\ufdd0"
+    assert mk.convert("<div>" * 400 + "深" + "</div>" * 400)[0] == "深"
+    assert mk.convert("caf&eacute; &#20013;&#x6587; &copy; R&D; AT&T") == ("café 中文 © R&D; AT&T", ["html"]) and mk.convert("R&D; &foo;")[1] == []
+
+
+@pytest.mark.parametrize("bad", ["</p></div>", "<p><b>未闭合", "<table><tr><td>a</table><td>b", "<" * 500, "&" * 500, "[[" * 300, "**" * 400, "$" * 401, "{" * 100, "'" * 99, "\ue0005\ue001", "\ufdd05\ufdd1<p>x", "&#xfdd0;5&#xfdd1;<p>", "<a " * 300, "\\" * 51, "<li>" * 3000, "<b>" * 5000 + "x"])
 def test_malformed_input_does_not_fail(bad):
     clean, syntaxes = mk.convert(bad)
     assert isinstance(clean, str)
@@ -61,7 +78,7 @@ def test_frame(spark):
     assert mk.clean_markup(df.limit(0), ["id"], "t").count() == 0
 
 
-ALONE = [":: 一", ":::\t一", ";术语: 义", "; 术语: 义", ">> 引", ">  引", "-\t项", "+\t项", "标题\n---", "标题\n===", "文\r:: 一", "\u3000: 一", "\x1c- 项", "见[https://a.example/x 链接]处", "\ue000: 一"]
+ALONE = [":: 一", ":::\t一", ";术语: 义", "; 术语: 义", ">> 引", ">  引", "-\t项", "+\t项", "标题\n---", "标题\n===", "文\r:: 一", "\u3000: 一", "\x1c- 项", "见[https://a.example/x 链接]处"]
 
 
 def test_every_notation_passes_the_prefilter(spark):
