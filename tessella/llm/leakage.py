@@ -1,27 +1,31 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Letters and digits (after NFKC and lower-casing) of every corpus text and every test passage are cut
-into windows of `window` characters: at every position of a passage, and in a text at every
-`run - window + 1` positions, so that any common run of `run` characters holds an aligned window of
-the text that equals some window of the passage. Windows get 64-bit SimHash fingerprints over
-weighted character shingles (weights: counts). Fingerprints within Hamming distance `radius` are found by a
-multi-index of `radius + 1` blocks: two such fingerprints agree in at least one whole block. Candidates
-are verified by the exact weighted-shingle similarity of the two windows, and last by the length of
-the exact common run around them.
-
-The passages are a stated query set, held against all rows in blocks of at most `block_chars`
-characters: each block is one pass over the corpus, so what is sent to the executors stays bounded.
-The corpus is never shuffled, collected, joined or sampled.
+Letters and digits (after NFKC and lower-casing) of every corpus text and every test passage are cut into windows, which get
+64-bit SimHash fingerprints over weighted character shingles (weights: counts). Fingerprints within Hamming distance `radius`
+are found by a multi-index of `radius + 1` blocks: two such fingerprints agree in at least one whole block. Candidates are
+verified by the exact weighted-shingle similarity of the two windows.
+
+* `find_near` takes windows as long as the passages (in classes of nearly equal length) and reports the passages that occur as
+  a whole, also with some letters changed, left out or put in.
+* `find_leaks` wants parts of a passage as well, which no window of the passage's size resembles. It cuts a passage at every
+  position and a text at every `run - window + 1` positions into windows of `window` characters, so that any common run of `run`
+  characters holds an aligned window of the text that equals some window of the passage, and verifies
+  candidates further by the length of the exact common run around them.
+
+The passages are a stated query set, held against all rows in blocks of at most `block_chars` characters; a pass over the
+corpus folds each text once and tries up to `PASS_BLOCKS` blocks, which are broadcast once, so what is sent to the executors
+stays bounded. The corpus is never shuffled, collected, joined or sampled.
 
 Defined results: null, empty or too short texts and passages match nothing; repeated rows give the
-pair once; ties do not arise; columns other than the named ones are not read.
+pair once; of several places the greatest similarity counts; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 from tessella.llm.codepoints import fold, fold_all
 
 RUN, WINDOW, SHINGLE, RADIUS, SIMILARITY = 40, 24, 3, 3, 0.8
-BLOCK_CHARS = 2_000_000
+#: Item-sized windows: the radius, the ratio of neighbouring window sizes, the shortest size, steps for each window.
+NEAR_RADIUS, GROWTH, SHORTEST, STEPS = 11, 1.12, 24, 8
+BLOCK_CHARS, PASS_BLOCKS = 2_000_000, 8
 #: Characters (and windows) of corpus text that are fingerprinted at once (bounds the memory of a worker).
 SLICE = 400_000
 #: The bits of a byte as eight bytes of 0 or 1.
@@ -75,17 +81,12 @@ def window_starts(bounds: np.ndarray, window: int, stride: int) -> tuple[np.ndar
     return text, bounds[:-1][text] + step * stride
 
 
-class Index:
-    """Multi-index over the windows of a block of passages."""
+class MultiIndex:
+    """Fingerprints by each of their `radius + 1` blocks."""
 
-    def __init__(self, ids: list[int], texts: list[np.ndarray], window: int, radius: int):
-        self.ids, self.window, self.radius, self.blocks = ids, window, radius, radius + 1
+    def __init__(self, fp: np.ndarray, radius: int):
+        self.fp, self.radius, self.blocks = fp, radius, radius + 1
         self.width = 64 // self.blocks
-        bounds = np.cumsum([0, *map(len, texts)])
-        self.of, starts = window_starts(bounds, window, 1)
-        self.fp = fingerprints(np.concatenate([np.empty(0, np.uint32), *texts]), starts, window)
-        self.at = starts - bounds[:-1][self.of]
-        self.texts = [t.tobytes() for t in texts]
         self.tables = []
         for b in range(self.blocks):
             v = self.block(self.fp, b)
@@ -113,6 +114,53 @@ class Index:
         return both // max(1, len(self.fp)), both % max(1, len(self.fp))
 
 
+class Index(MultiIndex):
+    """All windows of one size of a block of passages."""
+
+    def __init__(self, ids: list[int], texts: list[np.ndarray], window: int, radius: int):
+        self.ids, self.window = ids, window
+        bounds = np.cumsum([0, *map(len, texts)])
+        self.of, starts = window_starts(bounds, window, 1)
+        self.at = starts - bounds[:-1][self.of]
+        self.texts = [t.tobytes() for t in texts]
+        super().__init__(fingerprints(np.concatenate([np.empty(0, np.uint32), *texts]), starts, window), radius)
+
+
+def shingle_hashes(a: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    n = max(0, len(a) - shingle + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(shingle):
+        h = h * np.uint64(0x10001F) + a[k : n + k]
+    return _mix(h)
+
+
+def bit_sums(a: np.ndarray) -> np.ndarray:
+    """Row i: how often each bit is set in the hashes of the shingles that begin before i."""
+    bits = np.unpackbits(shingle_hashes(a).view(np.uint8).reshape(-1, 8), axis=1)
+    return np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
+
+
+def spans(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """SimHash of a[start:stop] for all spans, from `bit_sums`."""
+    ends = stops - SHINGLE + 1
+    return np.packbits(sums[ends] - sums[starts] > ((ends - starts) // 2)[:, None], axis=1).view(np.uint64).ravel()
+
+
+class Sized:
+    """The passages of a block by size: class k holds those of at least SHORTEST * GROWTH ** k characters, below the next class."""
+
+    def __init__(self, ids: list[int], texts: list[np.ndarray], radius: int):
+        self.ids, self.texts = ids, texts
+        size = np.array([len(t) for t in texts])
+        level = np.floor(np.log(np.maximum(size, SHORTEST) / SHORTEST) / np.log(GROWTH) + 1e-9).astype(int)
+        self.classes = []
+        for k in np.unique(level[size >= SHORTEST]):
+            which = np.flatnonzero((level == k) & (size >= SHORTEST))
+            fp = np.concatenate([spans(bit_sums(texts[i]), np.array([0]), np.array([len(texts[i])])) for i in which])
+            self.classes.append((int(size[which].mean()), which, MultiIndex(fp, radius)))
+        self.widest = max((w for w, _, _ in self.classes), default=0)
+
+
 def weighted_similarity(a: bytes, b: bytes, shingle: int = SHINGLE) -> float:
     """Weighted Jaccard of the shingle counts of two windows (4 bytes a character)."""
     x, y = (Counter(s[i : i + 4 * shingle] for i in range(0, len(s) - 4 * shingle + 1, 4)) for s in (a, b))
@@ -163,27 +211,109 @@ def leaks(texts: list[str | None], index: Index, run: int, similarity: float) ->
     return sorted(out)
 
 
-def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, fields: list[str], run: int = RUN, window: int = WINDOW, radius: int = RADIUS, similarity: float = SIMILARITY, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row (doc_id, item_id) for each text that shares `run` consecutive letters or digits with a field of an item."""
-    if not 2 * SHINGLE <= window <= min(run, 250):
-        raise ValueError("a window must hold some shingles and not exceed the run")
+def aligned_similarity(text: np.ndarray, around: int, reach: int, passage: np.ndarray) -> float:
+    """The similarity of the passage to as many characters of the text, put where most of their shingles meet, near `around`."""
+    lo = max(0, around - reach)
+    part, own = shingle_hashes(text[lo : around + len(passage) + reach]), shingle_hashes(passage)
+    order = np.argsort(own, kind="stable")
+    at = np.minimum(np.searchsorted(own[order], part), len(own) - 1)
+    meet = own[order][at] == part
+    if not meet.any():
+        return 0.0
+    shift = np.flatnonzero(meet) - order[at[meet]]
+    start = max(0, lo + int(np.bincount(shift - shift.min()).argmax()) + int(shift.min()))
+    return weighted_similarity(text[start : start + len(passage)].tobytes(), passage.tobytes())
+
+
+def near(texts: list[str | None], index: Sized, similarity: float) -> dict[tuple[int, int], float]:
+    """(position in texts, item id): the greatest similarity of a passage of the item to a part of the text, if it reaches `similarity`."""
+    out: dict[tuple[int, int], float] = {}
+    lo = 0
+    while lo < len(texts):
+        hi, held = lo, 0
+        while hi < len(texts) and (held < SLICE or hi == lo):
+            held += len(texts[hi] or "")
+            hi += 1
+        a, bounds = fold_all(texts[lo:hi])
+        for seg in range(0, len(a), SLICE // 4):  # bounds the memory of the sums
+            part = a[seg : seg + SLICE // 4 + index.widest]
+            sums = bit_sums(part) if len(part) >= SHINGLE else None
+            for window, which, multi in index.classes if sums is not None else ():
+                short = int(window * similarity)  # the end of a text, or a short text, may be a whole passage with some letters left out
+                doc, start = window_starts(bounds, short, max(1, window // STEPS))
+                mine = (start >= seg) & (start < seg + SLICE // 4)
+                doc, start = doc[mine], start[mine]
+                stop = np.minimum(start + window, bounds[1:][doc])
+                who, win = multi.near(spans(sums, start - seg, stop - seg))
+                for p, q in zip(who.tolist(), win.tolist()):
+                    k, passage = int(doc[p]), index.texts[which[q]]
+                    text = a[bounds[k] : bounds[k + 1]]
+                    key = (lo + k, index.ids[which[q]])
+                    found = aligned_similarity(text, int(start[p] - bounds[k]), window // STEPS, passage)
+                    if found >= similarity and found > out.get(key, 0.0):
+                        out[key] = found
+        lo = hi
+    return out
+
+
+_BUILT: dict[str, list] = {}
+
+
+def _built(name: str, shared, make: Callable) -> list:
+    """The indexes of the blocks of a broadcast with a unique name, made once in each Python worker; only the latest are kept."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = [make(ids, texts) for ids, texts in shared.value]
+    return _BUILT[name]
+
+
+def _passes(items: DataFrame, item_id: str, fields: list[str], block_chars: int) -> Iterator[list[tuple[list[int], list[np.ndarray]]]]:
+    """The folded passages of a stated query set, in blocks; at most PASS_BLOCKS blocks at a time."""
     passages = items.select(F.col(item_id).alias("i"), F.explode(F.array(*fields)).alias("t")).filter(F.col("t").isNotNull() & F.col("i").isNotNull())
     size = passages.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-size * 2 // block_chars))
-    kinds = {f.name: f.dataType.simpleString() for f in corpus.schema} | {"__item": items.schema[item_id].dataType.simpleString()}
-    schema = f"`{doc_id}` {kinds[doc_id]}, `{item_id}` {kinds['__item']}"
+    for first in range(0, blocks, PASS_BLOCKS):
+        some = []
+        for b in range(first, min(blocks, first + PASS_BLOCKS)):
+            rows = passages.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).distinct().collect()
+            some.append(([r.i for r in rows], [fold(r.t) for r in rows]))
+        yield some
+
+
+def _over_corpus(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, fields: list[str], block_chars: int, make: Callable, search: Callable, extra: str) -> DataFrame:
+    """Rows (doc_id, item_id, extra) of `search(texts, index)` for all texts and all blocks of passages."""
+    names = [doc_id, item_id, *([extra.split()[0]] if extra else [])]
+    schema = f"`{doc_id}` {corpus.schema[doc_id].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}{', ' + extra if extra else ''}"
     column = corpus.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter(F.col("t").isNotNull())  # a short text may hold a run after NFKC
     parts = []
-    for b in range(blocks):
-        rows = passages.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).distinct().collect()
-        ids, texts = [r.i for r in rows], [fold(r.t) for r in rows]
+    for some in _passes(items, item_id, fields, block_chars):
+        shared, name = corpus.sparkSession.sparkContext.broadcast(some), uuid4().hex
 
-        def work(batches: Iterator[pd.DataFrame], ids=ids, texts=texts) -> Iterator[pd.DataFrame]:
-            index = Index(ids, texts, window, radius)
+        def work(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            indexes = _built(name, shared, make)
             for pdf in batches:
-                found = leaks(pdf["t"].tolist(), index, run, similarity)
-                if found:
-                    yield pd.DataFrame({doc_id: pdf["d"].to_numpy()[[k for k, _ in found]], item_id: [i for _, i in found]})
+                texts, ids = pdf["t"].tolist(), pdf["d"].to_numpy()
+                for index in indexes:
+                    found = search(texts, index)
+                    if found:
+                        yield pd.DataFrame([(ids[k], *rest) for k, *rest in found], columns=names)
 
         parts.append(column.mapInPandas(work, schema))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, fields: list[str], run: int = RUN, window: int = WINDOW, radius: int = RADIUS, similarity: float = SIMILARITY, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row (doc_id, item_id) for each text that shares `run` consecutive letters or digits with a field of an item."""
+    if not 2 * SHINGLE <= window <= min(run, 250):
+        raise ValueError("a window must hold some shingles and not exceed the run")
+    make = lambda ids, texts: Index(ids, texts, window, radius)
+    search = lambda texts, index: leaks(texts, index, run, similarity)
+    return _over_corpus(corpus, doc_id, text, items, item_id, fields, block_chars, make, search, "").distinct()
+
+
+def find_near(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, fields: list[str], radius: int = NEAR_RADIUS, similarity: float = SIMILARITY, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row (doc_id, item_id, similarity) for each text that holds a whole passage of an item, unchanged or nearly so."""
+    make = lambda ids, texts: Sized(ids, texts, radius)
+    search = lambda texts, index: [(k, i, s) for (k, i), s in near(texts, index, similarity).items()]
+    rows = _over_corpus(corpus, doc_id, text, items, item_id, fields, block_chars, make, search, "similarity double")
+    return rows.groupBy(doc_id, item_id).agg(F.max("similarity").alias("similarity"))

@@ -94,6 +94,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["question", "answer"])
 
 
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    near = leakage.find_near(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["question", "answer"])
+    return near.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 def p8_grades(spark: SparkSession, d: str) -> DataFrame:
     return reading.grade_documents(table(spark, d, "documents"), table(spark, d, "reading_labels"), "doc_id", "text", "grade")
 

@@ -85,3 +85,47 @@ def test_short_text_that_nfkc_lengthens(spark):
     items = spark.createDataFrame([(7, unicodedata.normalize("NFKC", "\ufdfa" * 3), None)], "item_id long, question string, answer string")
     got = lk.find_leaks(docs, "doc_id", "text", items, "item_id", ["question", "answer"])
     assert [tuple(r) for r in got.collect()] == [(1, 7)]
+
+
+def test_whole_passages_with_edits_against_brute_force(spark):
+    rnd = random.Random(8)
+    han = [chr(0x4E00 + rnd.randrange(900)) for _ in range(400)]
+    items = [(k, "".join(rnd.choice(han) for _ in range(rnd.randrange(60, 120))), None) for k in range(8)]
+
+    def edited(t, n):
+        t = list(t)
+        for _ in range(n):
+            t[rnd.randrange(len(t))] = rnd.choice(["", "改", "一，二"])
+        return "".join(t)
+
+    texts = [(0, None), (1, ""), (2, items[0][1][:50])]
+    for d in range(3, 40):
+        k = rnd.randrange(8)
+        texts.append((d, "".join(rnd.choice(han) for _ in range(rnd.randrange(80))) + edited(items[k][1], rnd.randrange(4)) + "".join(rnd.choice(han) for _ in range(rnd.randrange(80)))))
+    folded = {i: lk.fold(q) for i, q, _ in items}
+
+    def brute(t, p):
+        return max((lk.weighted_similarity(t[s : s + len(p)].tobytes(), p.tobytes()) for s in range(max(1, len(t) - len(p) + 1))), default=0)
+
+    want = {}
+    for d, t in texts:
+        for i, p in folded.items():
+            s = brute(lk.fold(t), p)
+            if s >= 0.8:
+                want[d, i] = s
+    corpus = spark.createDataFrame([(d, t, "x") for d, t in texts] * 2, "doc_id long, text string, item_id string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in lk.find_near(corpus, "doc_id", "text", spark.createDataFrame(items, "item_id long, question string, answer string"), "item_id", ["question", "answer"]).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want) > 20
+    assert all(s <= want[k] + 1e-9 for k, s in got.items())
+    none = lk.find_near(corpus, "doc_id", "text", spark.createDataFrame([], "item_id long, question string, answer string"), "item_id", ["question", "answer"])
+    assert none.count() == 0
+
+
+def test_blocks_of_passages_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(lk, "PASS_BLOCKS", 2)
+    rnd = random.Random(9)
+    items = [(k, "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(60)), None) for k in range(20)]
+    corpus = spark.createDataFrame([(k, "前" + q[:45] + "后") for k, q, _ in items], "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, question string, answer string")
+    got = {(r.doc_id, r.item_id) for r in lk.find_leaks(corpus, "doc_id", "text", frame, "item_id", ["question", "answer"], block_chars=400).collect()}
+    assert got == {(k, k) for k in range(20)}
