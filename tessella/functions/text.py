@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&middot;": "·", "&copy;": "©", "&times;": "×", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
 #: Java regex of what may be any other entity, with or without `;`.
 OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e in ENTITIES) + ");)[#a-zA-Z]"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TOKEN = r"[\x{4e00}-\x{9fff}]|[A-Za-z0-9_]+"
 
 
@@ -31,8 +32,10 @@ def non_blank(c: Column | str) -> Column:
 
 
 def bm25_tokens(c: Column | str) -> Column:
-    """One token for each Han character, lower-cased runs of ASCII letters, digits and `_`; all else separates."""
-    return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
+    """One token for each Han character, lower-cased runs of ASCII letters, digits and `_`; all else separates.
+
+    Only ASCII is lower-cased, and before the search: `lower` would turn other letters into ASCII ones."""
+    return F.regexp_extract_all(F.translate(F.coalesce(col(c), F.lit("")), UPPER, UPPER.lower()), F.lit(TOKEN), F.lit(0))
 
 
 @F.pandas_udf(T.StringType())
@@ -89,7 +92,3 @@ def page_number(page_idx: Column | str, page: Column | str) -> Column:
     """The first of the two that is a whole number (digits only)."""
     as_int = [F.when(col(p).cast("string").rlike("^[0-9]+$"), col(p).cast("string").try_cast("int")) for p in (page_idx, page)]
     return F.coalesce(*as_int)
-
-
-def ordered_unique(c: Column | str) -> Column:
-    return F.array_distinct(c)

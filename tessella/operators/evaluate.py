@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tessella.functions import vector as vec
+from tessella.session import lagged
 
 
 def adjacent_distance(rows: DataFrame, group: str, order: str, embedding: str) -> DataFrame:
     """(group, segments, score): the mean of 1 - cosine of neighbours; 0 with fewer than two segments."""
-    pair = rows.withColumn("__before", F.lag(embedding).over(W.partitionBy(group).orderBy(order)))
+    pair = lagged(rows.select(group, order, embedding), [group], order, embedding, "__before")
     return pair.groupBy(group).agg(F.count("*").alias("segments"), F.coalesce(F.avg(F.when(F.col("__before").isNotNull(), 1 - vec.cosine("__before", embedding))), F.lit(0.0)).alias("score"))
 
 

@@ -1,51 +1,85 @@
 """Dense and sparse indexes as plain tables, with one logical sub-index per `index_dir`.
 
-The sparse index is three tables: postings (index, rid, term, tf, dl), term statistics and index
-statistics; the dense one is a column of unit vectors. Row numbers are explicit columns.
+The sparse index is three tables: tokens of each row (whose postings are made for the terms that are asked), term statistics
+and index statistics; the dense one is a column of unit vectors. Row numbers are explicit columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.functions import vector as vec
-from tessella.session import broadcast_if_small
+from tessella.session import broadcast_if_small, cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(rows: DataFrame, index: str, rid: str, text: str, only: DataFrame | None = None) -> DataFrame:
-    """(idx, rid, term, tf, dl) of every row with tokens. dl is taken before terms are exploded; a row's counts are combined in its task.
+def tokenized(rows: DataFrame, index: str, rid: str, text: str) -> DataFrame:
+    """(idx, rid, tokens, dl): texts as tokens, which the statistics, document frequencies and postings are made from."""
+    tokens = rows.select(F.col(index).alias("idx"), F.col(rid).alias("rid"), tx.bm25_tokens(text).alias("tokens"))
+    return tokens.withColumn("dl", F.size("tokens"))
+
+
+def postings(tokens: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(idx, rid, term, tf, dl) of every row with tokens; a row's counts are combined in its task.
 
     only: (term) of a small set; other terms are dropped before the shuffle."""
-    tokens = rows.select(F.col(index).alias("idx"), F.col(rid).alias("rid"), tx.bm25_tokens(text).alias("tokens"))
-    each = tokens.select("idx", "rid", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    each = tokens.select("idx", "rid", "dl", F.explode("tokens").alias("term"))
     if only is not None:
         each = each.join(broadcast_if_small(only.select("term").distinct()), "term", "left_semi")
     return each.groupBy("idx", "rid", "dl", "term").agg(F.count("*").alias("tf")).select("idx", "rid", "term", "tf", "dl")
 
 
-def index_stats(rows: DataFrame, index: str, text: str) -> DataFrame:
+def index_stats(tokens: DataFrame) -> DataFrame:
     """(idx, n, avgdl): rows (with or without tokens) and their mean number of tokens."""
-    dl = F.size(tx.bm25_tokens(text))
-    return rows.groupBy(F.col(index).alias("idx")).agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"))
+    return tokens.groupBy("idx").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def document_frequencies(rows: DataFrame, index: str, text: str) -> DataFrame:
+def document_frequencies(tokens: DataFrame) -> DataFrame:
     """(idx, term, df): rows that have the term, without making postings: each row's distinct tokens are combined before the shuffle."""
-    each = rows.select(F.col(index).alias("idx"), F.explode(F.array_distinct(tx.bm25_tokens(text))).alias("term"))
-    return each.groupBy("idx", "term").agg(F.count("*").alias("df"))
+    return tokens.select("idx", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("idx", "term").agg(F.count("*").alias("df"))
 
 
 def term_stats(df: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """(idx, term, df, idf): ln(n - df + 0.5) - ln(df + 0.5), negative ones raised to epsilon times the mean over the index's terms."""
+    """(idx, term, df, idf): ln(n - df + 0.5) - ln(df + 0.5), negative ones raised to epsilon times the mean over the index's terms.
+
+    df and stats are materialised tables."""
     raw = df.join(broadcast_if_small(stats.select("idx", "n"), True), "idx").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("idx").agg(F.avg("raw").alias("mean"))
     return raw.join(broadcast_if_small(mean), "idx").select("idx", "term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
+@dataclass
+class SparseIndex:
+    """The stored sparse index: tokens (idx, rid, tokens, dl), terms (idx, term, df, idf), stats (idx, n, avgdl)."""
+
+    tokens: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    @classmethod
+    def build(cls, rows: DataFrame, index: str, rid: str, text: str) -> SparseIndex:
+        """Texts are read and tokenised once; all tables are kept in the shared folder."""
+        tokens = cut(tokenized(rows, index, rid, text))
+        stats = cut(index_stats(tokens))
+        return cls(tokens, cut(term_stats(cut(document_frequencies(tokens)), stats)), stats)
+
+    def write(self, path: str, facts: DataFrame) -> None:
+        """Three folders, partitioned by kind and year (of `facts`: idx, doc_type, year), so that routing prunes folders."""
+        for name in ("tokens", "terms", "stats"):
+            write_index(getattr(self, name).join(facts, "idx", "left"), f"{path}/{name}")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, routed: Column | None = None) -> SparseIndex:
+        """The stored index, or of it the folders of some kinds and years: a condition over doc_type and year."""
+        read = [spark.read.parquet(f"{path}/{name}") for name in ("tokens", "terms", "stats")]
+        return cls(*((t if routed is None else t.filter(routed)).drop("doc_type", "year") for t in read))
+
+
 def dense_index(rows: DataFrame, embedding: str) -> DataFrame:
     """`rows` with unit vectors in `unit`."""
     return rows.withColumn("unit", vec.l2_normalize(embedding))
@@ -66,5 +100,5 @@ def resume(rows: DataFrame, earlier: DataFrame, key: list[str], old: str, new: s
 
 
 def write_index(df: DataFrame, path: str) -> None:
-    """An index table, partitioned by kind and year so that routing prunes folders."""
+    """An index table, partitioned by kind and year so that routing prunes folders; the kinds and years written replace those that were there."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_type", "year").parquet(path)

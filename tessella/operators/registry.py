@@ -54,14 +54,22 @@ def index_registry(docs: DataFrame, kind: str, folder: str) -> DataFrame:
     return docs.select(F.lit(kind).alias("kind"), "doc_id", "doc_type", year_key().alias("year_key"), F.concat(F.lit(folder + "/"), "doc_id").alias("index_dir"))
 
 
+def _few(df: DataFrame, c: str, most: int = 10_000) -> set[str]:
+    """The distinct values of a column that has few; more than `most` are refused (`route_batch` has no such bound)."""
+    values = {r[0] for r in df.select(c).distinct().limit(most + 1).collect()}
+    if len(values) > most:
+        raise ValueError(f"a registry has at most {most} values of {c}")
+    return values
+
+
 def _present(reg: DataFrame, doc_type: str | None) -> set[str]:
-    """The year keys of a kind (or of all kinds): at most some hundred distinct values."""
+    """The year keys of a kind (or of all kinds)."""
     rows = reg if doc_type is None else reg.filter(F.col("doc_type") == doc_type)
-    return {r.year_key for r in rows.filter(F.col("doc_type").isNotNull()).select("year_key").distinct().limit(10_000).collect()}
+    return _few(rows.filter(F.col("doc_type").isNotNull()), "year_key")
 
 
 def _kinds(reg: DataFrame) -> set[str]:
-    return {r.doc_type for r in reg.filter(F.col("doc_type").isNotNull()).select("doc_type").distinct().limit(10_000).collect()}
+    return _few(reg.filter(F.col("doc_type").isNotNull()), "doc_type")
 
 
 def dense_filter(reg: DataFrame, doc_type: str | None, years: list[int]) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window as W
 from tessella.functions import text as tx
 from tessella.functions import vector as vec
 from tessella.operators import index as ix
-from tessella.session import broadcast_if_small, cut
+from tessella.session import broadcast_if_small, cut, row_numbers
 
 RRF = 60
 
@@ -41,9 +41,13 @@ def blocks_of(queries: DataFrame, key: str, block: int) -> Iterator[list[Row]]:
             yield rows
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048, most: int | None = None) -> DataFrame:
     """(query_id, idx, rid, score, rank): the exact k greatest inner products per sub-index.
 
+    most: only the `most` best rows of a query over all sub-indexes, and the least of its per-index best, which scaling needs: so
+    that results do not grow with the number of sub-indexes. (If a sub-index with more than k rows is spread over tasks, the least one may
+    be a row of it that is not among its k best.)
+
     queries: (query_id, q), held against all vectors in blocks; every task multiplies its rows with the block as
     matrices and passes on only its own k best for each (query, sub-index). vectors: (idx, rid, v)."""
     kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
@@ -55,6 +59,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 204
         def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 v = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.empty((0, matrix.shape[1]))
+                found = []
                 for idx, at in pdf.groupby("idx", sort=False).indices.items():
                     rid = pdf["rid"].to_numpy()[at]
                     at = at[np.argsort(rid, kind="stable")]
@@ -63,13 +68,35 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 204
                         score = v[at] @ matrix[lo : lo + 128].T
                         best = np.argsort(-np.round(score, 9), axis=0, kind="stable")[:k]
                         n = score.shape[1]
-                        yield pd.DataFrame({"query_id": np.tile(ids[lo : lo + n], len(best)), "idx": idx, "rid": rid[best.ravel()], "score": np.take_along_axis(score, best, 0).ravel()})
+                        part = pd.DataFrame({"query_id": np.tile(ids[lo : lo + n], len(best)), "idx": idx, "rid": rid[best.ravel()], "score": np.take_along_axis(score, best, 0).ravel()})
+                        if most is None:
+                            yield part
+                        else:
+                            found.append(part)
+                            if len(found) == 64:
+                                found = [_best_and_least(pd.concat(found), most)]
+                if found:
+                    yield _best_and_least(pd.concat(found), most)
 
         part = vectors.select("idx", "rid", "v").filter("v IS NOT NULL").mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], schema)
-    return vec.top_k(out, ["query_id", "idx"], [desc("score"), F.col("rid")], k, "rank")
+    top = vec.top_k(out, ["query_id", "idx"], [desc("score"), F.col("rid")], k, "rank")
+    return top if most is None else best_and_least(top, most)
+
+
+def _best_and_least(part: pd.DataFrame, most: int) -> pd.DataFrame:
+    part = part.assign(r=part["score"].round(9)).sort_values(["query_id", "r", "idx", "rid"], ascending=[True, False, True, True], kind="stable")
+    at = part.groupby("query_id").cumcount()
+    return part[(at < most) | (at == part.groupby("query_id")["query_id"].transform("size") - 1)].drop(columns="r")
+
+
+def best_and_least(df: DataFrame, most: int) -> DataFrame:
+    """The `most` best rows of each query, and the one with the least score."""
+    best = vec.top_k(df, ["query_id"], [desc("score"), F.col("idx"), F.col("rid")], most, "__n").drop("__n")
+    least = vec.top_k(df, ["query_id"], [F.round("score", 9), F.col("idx").desc(), F.col("rid").desc()], 1, "__n").drop("__n")
+    return best.unionByName(least).distinct()
 
 
 def bm25_scores(queries: DataFrame, post: DataFrame, terms: DataFrame, stats: DataFrame, k1: float = ix.K1, b: float = ix.B) -> DataFrame:
@@ -81,30 +108,49 @@ def bm25_scores(queries: DataFrame, post: DataFrame, terms: DataFrame, stats: Da
     return hit.groupBy("query_id", "idx", "rid").agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
 
 
-def bm25_top_k(queries: DataFrame, rows: DataFrame, index: str, rid: str, text: str, k: int) -> DataFrame:
-    """(query_id, idx, rid, score, rank): the k best rows per sub-index; rows without a match score 0 and fill up to k, the least rid first."""
-    stats = cut(ix.index_stats(rows, index, text))
-    terms = ix.term_stats(cut(ix.document_frequencies(rows, index, text)), stats)
+def bm25_top_k(queries: DataFrame, index: ix.SparseIndex, k: int, most: int | None = None) -> DataFrame:
+    """(query_id, idx, rid, score, rank): the k best rows per sub-index; rows without a match score 0 and fill up to k, the least rid first.
+
+    most: only the `most` best rows of a query over all sub-indexes, and a least one; then rows without a match are filled up in
+    the first `2 * most` sub-indexes only: such rows can be among the best only if fewer than `most` rows match, and then they leave
+    enough of these sub-indexes with a row that does not. (Both bounds on such rows take scores as positive; where the mean idf of a
+    sub-index is below 0, rows that match can score below 0.)"""
     asked = cut(queries.select("query_id", "q"))
     # only the terms that are asked for need postings
-    post = ix.postings(rows, index, rid, text, asked.select(F.explode(tx.bm25_tokens("q")).alias("term")))
-    scores = bm25_scores(asked, post, terms, stats)
+    post = ix.postings(index.tokens, asked.select(F.explode(tx.bm25_tokens("q")).alias("term")))
+    scores = cut(bm25_scores(asked, post, index.terms, index.stats))
+    fill = index.tokens.select("idx", "rid").filter("idx IS NOT NULL")
+    if most is not None:
+        first = index.stats.filter("idx IS NOT NULL").orderBy("idx").limit(2 * most).select("idx")
+        fill = fill.join(broadcast_if_small(first), "idx", "left_semi")
     # among rows that score 0 only the k least rids of a sub-index can be among its k best
-    fill = vec.top_k(rows.select(F.col(index).alias("idx"), F.col(rid).alias("rid")).filter("idx IS NOT NULL"), ["idx"], [F.col("rid")], k, "n").drop("n")
+    fill = broadcast_if_small(vec.top_k(fill, ["idx"], [F.col("rid")], k, "n").drop("n"))
     zero = None
     for ids in blocks_of(asked.select("query_id"), "query_id", 4096):
         part = fill.select(F.explode(F.lit([r.query_id for r in ids])).alias("query_id"), "idx", "rid", F.lit(0.0).alias("score"))
         zero = part if zero is None else zero.unionByName(part)
     if zero is None:
         return scores.withColumn("rank", F.lit(0)).limit(0)
-    fill = zero
-    best = scores.unionByName(fill.join(scores, ["query_id", "idx", "rid"], "left_anti"))
-    return vec.top_k(best, ["query_id", "idx"], [desc("score"), F.col("rid")], k, "rank")
+    best = scores.unionByName(zero.join(scores, ["query_id", "idx", "rid"], "left_anti").select("query_id", "idx", "rid", "score"))
+    top = vec.top_k(best, ["query_id", "idx"], [desc("score"), F.col("rid")], k, "rank")
+    return top if most is None else best_and_least(top, most)
 
 
-def page_filter(df: DataFrame, first: int, last: int) -> DataFrame:
+def page_filter(df: DataFrame, first: int | None, last: int | None) -> DataFrame:
     """Rows whose page is null or within the bounds. Applied after top-k and scaling."""
-    return df.filter(F.col("page").isNull() | F.col("page").between(first, last))
+    return candidate_filter(df, first=first, last=last)
+
+
+def candidate_filter(df: DataFrame, doc_id: str | None = None, kind: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Rows of the document and type asked for (a null one is another), whose page is null or within the bounds.
+
+    Applied after top-k and scaling, so that scores and ranks keep their gaps; what is not asked for (None or empty) does not filter."""
+    keep = [F.coalesce(F.col(c), F.lit("")) == v for c, v in (("doc_id", doc_id), ("type", kind)) if v]
+    keep += [F.col("page").isNull() | (F.col("page") >= first)] if first is not None else []
+    keep += [F.col("page").isNull() | (F.col("page") <= last)] if last is not None else []
+    for condition in keep:
+        df = df.filter(condition)
+    return df
 
 
 def blend(df: DataFrame, alpha: float, norm: str = "score_norm", out: str = "score_blend") -> DataFrame:
@@ -114,7 +160,7 @@ def blend(df: DataFrame, alpha: float, norm: str = "score_norm", out: str = "sco
 
 def modal_rank(df: DataFrame, score: str = "score_raw", out: str = "rank") -> DataFrame:
     """The 1-based rank within (query, modality)."""
-    return df.withColumn(out, F.row_number().over(W.partitionBy("query_id", "modal").orderBy(desc(score), "index_dir", "rid")))
+    return row_numbers(df, ["query_id", "modal"], [desc(score), F.col("index_dir"), F.col("rid")], out)
 
 
 def rrf(df: DataFrame, alpha: float, key: list[str], score: str = "score_raw", c: int = RRF) -> DataFrame:
@@ -129,11 +175,11 @@ def rrf(df: DataFrame, alpha: float, key: list[str], score: str = "score_raw", c
 
 def dedup(df: DataFrame, keys: list[str], order: list[Column], null_is_key: bool) -> DataFrame:
     """The first row of each key in the order; rows with a null key are all kept unless null_is_key."""
-    first = df.withColumn("__n", F.row_number().over(W.partitionBy("query_id", *keys).orderBy(*order)))
-    keep = F.col("__n") == 1
-    if not null_is_key:
-        keep = keep | F.col(keys[-1]).isNull()
-    return first.filter(keep).drop("__n")
+    # a row without a key is a group of its own, so that they are not gathered
+    own = [] if null_is_key else [F.when(F.col(keys[-1]).isNull(), F.col(c)) for c in ("modal", "index_dir", "rid")]
+    named = df.withColumns({f"__own{i}": c for i, c in enumerate(own)})
+    first = vec.top_k(named, ["query_id", *keys, *(f"__own{i}" for i in range(len(own)))], order, 1, "__n")
+    return first.select(df.columns)
 
 
 def prune(df: DataFrame, score: str, pre_top_k: int, table_id: str = "table_id") -> DataFrame:
@@ -206,4 +252,4 @@ def merge_routes(results: DataFrame) -> DataFrame:
     """Results of several routes of one query, the first route (and rank) of each id; (query_id, route, rank, id)."""
     order = [F.col("route"), F.col("rank")]
     kept = dedup(results, ["id"], order, True)
-    return kept.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    return row_numbers(kept, ["query_id"], [*order, F.col("id")], "position")

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from tessella.functions import text as tx
 
-#: A span beyond this is read as this, so that a malformed number cannot fill the memory of a worker.
-MAX_SPAN = 10_000
+#: A span beyond this is read as this: such a row does not fit into a worker's memory. The standard of HTML ends at 65,534.
+MAX_SPAN = 1_000_000
 
 
 class _Grid(HTMLParser):
@@ -116,7 +116,7 @@ def table_grid(html: pd.Series) -> pd.Series:
 
 
 def grid_text(cells: Column) -> Column:
-    """Sentences `column: value，...。` of the rows below the header, the first row with two cells that are not blank; columns
+    """Sentences `column: value，...。` (fixed values: the signs and `列`) of the rows below the header, the first row with two cells that are not blank; columns
     without a name are 列1, 列2, ...; without a header all rows are data. Rows without a value give no line."""
     filled = lambda row: F.size(F.filter(row, lambda x: F.trim(x) != ""))
     header = F.array_position(F.transform(cells, lambda r: filled(r) >= 2), True).cast("int")

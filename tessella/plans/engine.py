@@ -32,6 +32,8 @@ class Parameters:
     sparse_per_index: int = 50
     rerank_top_k: int = 30
     radius: int = 1
+    #: Candidates of a question and modality over all sub-indexes; None keeps every sub-index's best, as a search of few does.
+    most: int | None = 1000
 
     @classmethod
     def routed(cls) -> Parameters:
@@ -56,14 +58,14 @@ class Engine:
         rows = rows.withColumns({"rid": F.col("ord") - 1, "raw_content": F.col("content"), "embed_text": tx.strip_html("content") if strip else F.col("content"), "doc_type": F.col("doc_meta.doc_type"), "year": F.col("doc_meta.year")})
         return ix.dense_index(providers.embed(rows, "embed_text", "embedding", self.embedder), "embedding").drop("embedding", "content")
 
-    def candidates(self, questions: DataFrame, rows: DataFrame, p: Parameters, dense: bool = True, sparse: bool = True) -> DataFrame:
-        """The union of both searches, with scores scaled per query and modality."""
+    def candidates(self, questions: DataFrame, rows: DataFrame, p: Parameters, dense: bool = True, sparse: bool = True, sparse_index: ix.SparseIndex | None = None) -> DataFrame:
+        """The union of both searches, with scores scaled per query and modality. sparse_index: a stored one of the same rows."""
         parts = []
         if dense:
             q = providers.embed(questions, "q", "v", self.embedder).filter("v IS NOT NULL").select("query_id", vec.l2_normalize("v").alias("q"))
-            parts.append(retrieval.dense_top_k(q, rows.select(F.col("index_dir").alias("idx"), "rid", F.col("unit").alias("v")), p.dense_per_index).withColumn("modal", F.lit("faiss")))
+            parts.append(retrieval.dense_top_k(q, rows.select(F.col("index_dir").alias("idx"), "rid", F.col("unit").alias("v")), p.dense_per_index, most=p.most).withColumn("modal", F.lit("faiss")))
         if sparse:
-            parts.append(retrieval.bm25_top_k(questions, rows, "index_dir", "rid", "embed_text", p.sparse_per_index).withColumn("modal", F.lit("bm25")))
+            parts.append(retrieval.bm25_top_k(questions, sparse_index or ix.SparseIndex.build(rows, "index_dir", "rid", "embed_text"), p.sparse_per_index, p.most).withColumn("modal", F.lit("bm25")))
         if not parts:
             raise ValueError("one of the searches must run")
         both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

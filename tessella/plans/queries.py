@@ -13,7 +13,7 @@ from tessella.functions import text as tx
 from tessella.functions import vector as vec
 from tessella.operators import chunking, evaluate, providers, registry, retrieval, tables, units
 from tessella.operators import index as ix
-from tessella.session import cut, table
+from tessella.session import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,13 +55,14 @@ EVAL_UNIT = ("doc_id", "unit_no", "type", "text", "content", "items", "table_tex
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("source IS NOT NULL")
+    """Documents as rows of the sub-index of their source; without one they belong to no sub-index."""
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text").filter("source IS NOT NULL"))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, n, body): the lines of documents with white space normalised."""
     split = F.posexplode(F.split(F.regexp_replace(F.col("text"), "\r\n?", "\n"), "\n", -1)).alias("n", "line")
-    return table(spark, d, "documents").select("doc_id", split).select("doc_id", "n", tx.normalize_space("line").alias("body"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", split).select("doc_id", "n", tx.normalize_space("line").alias("body"))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -85,13 +86,13 @@ def two_modes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def normalize_space(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.length(tx.normalize_space("text")).alias("n"), F.md5(tx.normalize_space("text")).alias("hash"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.length(tx.normalize_space("text")).alias("n"), F.md5(tx.normalize_space("text")).alias("hash"))
 
 
 @query
 def bm25_tokenize(spark: SparkSession, d: str) -> DataFrame:
     tokens = tx.bm25_tokens("text")
-    return table(spark, d, "documents").select("doc_id", F.size(tokens).alias("n"), F.md5(F.array_join(tokens, " ")).alias("hash"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(tokens).alias("n"), F.md5(F.array_join(tokens, " ")).alias("hash"))
 
 
 @query
@@ -289,19 +290,22 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
-    return ix.postings(documents(spark, d), "source", "doc_id", "text")
+    return ix.postings(ix.tokenized(documents(spark, d), "source", "doc_id", "text"))
+
+
+def _sparse(spark: SparkSession, d: str) -> ix.SparseIndex:
+    return ix.SparseIndex.build(documents(spark, d), "source", "doc_id", "text")
 
 
 @query
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d)
-    t = ix.term_stats(cut(ix.document_frequencies(docs, "source", "text")), cut(ix.index_stats(docs, "source", "text")))
+    t = _sparse(spark, d).terms
     return t.select("idx", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
 def bm25_topk_per_index(spark: SparkSession, d: str) -> DataFrame:
-    top = retrieval.bm25_top_k(asked(spark, d), documents(spark, d), "source", "doc_id", "text", 5)
+    top = retrieval.bm25_top_k(asked(spark, d), _sparse(spark, d), 5)
     return top.select("query_id", "idx", "rid", F.round("score", 6).alias("score"), "rank")
 
 
@@ -515,11 +519,16 @@ def resume_reuse(spark: SparkSession, d: str) -> DataFrame:
     return ix.resume(docs.withColumn("new", F.lit("new")), old, ["doc_id"], "old", "new", "body").select("doc_id", "body")
 
 
+def _recorded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    units_read = table(spark, d, "content_list").select("unit_id", "doc_id", "unit_no", "type", "text", "content", "table_text")
+    return spread(units_read), spread(table(spark, d, "meta").select("index_dir", "rid", "id", "embed_text", "raw_content")), table(spark, d, "unit_measures")
+
+
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.common_values(table(spark, d, "content_list"), table(spark, d, "meta"), table(spark, d, "unit_measures"))
+    return units.common_values(*_recorded(spark, d))
 
 
 @query
 def p2_recovered(spark: SparkSession, d: str) -> DataFrame:
-    return units.recovered_units(table(spark, d, "content_list"), table(spark, d, "meta"), table(spark, d, "unit_measures"))
+    return units.recovered_units(*_recorded(spark, d))

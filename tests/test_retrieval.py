@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from tessella.operators import evaluate, registry, retrieval
 from tessella.operators import index as ix
+from tessella.session import lagged, row_numbers
+
+
+def index(df):
+    return ix.SparseIndex.build(df, "source", "doc_id", "text")
 
 
 def hits(spark, rows):
@@ -78,9 +83,9 @@ def test_bm25_against_naive(spark):
             score = {d: sum(idf.get(t, 0) * r.count(t) * 2.5 / (r.count(t) + 1.5 * (0.25 + 0.75 * len(r) / avgdl)) for t in tok(text) if t in r) for d, r in rows.items()}
             for k, d in enumerate(sorted(score, key=lambda d: (-round(score[d], 9), d))[:3], 1):
                 want[qid, idx, d] = (k, pytest.approx(score[d]))
-    got = {(r.query_id, r.idx, r.rid): (r.rank, r.score) for r in retrieval.bm25_top_k(q, df, "source", "doc_id", "text", 3).collect()}
+    got = {(r.query_id, r.idx, r.rid): (r.rank, r.score) for r in retrieval.bm25_top_k(q, index(df), 3).collect()}
     assert got == want
-    assert retrieval.bm25_top_k(q.limit(0), df, "source", "doc_id", "text", 3).count() == 0 == retrieval.bm25_top_k(q, df.limit(0), "source", "doc_id", "text", 3).count()
+    assert retrieval.bm25_top_k(q.limit(0), index(df), 3).count() == 0 == retrieval.bm25_top_k(q, index(df.limit(0)), 3).count()
 
 
 def test_dense_against_naive(spark):
@@ -130,3 +135,60 @@ def test_incremental(spark):
     old = spark.createDataFrame([("a", " "), ("b", "alt")], "k string, old string")
     got = {r.k: r.out for r in ix.resume(df.withColumn("new", F.lit("neu")), old, ["k"], "old", "new", "out").collect()}
     assert got == {"a": "neu", "b": "alt", "c": "neu", None: "neu"}
+
+
+def test_hot_keys_give_the_same_numbers_and_neighbours(spark):
+    rows = [(1 if k % 3 else 2 + k % 5, float(k % 7), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "query_id int, s double, rid int")
+    order = [F.col("s").desc(), F.col("rid")]
+    plain = {(r.query_id, r.rid): r.n for r in row_numbers(df, ["query_id"], order, "n").collect()}
+    split = row_numbers(df, ["query_id"], order, "n", hot_rows=50)
+    assert split.columns == ["query_id", "s", "rid", "n"] and {(r.query_id, r.rid): r.n for r in split.collect()} == plain and len(plain) == 300
+    plain = {(r.query_id, r.rid): r.b for r in lagged(df, ["query_id"], "rid", "s", "b").collect()}
+    assert {(r.query_id, r.rid): r.b for r in lagged(df, ["query_id"], "rid", "s", "b", hot_rows=50).collect()} == plain
+
+
+def test_null_tables_of_a_query_are_no_group(spark):
+    df = hits(spark, [(1, "faiss", "F", k, f"i{k}", float(k)) for k in range(40)]).withColumn("table_id", F.when(F.col("rid") == 5, "t"))
+    assert retrieval.dedup(df, ["table_id"], [F.col("score_raw").desc()], False).count() == 40
+    assert retrieval.dedup(df, ["table_id"], [F.col("score_raw").desc()], True).count() == 2
+
+
+def test_candidate_filter(spark):
+    df = spark.createDataFrame([("d", "text", 1), ("d", "table", 2), ("e", "text", None), (None, None, 2)], "doc_id string, type string, page int")
+    count = lambda **how: retrieval.candidate_filter(df, **how).count()
+    assert [count(), count(doc_id="d"), count(kind="text"), count(doc_id="d", kind="text"), count(first=2), count(last=1), count(doc_id="", kind=None)] == [4, 2, 2, 1, 3, 2, 4]
+
+
+def test_best_over_all_sub_indexes(spark):
+    """The rows of a query do not grow with the sub-indexes, and are the best of the full search and the least."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 4))
+    rows = spark.createDataFrame([(f"d{i // 4:03}", i, v[i].tolist(), "甲乙 a b".split()[0] * (i % 5) + " a" * (i % 3) + f" x{i} y{i} z{i}") for i in range(400)], "idx string, rid int, v array<double>, text string")
+    q = spark.createDataFrame([(k, v[k].tolist(), "a 甲") for k in range(3)], "query_id int, q array<double>, t string")
+    full = retrieval.dense_top_k(q, rows, 3).toPandas().sort_values(["query_id", "score"], ascending=[True, False])
+    few = retrieval.dense_top_k(q, rows.repartition("idx"), 3, most=10).toPandas().sort_values(["query_id", "score"], ascending=[True, False])
+    assert few.groupby("query_id").size().tolist() == [11] * 3
+    for k in range(3):
+        a, b = full[full.query_id == k], few[few.query_id == k]
+        assert b.rid.tolist() == [*a.rid[:10], a.rid.iloc[-1]]
+    built = ix.SparseIndex.build(rows, "idx", "rid", "text")
+    asked = q.select("query_id", F.col("t").alias("q"))
+    full = retrieval.bm25_top_k(asked, built, 3).toPandas()
+    few = retrieval.bm25_top_k(asked, built, 3, 10).toPandas()
+    assert few.groupby("query_id").size().tolist() == [11] * 3
+    for k in range(3):
+        a = full[full.query_id == k].assign(s=lambda x: x.score.round(9)).sort_values(["s", "idx", "rid"], ascending=[False, True, True])
+        b = few[few.query_id == k].assign(s=lambda x: x.score.round(9)).sort_values(["s", "idx", "rid"], ascending=[False, True, True])
+        assert b.rid.tolist()[:10] == a.rid.tolist()[:10] and b.score.min() == a.score.min()
+
+
+def test_stored_index(spark, tmp_path):
+    df = spark.createDataFrame([(1, "s", "总资产 a"), (2, "s", "b c"), (3, "t", "a b")], "doc_id int, source string, text string")
+    facts = spark.createDataFrame([("s", "report", 2021), ("t", None, None)], "idx string, doc_type string, year int")
+    index(df).write(str(tmp_path), facts)
+    q = spark.createDataFrame([(1, "a")], "query_id int, q string")
+    want = {tuple(r) for r in retrieval.bm25_top_k(q, index(df), 2).collect()}
+    assert {tuple(r) for r in retrieval.bm25_top_k(q, ix.SparseIndex.read(spark, str(tmp_path)), 2).collect()} == want
+    routed = ix.SparseIndex.read(spark, str(tmp_path), (F.col("doc_type") == "report") & (F.col("year") == 2021))
+    assert {r.idx for r in retrieval.bm25_top_k(q, routed, 2).collect()} == {"s"}
