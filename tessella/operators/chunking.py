@@ -185,17 +185,46 @@ def tables_index(units: DataFrame, mode: str, doc: str = "doc_id", order: str =
     return t.select(F.concat(F.col(doc), at, F.lit("::t"), "seq").alias("id"), F.col(doc).alias("doc_id"), "page", "seq", "table_text", "table_body", tx.digest(body).alias("digest"))
 
 
-def strategy_chunks(units: DataFrame, doc: str, order: str, text: str, strategy: str, most: int = 800, overlap: int = 100, breaks: str | None = None, twice: bool = False) -> DataFrame:
-    """(doc, no, id, content) of a strategy: `length` (with overlap), `level` and `semantic` (a chunk ends before units where `breaks` is true)."""
-    kept = units.filter(F.col(text) != "").select(doc, order, F.col(text).alias("body"), (F.col(breaks) if breaks else F.lit(False)).alias("brk"))
-    docs = by_document(kept, doc, order, ["body", "brk"]).withColumn("bodies", F.transform("units", lambda u: u["body"]))
-    lengths = F.transform("bodies", F.length)
-    if strategy == "length":
-        slices = slicer(strategy_slices, most=most, overlap=overlap)(lengths)
-    elif strategy in ("level", "semantic"):
-        slices = slicer(strategy_slices, most=most, twice=twice)(lengths, F.transform("units", lambda u: F.coalesce(u["brk"], F.lit(False))))
-    else:
-        raise ValueError("the strategy is length, level or semantic")
+#: Chunking strategies by name: from (most, overlap, twice) to a function of the arrays of lengths and of breaks that gives slices.
+STRATEGIES: dict[str, Callable[[int, int, bool], Callable[[Column, Column], Column]]] = {}
+
+
+def strategy(name: str) -> Callable:
+    """Registers a strategy under a name."""
+
+    def add(build: Callable) -> Callable:
+        STRATEGIES[name] = build
+        return build
+
+    return add
+
+
+@strategy("length")
+def _by_length(most: int, overlap: int, twice: bool) -> Callable[[Column, Column], Column]:
+    run = slicer(strategy_slices, most=most, overlap=overlap)
+    return lambda lengths, breaks: run(lengths)
+
+
+@strategy("level")
+@strategy("semantic")
+def _by_breaks(most: int, overlap: int, twice: bool) -> Callable[[Column, Column], Column]:
+    return slicer(strategy_slices, most=most, twice=twice)
+
+
+def strategy_chunks(units: DataFrame, doc: str, order: str, text: str, strategy: str, most: int = 800, overlap: int = 100, breaks: str | None = None, twice: bool = False, failed: str | None = None) -> DataFrame:
+    """(doc, no, id, content) of a strategy of `STRATEGIES`: `length` (with overlap), `level` and `semantic` (a chunk ends before units where
+    `breaks` is true), or a registered one.
+
+    failed: a column that is true where a unit's embedding failed; a document with such a unit is chunked by length."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"the strategy is one of {', '.join(STRATEGIES)}")
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c else F.lit(False)
+    kept = units.filter(F.col(text) != "").select(doc, order, F.col(text).alias("body"), flag(breaks).alias("brk"), flag(failed).alias("bad"))
+    docs = by_document(kept, doc, order, ["body", "brk", "bad"]).withColumn("bodies", F.transform("units", lambda u: u["body"]))
+    lengths, ends = F.transform("bodies", F.length), F.transform("units", lambda u: u["brk"])
+    slices = STRATEGIES[strategy](most, overlap, twice)(lengths, ends)
+    if failed:
+        slices = F.when(F.exists("units", lambda u: u["bad"]), STRATEGIES["length"](most, overlap, twice)(lengths, ends)).otherwise(slices)
     cut = docs.withColumn("slices", slices).select(doc, F.posexplode(F.transform("slices", lambda s: slice_text(F.col("bodies"), s))).alias("no", "content"))
     return cut.select(doc, "no", F.concat(F.col(doc).cast("string"), F.lit("_"), "no").alias("id"), "content")
 

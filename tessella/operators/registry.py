@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import domain as dm
+from tessella.session import broadcast_if_small, cut
 
 UNKNOWN = "unknown"
 
@@ -110,3 +111,71 @@ def route(dense: DataFrame, sparse: DataFrame, doc_type: str | None, years: list
     if d.isEmpty() and s.isEmpty():
         d, s = dense, sparse
     return d.select("kind", "index_dir").unionByName(s.select("kind", "index_dir")).distinct()
+
+
+def build(dense_meta: DataFrame, sparse_meta: DataFrame, dense_root: str, sparse_root: str) -> tuple[DataFrame, DataFrame]:
+    """The document registry and the index registry from the rows of the dense and of the sparse indexes.
+
+    The dense pass comes first; a document that the sparse pass finds too keeps what is known of it, others are added."""
+    dense, sparse = (document_registry(first_rows(m), root) for m, root in ((dense_meta, dense_root), (sparse_meta, sparse_root)))
+    later = enrich(sparse, dense)
+    docs = later.unionByName(dense.join(later.select("doc_id"), "doc_id", "left_anti"))
+    return docs, index_registry(dense, "faiss", dense_root).unionByName(index_registry(later, "bm25", sparse_root))
+
+
+#: What a question is routed to: the buckets of some kinds and years, all sub-indexes with a kind, or all.
+BUCKETS, NAMED, EVERYTHING = "buckets", "named", "all"
+
+
+def _buckets(reg: DataFrame) -> DataFrame:
+    """(doc_type, year_key) that the registry has; few, and combined before the shuffle."""
+    return reg.filter(F.col("doc_type").isNotNull()).select("doc_type", "year_key").distinct()
+
+
+def route_batch(questions: DataFrame, dense: DataFrame, sparse: DataFrame, prefer_year: bool = True) -> DataFrame:
+    """(query_id, kind, scope, doc_type, year_key): what each question is to be searched in, for all questions in one job.
+
+    questions: query_id, doc_type, years (array), override (report, notice, both or null). The rules are those of `route`. Buckets
+    stay buckets (of the partitions of the stored index), and `named` and `all` are one row each, so that the result does not
+    grow with the sub-indexes; `routed_dirs` lists these."""
+    kind = F.when(F.col("override").isin("report", "notice"), F.col("override")).when(F.col("override") == "both", None).otherwise(F.col("doc_type"))
+    q = questions.select("query_id", kind.alias("kind"), F.coalesce(F.transform("years", lambda y: y.cast("string")), F.array().cast("array<string>")).alias("years"), (F.col("override") == "both").alias("both"))
+    q = cut(q.withColumn("by_years", F.lit(prefer_year) & (F.size("years") > 0)))
+    db, sb = cut(_buckets(dense)), cut(_buckets(sparse))
+    year = q.select("query_id", "kind", "by_years", F.explode(F.array_distinct("years")).alias("year_key"))
+
+    # dense: the buckets of the kind, or of all kinds if it is not known; without any, all that have a kind
+    known = broadcast_if_small(db.select(F.col("doc_type").alias("kind"), F.lit(True).alias("known")).distinct())
+    asked = year.filter("by_years").join(known, "kind", "left")
+    d = asked.join(broadcast_if_small(db, True), "year_key").filter(F.col("known").isNull() | (F.col("doc_type") == F.col("kind"))).select("query_id", "doc_type", "year_key").distinct()
+    d = cut(d)
+    none = q.filter("by_years").select("query_id").join(d.select("query_id").distinct(), "query_id", "left_anti")
+    # (a registry without any kind has no named sub-index)
+    none = none.limit(0) if db.isEmpty() else none
+    dense_rows = d.select("query_id", F.lit("faiss").alias("kind"), F.lit(BUCKETS).alias("scope"), "doc_type", "year_key")
+    dense_rows = dense_rows.unionByName(none.select("query_id", F.lit("faiss").alias("kind"), F.lit(NAMED).alias("scope"), F.lit(None).cast("string").alias("doc_type"), F.lit(None).cast("string").alias("year_key")))
+
+    # sparse: for each kind the buckets of the years, else that of the unknown year
+    kinds = F.when(F.col("kind").isNotNull(), F.array("kind")).when(F.col("by_years") | F.coalesce("both", F.lit(False)), F.array(F.lit("report"), F.lit("notice"))).otherwise(F.array().cast("array<string>"))
+    each = q.select("query_id", F.explode(kinds).alias("doc_type"), F.array_distinct("years").alias("years"))
+    of_year = each.select("query_id", "doc_type", F.explode("years").alias("year_key")).join(broadcast_if_small(sb, True), ["doc_type", "year_key"])
+    rest = each.select("query_id", "doc_type").join(of_year.select("query_id", "doc_type"), ["query_id", "doc_type"], "left_anti")
+    unknown = rest.join(broadcast_if_small(sb.filter(F.col("year_key") == UNKNOWN)), "doc_type")
+    s = of_year.select("query_id", "doc_type", "year_key").unionByName(unknown.select("query_id", "doc_type", "year_key")).distinct()
+    rows = cut(dense_rows.unionByName(s.select("query_id", F.lit("bm25").alias("kind"), F.lit(BUCKETS).alias("scope"), "doc_type", "year_key")))
+
+    lost = q.select("query_id").join(rows.select("query_id").distinct(), "query_id", "left_anti")
+    both = F.explode(F.array(F.lit("faiss"), F.lit("bm25")))
+    return rows.unionByName(lost.select("query_id", both.alias("kind"), F.lit(EVERYTHING).alias("scope"), F.lit(None).cast("string").alias("doc_type"), F.lit(None).cast("string").alias("year_key")))
+
+
+def decisions(routed: DataFrame) -> DataFrame:
+    """(query_id, strategy, buckets, fallback) of `route_batch`: year_buckets if the question has buckets, else global."""
+    n = F.count_if(F.col("scope") == BUCKETS)
+    return routed.groupBy("query_id").agg(F.when(n > 0, "year_buckets").otherwise("global").alias("strategy"), n.alias("buckets"), (F.count_if(F.col("scope") != BUCKETS) > 0).alias("fallback"))
+
+
+def routed_dirs(routed: DataFrame, reg: DataFrame, kind: str) -> DataFrame:
+    """(query_id, index_dir) of the questions that are routed to buckets: an equality join; what goes to all needs no list."""
+    mine = routed.filter((F.col("kind") == kind) & (F.col("scope") == BUCKETS)).select("query_id", "doc_type", "year_key")
+    return mine.join(reg.select("doc_type", "year_key", "index_dir"), ["doc_type", "year_key"]).select("query_id", "index_dir").distinct()

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window as W
 from tessella.functions import text as tx
 from tessella.functions import vector as vec
 from tessella.operators import index as ix
+from tessella.operators import providers
 from tessella.session import broadcast_if_small, cut, row_numbers
 
 RRF = 60
@@ -235,17 +236,69 @@ def restore_context(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> Data
     return base.join(around, "hit_id", "left").withColumn("restored", F.when(F.col("__near").isNull(), F.col("__base")).otherwise(F.array_join(parts, "\n\n"))).drop("__near", "__base", "__lo", "__hi")
 
 
-def answer_context(results: DataFrame, fixed_length: int, per_chunk: int, most: int = 120_000, margin: int = 1000) -> DataFrame:
+#: Fixed value: the notice behind a context that was cut.
+CUT_NOTICE = "\n\n[内容已截断，部分材料因长度限制未包含...]"
+#: The prompt of an answer: before the question, between question and material, behind the material.
+ANSWER_PROMPT = ("请只依据所附材料用中文回答，并在引用处注明材料编号，如 [1]。\n问题：", "\n\n材料：\n", "\n\n材料不足以回答时请直接说明；回答力求简短，要点可以分条。\n")
+
+
+def answer_context(results: DataFrame, fixed_length: int | DataFrame, per_chunk: int, most: int = 120_000, margin: int = 1000) -> DataFrame:
     """(query_id, context): `[i] doc= page= type=` blocks of a query's results in rank order, cut to what the prompt leaves.
 
+    fixed_length: of the rest of the prompt, for all queries or as (query_id, fixed_length).
+
     results: (query_id, rank, doc_id, page, type, content, is_table); contents of whole tables are not cut each."""
     content = F.when(F.col("is_table"), F.col("content")).otherwise(tx.truncate("content", per_chunk))
     block = F.concat(F.lit("["), "rank", F.lit("] doc="), F.coalesce("doc_id", F.lit("")), F.lit(" page="), F.coalesce(F.col("page").cast("string"), F.lit("None")), F.lit(" type="), F.coalesce("type", F.lit("")))
     lines = results.select("query_id", "rank", F.concat(F.trim(block), F.lit("\n"), F.coalesce(content, F.lit(""))).alias("line"))
     joined = lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n").alias("context"))
-    room = max(0, most - fixed_length - margin)
-    cut = F.concat(F.left("context", F.lit(max(0, room - 100))), F.lit("\n\n[内容已截断，部分材料因长度限制未包含...]"))
-    return joined.withColumn("context", F.when(F.length("context") > room, cut).otherwise(F.col("context")))
+    if isinstance(fixed_length, DataFrame):
+        joined = joined.join(fixed_length.select("query_id", F.col("fixed_length").alias("__fixed")), "query_id")
+    else:
+        joined = joined.withColumn("__fixed", F.lit(fixed_length))
+    room = F.greatest(F.lit(0), F.lit(most - margin) - F.col("__fixed"))
+    short = F.concat(F.left(F.col("context"), F.greatest(F.lit(0), room - 100)), F.lit(CUT_NOTICE))
+    return joined.withColumn("context", F.when(F.length("context") > room, short).otherwise(F.col("context"))).drop("__fixed")
+
+
+def answer_sources(results: DataFrame, per_chunk: int) -> DataFrame:
+    """The material as it is quoted: query_id, ref, id, modal, doc_id, page, type (`table_full` for whole tables), ord, content, index_dir, source_file."""
+    content = F.when(F.col("is_table"), F.col("content")).otherwise(tx.truncate("content", per_chunk))
+    kind = F.when(F.col("is_table"), F.lit("table_full")).otherwise(F.coalesce("type", F.lit("")))
+    return results.select("query_id", F.col("rank").alias("ref"), "id", F.coalesce("modal", F.lit("unknown")).alias("modal"), F.coalesce("doc_id", F.lit("")).alias("doc_id"), "page", kind.alias("type"), "ord", F.coalesce(content, F.lit("")).alias("content"), "index_dir", "source_file")
+
+
+def answer_messages(questions: DataFrame, results: DataFrame, system: str, per_chunk: int, most: int = 120_000, margin: int = 1000, prompt: tuple[str, str, str] = ANSWER_PROMPT) -> DataFrame:
+    """(query_id, messages): the system's and the user's message for every question (query_id, q); one without results gets no material."""
+    start, between, end = prompt
+    text = F.coalesce("q", F.lit(""))
+    fixed = questions.select("query_id", (F.length(text) + sum(map(len, (system, *prompt)))).alias("fixed_length"))
+    context = answer_context(results, fixed, per_chunk, most, margin)
+    user = F.concat(F.lit(start), text, F.lit(between), F.coalesce("context", F.lit("")), F.lit(end))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return questions.select("query_id", "q").join(context, "query_id", "left").select("query_id", F.array(message("system", F.lit(system)), message("user", user)).alias("messages"))
+
+
+#: Prompts for other phrasings of a question and for a passage that might answer it; a phrasing comes back as `<...>`.
+REPHRASE = (
+    "把下面的问题改写成一条检索语句，用同义的财务术语替换关键词，意思不变，只输出 <改写后的语句>：\n",
+    "把下面的问题改写成一条检索语句，换用上位或下位的相关概念，意图不变，只输出 <改写后的语句>：\n",
+    "换一种说法复述下面的问题，意图不变，只输出 <改写后的语句>：\n",
+)
+HYPOTHESIS = "请设想一段能够回答下面问题的报道文字，内容连贯充实，直接给出正文：\n"
+
+
+def expand_questions(questions: DataFrame, model: providers.ChatModel, rephrase: tuple[str, ...] = REPHRASE, hypothesis: str | None = HYPOTHESIS) -> DataFrame:
+    """(query_id, route, name, q): each question (query_id, q) as route 0, its phrasings as routes 1, 2, ... and the hypothetical
+    passage as the last; what the model does not give or gives in another form is left out."""
+    asks = [(0, "orig", None), *((k, f"mq_{k}", p) for k, p in enumerate(rephrase, 1)), *([(len(rephrase) + 1, "hyde", hypothesis)] if hypothesis else [])]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("route"), F.lit(n).alias("name"), F.lit(p).cast("string").alias("prompt")) for k, n, p in asks]))
+    routes = questions.select("query_id", "q", each.alias("r")).select("query_id", "q", "r.*")
+    message = F.array(F.struct(F.lit("user").alias("role"), F.concat("prompt", F.coalesce("q", F.lit(""))).alias("content")))
+    told = providers.chat(routes.filter(F.col("prompt").isNotNull()).withColumn("messages", message), "messages", "told", providers.chat_or_none(model))
+    passage = F.when(F.col("name") == "hyde", tx.non_blank("told")).otherwise(tx.non_blank(tx.angle_parts("told")))
+    made = told.select("query_id", "route", "name", F.trim(passage).alias("q")).filter(F.col("q").isNotNull())
+    return routes.filter(F.col("prompt").isNull()).select("query_id", "route", "name", "q").unionByName(made)
 
 
 def merge_routes(results: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import text as tx
+from tessella.operators import providers
 
 #: A span beyond this is read as this: such a row does not fit into a worker's memory. The standard of HTML ends at 65,534.
 MAX_SPAN = 1_000_000
@@ -110,9 +111,16 @@ def grid(html: str | None) -> list[list[str]]:
     return [r + [""] * (width - len(r)) for r in p.rows if width]
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def table_grid(html: pd.Series) -> pd.Series:
-    return html.map(grid)
+def _grid_or_error(html: str | None) -> tuple[list[list[str]] | None, str | None]:
+    try:
+        return grid(html), None
+    except Exception as e:  # noqa: BLE001 - whatever a malformed table may raise
+        return None, str(e) or type(e).__name__
+
+
+@F.pandas_udf(T.StructType([T.StructField("cells", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("error", T.StringType())]))
+def table_grid(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_grid_or_error(h) for h in html], columns=["cells", "error"], index=html.index)
 
 
 def grid_text(cells: Column) -> Column:
@@ -133,13 +141,33 @@ def grid_text(cells: Column) -> Column:
     return F.when(F.size(cells) < 1, F.lit("")).otherwise(F.array_join(F.transform(data, sentence), "\n"))
 
 
+#: The prompt of a provider that writes a table as text; `{html}` is the table.
+PROMPT = "请把下面的 HTML 表格逐行写成文字，每行一句，保留全部数值和单位，不要补充任何内容：\n{html}"
+
+
+def textify_by(df: DataFrame, html: str, out: str, provider: providers.Generator, always: bool = False, earlier: Column | None = None, prompt: str = PROMPT) -> DataFrame:
+    """`textify` with a provider's texts: for tables with merged cells, or for all that have no earlier text (always).
+
+    Only these tables are sent; where the provider gives nothing or fails, the table is read without it."""
+    wanted = F.lit(True) if always else tx.has_merged_cells(html)
+    if earlier is not None:
+        wanted = wanted & tx.non_blank(earlier).isNull()
+    before, after = prompt.split("{html}")
+    asked = df.withColumn("__prompt", F.when(wanted & tx.non_blank(html).isNotNull(), F.concat(F.lit(before), F.col(html), F.lit(after))))
+    told = providers.generate(asked, "__prompt", "__told", providers.or_none(provider))
+    if always and earlier is None:
+        earlier = F.lit(None).cast("string")
+    return textify(told, html, out, F.col("__told"), earlier).drop("__prompt", "__told")
+
+
 def textify(df: DataFrame, html: str, out: str, other: Column | None = None, earlier: Column | None = None) -> DataFrame:
     """`df` with `out`: the text of an HTML table.
 
     other: the text of a provider for tables with merged cells, taken if it is not blank; earlier: a text of a former run,
-    which comes first (then the provider's is taken for all tables)."""
+    which comes first (then the provider's is taken for all tables). A table that cannot be read gives `(表格文本化失败: reason)` (a fixed value)."""
     gridded = df.withColumn("__grid", table_grid(F.coalesce(F.col(html), F.lit(""))))
-    plain = grid_text(F.col("__grid"))
+    failed = F.concat(F.lit("(表格文本化失败: "), F.col("__grid.error"), F.lit(")"))
+    plain = F.coalesce(failed, grid_text(F.col("__grid.cells")))
     if earlier is not None:
         text = F.coalesce(tx.non_blank(earlier), *([tx.non_blank(other)] if other is not None else []), plain)
     elif other is not None:

@@ -111,6 +111,26 @@ class Engine:
         q = self.spark.createDataFrame([(0, question)], "query_id long, q string")
         return self.search(q, routed, p or Parameters.routed(), fuse="rrf", **how), what, trace
 
+    def answer(self, questions: DataFrame, rows: DataFrame, model: providers.ChatModel, system: str = "", per_chunk: int = 1000, p: Parameters | None = None, **how) -> tuple[DataFrame, DataFrame]:
+        """Search and answer in one job: (query_id, q, answer) and the sources that the answers may quote, as `answer_sources` gives them."""
+        found = self.search(questions, rows, p, **how)
+        sources = rows.select("index_dir", "rid", (F.col("source_file") if "source_file" in rows.columns else F.lit(None).cast("string")).alias("source_file"))
+        ready = cut(found.select("query_id", F.col("rerank_rank").alias("rank"), "id", "modal", "index_dir", "rid", "doc_id", "page", "type", "ord", F.col("restored").alias("content"), F.col("table_id").isNotNull().alias("is_table")).join(sources, ["index_dir", "rid"]))
+        messages = retrieval.answer_messages(questions, ready, system, per_chunk)
+        told = providers.chat(messages, "messages", "answer", model).select("query_id", "answer")
+        return questions.select("query_id", "q").join(told, "query_id"), retrieval.answer_sources(ready, per_chunk)
+
+    def expand_and_search(self, questions: DataFrame, rows: DataFrame, model: providers.ChatModel, p: Parameters | None = None, **how) -> DataFrame:
+        """Each question, its phrasings and a hypothetical passage, searched in one job and merged."""
+        return self.multi_route(cut(retrieval.expand_questions(questions, model).select("query_id", "route", "q")), rows, p, **how)
+
+    def route_questions(self, questions: DataFrame, rows: DataFrame) -> DataFrame:
+        """`registry.route_batch` for questions (query_id, q), with intents by rules."""
+        known = intent.intents(questions, "q", self.current_year).withColumn("override", F.lit(None).cast("string"))
+        docs = rows.select("doc_id", "doc_type", "year").distinct()
+        reg = docs.select("doc_type", registry.year_key().alias("year_key"), F.col("doc_id").alias("index_dir"))
+        return registry.route_batch(known, reg, reg)
+
     def multi_route(self, routes: DataFrame, rows: DataFrame, p: Parameters | None = None, **how) -> DataFrame:
         """Several phrasings of each question in one job: routes (query_id, route, q) to merged results, the first route of an id."""
         q = routes.select(F.xxhash64("query_id", "route").alias("query_id"), "q")

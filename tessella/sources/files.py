@@ -25,10 +25,12 @@ UNIT = T.StructType([T.StructField("unit_no", T.IntegerType()), *(T.StructField(
 KINDS = ("text", "table", "list", "equation")
 
 
-def read_documents(spark: SparkSession, path: str, suffix: str = "_content_list.json") -> DataFrame:
-    """(path, doc_id, json) of every file under the folder (or the file itself) with the suffix."""
+def read_documents(spark: SparkSession, path: str, suffix: str = "_content_list.json", limit: int = 0) -> DataFrame:
+    """(path, doc_id, json) of every file under the folder (or the file itself) with the suffix; limit: of the first ones by path only (0 is all)."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").option("wholetext", True).text(path)
     named = raw.select(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("path"), F.col("value").alias("json"))
+    if limit > 0:
+        named = named.orderBy("path").limit(limit)
     return named.select("path", tx.doc_id_of("path").alias("doc_id"), "json")
 
 
@@ -103,11 +105,87 @@ def rejects(documents: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Records of all .jsonl files under a folder; blank and unparsable lines are left out."""
-    read = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("mode", "DROPMALFORMED")
+    """Records of all .jsonl files (also .json parts of `write_lines`) under a folder; blank and unparsable lines are left out."""
+    read = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,json}").option("mode", "DROPMALFORMED")
     return read.json(path)
 
 
+def read_lines_in_order(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """`read_lines` with `path` and `block`, by which records sort as the files lie: by path, then by the part of the file."""
+    rows = read_lines(spark, path, schema)
+    return rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).orderBy("path", "block")
+
+
+def line_counts(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """(path, lines): lines of each file that are not blank."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    full = tx.normalize_space("value") != ""
+    return raw.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count_if(full).alias("lines"))
+
+
+def index_dirs(spark: SparkSession, root: str, markers: tuple[str, ...]) -> DataFrame:
+    """(index_dir): folders under the root that hold a file of each of the names."""
+    glob = "{" + ",".join(markers) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path")
+    parts = files.select(F.regexp_extract("path", r"^(.*)/([^/]*)$", 1).alias("index_dir"), F.regexp_extract("path", r"^(.*)/([^/]*)$", 2).alias("name")).distinct()
+    return parts.groupBy("index_dir").count().filter(F.col("count") == len(set(markers))).select("index_dir").orderBy("index_dir")
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """(path, row, cells): the rows of a worksheet of every .xlsx file under the path, cells as text (null where blank). Sheets are small
+    (questions and answers of a benchmark), so a file is read by one task."""
+    import pandas as pd
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        for pdf in batches:
+            rows = [(p, n, cells) for p, data in zip(pdf["path"], pdf["content"]) for n, cells in sheet_rows(data, sheet)]
+            yield pd.DataFrame(rows, columns=["path", "row", "cells"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, row int, cells array<string>")
+
+
+def sheet_rows(data: bytes, sheet: int = 1) -> Iterator[tuple[int, list[str | None]]]:
+    """(row number, cells) of a worksheet of an Office Open XML workbook: shared, inline and plain values."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    text = lambda node: "".join(t.text or "" for t in node.iter(f"{space}t"))
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        names = set(book.namelist())
+        shared = [text(i) for i in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{space}si")] if "xl/sharedStrings.xml" in names else []
+        for n, row in enumerate(ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{space}row"), 1):
+            cells: list[str | None] = []
+            for c in row.iter(f"{space}c"):
+                letters = "".join(x for x in c.get("r", "") if x.isalpha())
+                column = 0
+                for x in letters:
+                    column = column * 26 + ord(x) - 64
+                while column and len(cells) < column - 1:
+                    cells.append(None)
+                value = c.find(f"{space}v")
+                raw = value.text if value is not None else None
+                cells.append(text(c) if c.get("t") == "inlineStr" else shared[int(raw)] if c.get("t") == "s" and raw else raw)
+            yield int(row.get("r", n)), cells
+
+
+def records(sheet: DataFrame) -> DataFrame:
+    """(path, row, record): the rows below the first one of each file as maps from its cells to theirs."""
+    head = sheet.filter("row = 1").select("path", F.col("cells").alias("names"))
+    value = lambda n, i: F.struct(n.alias("k"), F.try_element_at(F.col("cells"), i + 1).alias("v"))
+    pairs = F.filter(F.transform("names", value), lambda p: p["k"].isNotNull())
+    return sheet.filter("row > 1").join(head, "path").select("path", "row", F.map_from_entries(pairs).alias("record"))
+
+
+def write_candidates(df: DataFrame, path: str, score: str, most: int = 30) -> None:
+    """Appends the best `most` candidates of each query to a log of JSON lines."""
+    from tessella.functions import vector as vec
+
+    vec.top_k(df, ["query_id"], [F.col(score).desc(), F.col("index_dir"), F.col("rid")], most, "place").write.mode("append").json(path)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stored table (a registry, an index), or an empty one with the schema if the folder is missing or holds no readable file."""
     try:

@@ -152,3 +152,23 @@ def test_strategies_frame(spark):
         ck.strategy_chunks(df, "doc", "n", "body", "other")
     v = spark.createDataFrame(pd.DataFrame({"d": ["a"] * 4, "n": [1, 2, 3, 4], "v": [[1.0, 0.0], [1.0, 0.1], [0.0, 1.0], [0.0, 0.0]]}))
     assert [r.split_here for r in ck.semantic_breaks(v, "d", "n", "v").orderBy("n").collect()] == [False, False, True, False]
+
+
+def test_strategies_by_name_and_failed_embeddings(spark):
+    df = spark.createDataFrame([("d", k, "字" * 4, False, k == 2) for k in range(5)] + [("e", k, "字" * 4, k == 3, False) for k in range(5)], "doc string, n int, body string, brk boolean, bad boolean")
+    got = ck.strategy_chunks(df, "doc", "n", "body", "semantic", 12, 4, breaks="brk", failed="bad").toPandas()
+    assert got[got.doc == "e"].sort_values("no").content.str.len().tolist() == [14, 9]  # three units, then two
+    plain = ck.strategy_chunks(df, "doc", "n", "body", "length", 12, 4).toPandas()
+    assert got[got.doc == "d"].sort_values("no").content.tolist() == plain[plain.doc == "d"].sort_values("no").content.tolist()
+    ck.STRATEGIES["each"] = lambda most, overlap, twice: lambda lengths, breaks: ck.F.transform(lengths, lambda n, i: ck.F.struct(i.alias("start"), ck.F.lit(1).alias("n"), ck.F.lit(0).alias("begin"), ck.F.lit(0).alias("length")))
+    assert ck.strategy_chunks(df, "doc", "n", "body", "each").count() == 10
+    del ck.STRATEGIES["each"]
+
+
+def test_tables_by_a_provider(spark):
+    rows = [(1, "<table><tr><td colspan=2>a</td></tr></table>", None), (2, "<table><tr><td>b</td></tr></table>", None), (3, "<table><tr><td rowspan=3>c</td></tr></table>", "alt"), (4, None, None)]
+    df = spark.createDataFrame(rows, "id int, html string, old string")
+    told = lambda prompts: ["写好的文字" if "colspan" in p else None for p in prompts]
+    assert {r.id: r.out for r in tb.textify_by(df, "html", "out", told).collect()} == {1: "写好的文字", 2: "列1: b。", 3: "列1: c。", 4: ""}
+    assert {r.id: r.out for r in tb.textify_by(df, "html", "out", lambda p: 1 / 0, always=True, earlier=tb.F.col("old")).collect()} == {1: "", 2: "列1: b。", 3: "alt", 4: ""}  # a lone header row has no sentence
+    assert tb._grid_or_error(5)[1]

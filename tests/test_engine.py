@@ -1,10 +1,11 @@
 import ast
 from pathlib import Path
+from urllib.error import HTTPError
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import intent, providers
+from tessella.operators import chunking, intent, providers, registry, retrieval
 from tessella.plans.engine import Engine, Parameters
 from tessella.streaming import ingest
 
@@ -68,17 +69,72 @@ def test_providers(spark):
 
 
 def test_stream_ingest(spark, tmp_path):
+    """Documents in several batches, late units, repeats; the chunks are those of all units at once."""
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    u = units(spark)
-    first, second = u.filter("doc_id like '2021%'"), u
-    first.write.parquet(src)
-    for batch in (None, second):
-        if batch is not None:
-            batch.write.mode("append").parquet(src)
+    u = units(spark).cache()
+    late = u.filter("doc_id like '2022%' AND unit_no = 2")
+    for batch in (u.filter("doc_id like '2021%'"), u.filter("doc_id like '2022%' AND unit_no <> 2"), u.filter("doc_id like '2021%'"), late):
+        batch.write.mode("append").parquet(src)
         q = ingest.ingest(ingest.unit_stream(spark, src, u.schema), out, str(tmp_path / "state"))
         q.awaitTermination(120)
-    got = spark.read.parquet(out)
-    assert got.count() == got.select("id").distinct().count() and got.select("doc_id").distinct().count() == 3
+        assert q.exception() is None
+    cols = ["id", "doc_id", "type", "content", "ord"]
+    want = {tuple(r) for r in chunking.assemble(u, "rows").select(cols).collect()}
+    got = [tuple(r) for r in ingest.current(spark, out).select(cols).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert spark.read.parquet(f"{out}/units").count() == u.count()
+
+
+def test_stream_stops_at_a_broken_output(spark, tmp_path):
+    src, out = str(tmp_path / "in"), tmp_path / "out"
+    (out / "units" / "batch=0" / "bucket=1").mkdir(parents=True)
+    (out / "units" / "batch=0" / "bucket=1" / "part-0.parquet").write_text("broken")
+    units(spark).write.parquet(src)
+    q = ingest.ingest(ingest.unit_stream(spark, src, units(spark).schema), str(out), str(tmp_path / "state"))
+    with pytest.raises(Exception):  # noqa: B017 - whatever Spark raises
+        q.awaitTermination(120)
+    assert not (out / "chunks").exists()
+
+
+def test_answers(spark):
+    e = Engine(spark)
+    rows = e.index(e.chunk(units(spark), "rows", 12)).cache()
+    q = spark.createDataFrame([(1, "回购 股份"), (2, "电缆采购"), (3, None)], "query_id long, q string")
+    told, sources = e.answer(q, rows, lambda chats: [f"{c[0]}|{c[1][1][:12]}" for c in chats], "系统", p=Parameters(dense_per_index=2, sparse_per_index=3, rerank_top_k=2))
+    got = {r.query_id: r.answer for r in told.collect()}
+    assert set(got) == {1, 2, 3} and got[1].startswith("('system', '系统')|")
+    s = sources.collect()
+    assert {r.ref for r in s} == {1, 2} and {r.type for r in s} <= {"table_full", "text"} and all(r.content for r in s)
+
+    def model(chats):
+        text = chats[0][0][1]
+        return [f"好的：< “{c[0][1].rsplit('：', 1)[1].strip()} 改写” >" if "<改写后的语句>" in c[0][1] and "复述" not in c[0][1] else "没有" if "复述" in c[0][1] else " 一段报道 " for c in chats] if text else []
+
+    routes = {(r.query_id, r.name): r.q for r in retrieval.expand_questions(q.filter("query_id = 1"), model).collect()}
+    assert routes == {(1, "orig"): "回购 股份", (1, "mq_1"): "回购 股份 改写", (1, "mq_2"): "回购 股份 改写", (1, "hyde"): "一段报道"}
+    assert retrieval.expand_questions(q, lambda chats: 1 / 0).count() == 3
+    merged = e.expand_and_search(q.filter("query_id < 3"), rows, model, Parameters(dense_per_index=2, sparse_per_index=2, rerank_top_k=3)).collect()
+    assert len({(r.query_id, r.id) for r in merged}) == len(merged) and {r.query_id for r in merged} == {1, 2} and "orig" not in merged[0].asDict()
+    scope = {r.query_id: r.strategy for r in registry.decisions(e.route_questions(spark.createDataFrame([(1, "2022年年度报告的电缆"), (2, "天气")], "query_id long, q string"), rows)).collect()}
+    assert scope == {1: "year_buckets", 2: "global"}
+
+
+def test_provider_errors_and_usage(spark):
+    calls = []
+
+    def refused(batch):
+        calls.append(1)
+        raise HTTPError("http://localhost", 400, "bad", {}, None)
+
+    with pytest.raises(HTTPError):
+        providers.retrying(refused, 3, 0)([1])
+    assert len(calls) == 1
+    df = spark.createDataFrame([("ab",), (None,), ("abcd",), (" ",), ("abcdef",)], "t string").coalesce(1)
+    billed = providers.embed_counting(df, "t", "v", "n", lambda texts: ([[1.0]] * len(texts), 7), 2).collect()
+    assert sum(r.n for r in billed) == 14 and [r.v is None for r in billed] == [False, True, False, True, False]
+    assert [r.n for r in providers.embed_counting(df, "t", "v", "n", lambda texts: ([[1.0]] * len(texts), None), 2).collect()] == [1, 0, 2, 0, 3]
+    broken = providers.embed(df, "t", "v", lambda texts: 1 / 0 if "abcd" in texts else [[1.0]] * len(texts), 1, failed_as_null=True).collect()
+    assert [r.v is None for r in broken] == [False, True, True, True, False]
 
 
 def test_nothing_but_the_entry_imports_the_optional_part():

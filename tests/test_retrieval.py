@@ -120,6 +120,31 @@ def test_routes(spark, kind, years, override, dense, sparse):
         assert {r.index_dir for r in got if r.kind == name} == (everything if want == "all" else want)
 
 
+def test_routes_of_a_batch(spark):
+    """All questions in one job, with the results of each alone."""
+    reg = [spark.createDataFrame([(k, d, t, y) for d, t, y in ROWS], "kind string, index_dir string, doc_type string, year_key string") for k in ("faiss", "bm25")]
+    cases = [*ROUTES, ("other", [2021], None, {"r21", "n21"}, set()), (None, None, None, "all", "all")]
+    q = spark.createDataFrame([(k, t, y, o, 1) for k, (t, y, o, _, _) in enumerate(cases)], "query_id int, doc_type string, years array<int>, override string, kind int")
+    routed = registry.route_batch(q, *reg).cache()
+    listed = {name: registry.routed_dirs(routed, reg[k], name).collect() for k, name in enumerate(("faiss", "bm25"))}
+    scopes = {(r.query_id, r.kind): r.scope for r in routed.collect()}
+    for k, (_, _, _, *wants) in enumerate(cases):
+        for name, want in zip(("faiss", "bm25"), wants):
+            everything = {d for d, t, _ in ROWS if t or scopes.get((k, name)) == "all"} if scopes.get((k, name)) in ("named", "all") else None
+            got = everything or {r.index_dir for r in listed[name] if r.query_id == k}
+            assert got == ({d for d, _, _ in ROWS} if want == "all" else want), (k, name)
+    assert registry.route_batch(q, reg[0].limit(0), reg[1].limit(0)).filter("scope <> 'all'").count() == 0
+
+
+def test_building_the_registries(spark):
+    schema = "index_dir string, rid int, doc_id string, doc_meta struct<doc_type: string, year: int, quarter: string, source_date: string>"
+    dense = spark.createDataFrame([("a", 0, "a", ("report", 2020, None, None)), ("a", 1, "x", (None, None, None, None)), ("b", 0, "b", (None, None, None, None))], schema)
+    sparse = spark.createDataFrame([("a", 0, "a", ("notice", None, "Q1", None)), ("c", 3, "c", (None, 2019, None, None))], schema)
+    docs, index = registry.build(dense, sparse, "财报库", "公告库")
+    assert {r.doc_id: (r.doc_type, r.year, r.quarter) for r in docs.collect()} == {"a": ("report", 2020, "Q1"), "b": ("report", None, None), "c": ("notice", 2019, None)}
+    assert {(r.kind, r.index_dir, r.doc_type) for r in index.collect()} == {("faiss", "财报库/a", "report"), ("faiss", "财报库/b", "report"), ("bm25", "公告库/a", "report"), ("bm25", "公告库/c", "notice")}
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("a", 3, 0.2, 1.0), ("a", 1, 0.5, 3.0), ("b", 0, 0.7, 1.0)], "strategy string, chunk_count long, score double, time_sec double")
     got = {r.strategy: (r.avg_score, r.avg_time, r.total_chunks, r.files) for r in evaluate.weighted_report(df).collect()}

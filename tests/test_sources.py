@@ -43,3 +43,34 @@ def test_uploads(spark, tmp_path):
     log = tmp_path / "log"
     log.write_text([r.path for r in f.collect() if "d.pdf" in r.path][0] + "\n\n")
     assert [r.path.rsplit("/", 1)[1] for r in sf.to_upload(f, sf.read_log(spark, str(log)), 1000).collect()] == ["a.pdf"]
+
+
+def test_listings_and_order(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "meta.jsonl").write_text(f'{{"id": "{name}1"}}\n\n{{"id": "{name}2"}}\n')
+    (tmp_path / "a" / "vectors.bin").write_text("x")
+    (tmp_path / "b" / "vectors.bin").write_text("x")
+    assert [r.id[0] for r in sf.read_lines_in_order(spark, str(tmp_path), sf.CHUNK).collect()] == list("aabbcc")
+    assert [r.index_dir.rsplit("/", 1)[1] for r in sf.index_dirs(spark, str(tmp_path), ("vectors.bin", "meta.jsonl")).collect()] == ["a", "b"]
+    assert {r.path.split("/")[-2]: r.lines for r in sf.line_counts(spark, str(tmp_path)).collect()} == {"a": 2, "b": 2, "c": 2}
+    assert [r.doc_id for r in sf.read_documents(spark, str(tmp_path), ".jsonl", 2).collect()] == ["meta", "meta"]
+
+
+def test_sheets(spark, tmp_path):
+    import zipfile
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "qa.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>问题</t></si><si><r><t>标准</t></r><r><t>回答</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>净利润？</t></is></c><c r="B2"><v>5.5</v></c></row><row r="4"><c r="B4"><v>7</v></c></row></sheetData></worksheet>')
+    got = sf.records(sf.read_sheet(spark, str(tmp_path))).orderBy("row").collect()
+    assert [(r.row, r.record) for r in got] == [(2, {"问题": "净利润？", "标准回答": "5.5"}), (4, {"问题": None, "标准回答": "7"})]
+
+
+def test_candidate_log(spark, tmp_path):
+    df = spark.createDataFrame([(1, "i", k, float(k)) for k in range(50)], "query_id int, index_dir string, rid int, score double")
+    for _ in range(2):
+        sf.write_candidates(df, str(tmp_path / "log"), "score")
+    rows = spark.read.json(str(tmp_path / "log")).collect()
+    assert len(rows) == 60 and min(r.rid for r in rows) == 20
