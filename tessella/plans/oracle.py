@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tessella.functions import domain as dm
 from tessella.functions import text as tx
+from tessella.operators import retrieval as rt
+from tessella.plans import queries as qs
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOKEN = r"[\x{4e00}-\x{9fff}]|[A-Za-z0-9_]+"
@@ -154,7 +156,7 @@ PRUNED = f"""a AS (SELECT *, row_number() OVER (PARTITION BY query_id, table_id
     c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY pre_rank) = 1)"""
 PLACED = f"""{PRUNED}, m AS (SELECT id, coalesce(nullif(raw_content, ''), nullif(embed_text, ''), '') AS content, page, type, doc_id FROM {META}),
     d AS (SELECT c.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pre_rank) - 1 AS INT) AS position FROM c),
-    e AS (SELECT d.query_id, d.id, d.position, d.table_id, m.content, m.page, m.type, m.doc_id, query_text FROM d JOIN m ON m.id = d.id JOIN queries q ON q.query_id = d.query_id)"""
+    e AS (SELECT d.query_id, d.id, d.position, d.table_id, d.modal, d.index_dir, m.content, m.page, m.type, m.doc_id, query_text FROM d JOIN m ON m.id = d.id JOIN queries q ON q.query_id = d.query_id)"""
 FALLBACK = f"""{PLACED}, r AS (SELECT *, CAST(count(*) OVER (PARTITION BY query_id) - position AS DOUBLE) AS rerank_score FROM e),
     s AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, position) AS INT) AS rerank_rank FROM r QUALIFY rerank_rank <= 10)"""
 
@@ -196,7 +198,73 @@ def sparse_of(kind: str, ys: list[int]) -> str:
     return f"(doc_type = '{kind}' AND (y IN ({listed}) OR (y = 'unknown' AND NOT EXISTS (SELECT 1 FROM sparse s WHERE s.doc_type = '{kind}' AND s.y IN ({listed})))))"
 
 
+def registry_of(first: str, name: str) -> str:
+    """CTEs with the document registry `name` of first rows (doc_id, m)."""
+    return f"""nm_{name} AS ({title().replace("FROM doc_registry)", f"FROM {first})")}),
+        {name} AS (SELECT DISTINCT f.doc_id, m.doc_type AS doc_type, coalesce(m.year, nm.year) AS year, coalesce(m.quarter, nm.quarter) AS quarter, m.source_date AS source_date FROM {first} f LEFT JOIN nm_{name} nm ON nm.doc_id = f.doc_id)"""
+
+
+CHUNK_FIRST = f"(SELECT doc_id, arg_min(meta, ord) AS m FROM {CHUNKS} GROUP BY doc_id)"
+
+
+def built() -> str:
+    known = ", ".join(f"coalesce(a.{c}, b.{c}) AS {c}" for c in ("doc_type", "year", "quarter", "source_date"))
+    return f"""{registry_of(FIRST, 'a')}, {registry_of(CHUNK_FIRST, 'b')}, later AS (SELECT b.doc_id, {known} FROM b LEFT JOIN a USING (doc_id)),
+        docs AS (SELECT * FROM later UNION ALL SELECT * FROM a WHERE doc_id NOT IN (SELECT doc_id FROM later))"""
+
+
+#: Chunks by length with overlap: b is the last unit from which the units before i reach the overlap.
+LENGTH = f"""WITH RECURSIVE u AS (SELECT doc_id, body, length(body) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, sum(length(body)) OVER (PARTITION BY doc_id ORDER BY n) AS p FROM {LINES} WHERE body <> ''),
+    b AS (SELECT a.doc_id, a.i, any_value(a.len) AS len, any_value(a.p) AS p, max(c.i) FILTER (a.p - a.len - c.p + c.len >= 200) AS b FROM u a LEFT JOIN u c ON c.doc_id = a.doc_id AND c.i < a.i GROUP BY a.doc_id, a.i),
+    f AS (SELECT doc_id, i, CASE WHEN len > 800 THEN 2 ELSE 1 END AS start, CASE WHEN len > 800 THEN 0 ELSE len END AS size, CAST(NULL AS BIGINT) AS first FROM b WHERE i = 1
+        UNION ALL SELECT b.doc_id, b.i, CASE WHEN len > 800 THEN b.i + 1 WHEN size + len > 800 THEN greatest(start, coalesce(b.b, start)) ELSE start END,
+            CASE WHEN len > 800 THEN 0 WHEN size + len > 800 THEN len + p - len - coalesce((SELECT x.p - x.len FROM u x WHERE x.doc_id = b.doc_id AND x.i = greatest(start, coalesce(b.b, start))), 0) ELSE size + len END,
+            CASE WHEN size > 0 AND (len > 800 OR size + len > 800) THEN start END FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i + 1),
+    e AS (SELECT doc_id, first AS a, i - 1 AS z, i AS place FROM f WHERE first IS NOT NULL
+        UNION ALL SELECT doc_id, start, i, i + 1 FROM f WHERE start <= i AND NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = f.doc_id AND u.i = f.i + 1)),
+    c AS (SELECT e.doc_id, e.place, CAST(0 AS BIGINT) AS sub, string_agg(u.body, chr(10) ORDER BY u.i) AS body FROM e JOIN u ON u.doc_id = e.doc_id AND u.i BETWEEN e.a AND e.z GROUP BY e.doc_id, e.place
+        UNION ALL SELECT doc_id, i, unnest(range(1, CAST(ceil(len / 800.0) AS BIGINT) + 1)), unnest(list_transform(range(0, len, 800), lambda x: body[x + 1:x + 800])) FROM u WHERE len > 800)
+    SELECT concat(doc_id, '_', row_number() OVER (PARTITION BY doc_id ORDER BY place, sub) - 1) AS id, length(body) AS n, md5(body) AS hash FROM c"""
+
+#: Breaks of the semantic strategy: counts of hashed characters in 16 slots as vectors, the cosine to the unit before.
+SEMANTIC = LEVEL.replace(
+    "f AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS no",
+    """ch AS (SELECT doc_id, i, unnest(regexp_extract_all(body, '(?s).')) AS c FROM u),
+    sl AS (SELECT doc_id, i, (CAST(unicode(c) AS HUGEINT) * 11400714819323198485 % 18446744073709551616) // 1099511627776 % 16 AS slot, count(*) AS k FROM ch WHERE c <> ' ' GROUP BY ALL),
+    nm AS (SELECT doc_id, i, sqrt(sum(k * k)) AS norm FROM sl GROUP BY ALL),
+    dp AS (SELECT x.doc_id, x.i, sum(x.k * y.k) AS dot FROM sl x JOIN sl y ON y.doc_id = x.doc_id AND y.i = x.i - 1 AND y.slot = x.slot GROUP BY ALL),
+    v AS (SELECT u.* EXCLUDE (brk), u.i > 1 AND coalesce(dot, 0) / (a.norm * b.norm) < 0.6 AS brk FROM u LEFT JOIN nm a ON a.doc_id = u.doc_id AND a.i = u.i LEFT JOIN nm b ON b.doc_id = u.doc_id AND b.i = u.i - 1 LEFT JOIN dp ON dp.doc_id = u.doc_id AND dp.i = u.i),
+    f AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS no""",
+).replace("FROM f JOIN u ON u.doc_id = f.doc_id AND u.i = f.i + 1", "FROM f JOIN v AS u ON u.doc_id = f.doc_id AND u.i = f.i + 1")
+
+OVERRIDE = "CASE WHEN contains(query_text, '公告') THEN 'notice' WHEN contains(query_text, '年') AND doc_type IS NULL THEN 'both' END"
+
+
+def batch() -> str:
+    """CTEs with `routed`: what every question is to be searched in."""
+    return f"""{ROUTES}, p AS (SELECT query_id, {period('query_text', 2024)} FROM queries),
+    q AS (SELECT query_id, {OVERRIDE} AS o, doc_type, CASE WHEN p.years = '' THEN [] ELSE string_split(p.years, ',') END AS ys FROM queries JOIN p USING (query_id)),
+    k AS (SELECT *, CASE WHEN o = 'notice' THEN o WHEN o = 'both' THEN NULL ELSE doc_type END AS t FROM q),
+    db AS (SELECT DISTINCT doc_type, y FROM dense WHERE doc_type IS NOT NULL), sb AS (SELECT DISTINCT doc_type, y FROM sparse WHERE doc_type IS NOT NULL),
+    d AS (SELECT DISTINCT query_id, db.doc_type, db.y FROM (SELECT query_id, t, unnest(ys) AS y FROM k) a JOIN db USING (y) WHERE t IS NULL OR t = db.doc_type OR t NOT IN (SELECT doc_type FROM db)),
+    s0 AS (SELECT query_id, ys, unnest(CASE WHEN t IS NOT NULL THEN [t] WHEN len(ys) > 0 OR o = 'both' THEN ['report', 'notice'] ELSE [] END) AS doc_type FROM k),
+    s1 AS (SELECT DISTINCT query_id, doc_type, sb.y FROM (SELECT query_id, doc_type, unnest(ys) AS y FROM s0) a JOIN sb USING (doc_type, y)),
+    s AS (SELECT * FROM s1 UNION SELECT query_id, doc_type, sb.y FROM s0 JOIN sb USING (doc_type) WHERE sb.y = 'unknown' AND NOT EXISTS (SELECT 1 FROM s1 WHERE s1.query_id = s0.query_id AND s1.doc_type = s0.doc_type)),
+    r AS (SELECT query_id, 'faiss' AS kind, 'buckets' AS scope, doc_type, y AS year_key FROM d UNION ALL SELECT query_id, 'faiss', 'named', NULL, NULL FROM k WHERE len(ys) > 0 AND query_id NOT IN (SELECT query_id FROM d) UNION ALL SELECT query_id, 'bm25', 'buckets', doc_type, y FROM s),
+    routed AS (SELECT * FROM r UNION ALL SELECT query_id, unnest(['faiss', 'bm25']), 'all', NULL, NULL FROM k WHERE query_id NOT IN (SELECT query_id FROM r))"""
+
+
+def material(limit: str) -> str:
+    """CTEs with `y`: the context of every question, cut where it is longer than `limit` leaves room."""
+    return f"""{FALLBACK}, l AS (SELECT query_id, any_value(query_text) AS q, string_agg('[' || rerank_rank || '] doc=' || coalesce(doc_id, '') || ' page=' || coalesce(CAST(page AS VARCHAR), 'None') || ' type=' || coalesce(type, '') || chr(10)
+            || CASE WHEN table_id IS NULL AND length(content) > 120 THEN content[1:120] || '…' ELSE content END, chr(10) || chr(10) ORDER BY rerank_rank) AS x FROM s GROUP BY query_id),
+            h AS (SELECT q.query_id, q.query_text AS q, coalesce(x, '') AS x, greatest(0, {limit} - length(q.query_text)) AS room FROM queries q LEFT JOIN l USING (query_id)),
+            y AS (SELECT query_id, q, CASE WHEN length(x) > room THEN x[1:greatest(0, room - 100)] || '{rt.CUT_NOTICE}' ELSE x END AS x FROM h)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    start, between, end = rt.ANSWER_PROMPT
+    fixed = len(qs.SYSTEM) + sum(map(len, rt.ANSWER_PROMPT))
     r, n = classify("body")
     order = "近' || (o_orderkey % 22) || '年' || (year(o_orderdate) - 12) || '至' || year(o_orderdate) || '年第三季度与去年"
     return {
@@ -257,6 +325,32 @@ def oracle_sql() -> dict[str, str]:
         "answer_context": f"""WITH {FALLBACK}, l AS (SELECT query_id, string_agg('[' || rerank_rank || '] doc=' || coalesce(doc_id, '') || ' page=' || coalesce(CAST(page AS VARCHAR), 'None') || ' type=' || coalesce(type, '') || chr(10)
             || CASE WHEN table_id IS NULL AND length(content) > 120 THEN content[1:120] || '…' ELSE content END, chr(10) || chr(10) ORDER BY rerank_rank) AS x FROM s GROUP BY query_id),
             y AS (SELECT query_id, CASE WHEN length(x) > 1300 THEN x[1:1200] || chr(10) || chr(10) || '[内容已截断，部分材料因长度限制未包含...]' ELSE x END AS x FROM l) SELECT query_id, length(x) AS n, md5(x) AS hash FROM y""",
+        "answer_messages": f"""WITH {material(str(qs.ROOM - 100 - fixed))}, u AS (SELECT query_id, '{start}' || q || '{between}' || x || '{end}' AS u FROM y) SELECT query_id, '{qs.SYSTEM}' AS system, length(u) AS n, md5(u) AS hash FROM u""",
+        "answer_sources": f"""WITH {FALLBACK}, o AS (SELECT id, ord, source_file FROM {META}) SELECT query_id, rerank_rank AS ref, s.id, coalesce(modal, 'unknown') AS modal, coalesce(doc_id, '') AS doc_id, page, CASE WHEN table_id IS NOT NULL THEN 'table_full' ELSE coalesce(type, '') END AS type, o.ord,
+            md5(CASE WHEN table_id IS NULL AND length(content) > 120 THEN content[1:120] || '…' ELSE content END) AS hash, index_dir, source_file FROM s JOIN o ON o.id = s.id""",
+        "answer_end_to_end": f"""WITH {material(str(qs.ROOM - 100 - len(qs.SYSTEM) - 7))}, u AS (SELECT query_id, '问：' || q || chr(10) || x || chr(10) || '再问：' AS u FROM y) SELECT query_id, '答：< “' || length(u) || ' ' || trim(u[-12:]) || '” >' AS answer FROM u""",
+        "multi_query_routes": f"""WITH r AS (SELECT query_id, query_text AS t, unnest([1, 2, 3]) AS route, unnest(['mq_1', 'mq_2', 'hyde']) AS name, unnest(['换词：', '换概念：', '设想：']) AS p FROM queries),
+            m AS (SELECT query_id, route, name, length(p || t) || ' ' || trim((p || t)[-12:]) AS e FROM r)
+            SELECT query_id, 0 AS route, 'orig' AS name, query_text AS q FROM queries UNION ALL SELECT query_id, route, name, CASE WHEN name = 'hyde' THEN '答：< “' || e || '” >' ELSE e END FROM m""",
+        "embedding_usage": f"SELECT type, CAST(coalesce(sum(greatest(1, length(body) // 2)) FILTER ({space('body')} <> ''), 0) AS BIGINT) AS tokens, count(*) FILTER ({space('body')} <> '') AS embedded FROM (SELECT type, {EVAL_TEXT} AS body FROM {UNITS}) GROUP BY type",
+        "route_batch": f"WITH {batch()} SELECT * FROM routed",
+        "route_decisions": f"WITH {batch()} SELECT query_id, CASE WHEN bool_or(scope = 'buckets') THEN 'year_buckets' ELSE 'global' END AS strategy, count(*) FILTER (scope = 'buckets') AS buckets, bool_or(scope <> 'buckets') AS fallback FROM routed GROUP BY query_id",
+        "registry_build": f"WITH {built()} SELECT * FROM docs",
+        "registry_build_index": f"""WITH {built()}, i AS (SELECT 'faiss' AS kind, doc_type, coalesce(CAST(year AS VARCHAR), 'unknown') AS year_key, 'faiss_ctrl/' || doc_id AS dir FROM a UNION ALL SELECT 'bm25', doc_type, coalesce(CAST(year AS VARCHAR), 'unknown'), 'bm25_ctrl/' || doc_id FROM later)
+            SELECT kind, doc_type, year_key, count(*) AS dirs, min(dir) AS first_dir FROM i GROUP BY ALL""",
+        "stored_index_search": f"""WITH fa AS (SELECT index_dir AS idx FROM {META} GROUP BY 1 HAVING max(doc_meta.doc_type) = 'report' AND max(doc_meta.year) = 2021), {BM25.replace("source AS idx, doc_id AS rid", "index_dir AS idx, rid").replace("'text'", "'embed_text'").replace("coalesce(text, '')", "coalesce(embed_text, '')").replace("FROM documents WHERE source IS NOT NULL", f"FROM {META} WHERE index_dir IN (SELECT idx FROM fa)")},
+            asked AS (SELECT query_id, unnest({tokens('query_text')}) AS term FROM queries),
+            s AS (SELECT query_id, idx, rid, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM post JOIN asked USING (term) JOIN terms USING (idx, term) JOIN stats USING (idx) GROUP BY ALL),
+            x AS (SELECT query_id, t.idx, t.rid, coalesce(score, 0.0) AS score FROM queries CROSS JOIN t LEFT JOIN s USING (query_id, idx, rid)),
+            y AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, idx ORDER BY round(score, 9) DESC, rid) AS INT) AS rank FROM x QUALIFY rank <= 3),
+            z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, idx, rid) AS k, count(*) OVER (PARTITION BY query_id) AS c FROM y)
+            SELECT query_id, idx, rid, round(score, 6) AS score, rank FROM z WHERE k <= 20 OR k = c""",
+        "lines_roundtrip": f"SELECT id, doc_id, type, page, md5(content) AS hash, ord AS \"order\", meta.year AS year, array_to_string(meta.years_mentioned, ',') AS years FROM {CHUNKS}",
+        "report_append": f"SELECT source, type, count(*) AS chunk_count, round(avg(length(content)), 6) AS avg_chunk_len, CAST(run AS INT) AS run FROM {CHUNKS}, range(1, 3) t(run) GROUP BY ALL",
+        "chunk_length_overlap": LENGTH,
+        "chunk_semantic": SEMANTIC,
+        "post_filter_type_and_page": f"""WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, modal ORDER BY round(score_raw, 9) DESC, index_dir, rid) AS INT) AS rank FROM {TWO}), m AS (SELECT id, page, type FROM {META})
+            SELECT query_id, modal, r.id, page, rank FROM r JOIN m ON m.id = r.id WHERE type = 'text' AND (page IS NULL OR page >= 2)""",
         "multi_route_merge": f"""WITH r AS (SELECT query_id, id, {MODAL} AS route, CAST(row_number() OVER (PARTITION BY query_id, modal ORDER BY round(score_raw, 9) DESC, index_dir, rid) AS INT) AS rank FROM {HITS}),
             k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY route, rank) = 1) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY route, rank) AS INT) AS position FROM k""",
         "adjacent_distance": f"""WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v, lag(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM embeddings)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tessella.functions import domain as dm
@@ -13,7 +14,8 @@ from tessella.functions import text as tx
 from tessella.functions import vector as vec
 from tessella.operators import chunking, evaluate, providers, registry, retrieval, tables, units
 from tessella.operators import index as ix
-from tessella.session import cut, spread, table
+from tessella.session import cut, shared_folder, spread, table
+from tessella.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -379,6 +381,13 @@ def post_filter_page(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.page_filter(ranked.join(pages, "id"), 2, 3).select("query_id", "modal", "id", "page", "rank")
 
 
+@query
+def post_filter_type_and_page(spark: SparkSession, d: str) -> DataFrame:
+    ranked = retrieval.modal_rank(two_modes(spark, d))
+    facts = meta(spark, d, "page", "type", "doc_id").select("id", "page", "type", "doc_id")
+    return retrieval.candidate_filter(ranked.join(facts, "id"), kind="text", first=2).select("query_id", "modal", "id", "page", "rank")
+
+
 def _for_rerank(spark: SparkSession, d: str) -> DataFrame:
     p = retrieval.prune(_with_table(_blended(spark, d)), "score_blend", 30)
     placed = p.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy("pre_rank")) - 1)
@@ -428,6 +437,58 @@ def answer_context(spark: SparkSession, d: str) -> DataFrame:
     return c.select("query_id", F.length("context").alias("n"), F.md5("context").alias("hash"))
 
 
+SYSTEM, PER_CHUNK, ROOM = "你是上市公司公告的问答助手。", 120, 1500
+
+
+def _material(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The questions and their ten best results, as an answer takes them."""
+    r = retrieval.rerank(_for_rerank(spark, d), None, 10)
+    files = meta(spark, d, "source_file").select("id", "source_file")
+    ready = r.join(files, "id").select("query_id", F.col("rerank_rank").alias("rank"), "id", "modal", "doc_id", "page", "type", "ord", "content", "index_dir", "source_file", F.col("table_id").isNotNull().alias("is_table"))
+    return table(spark, d, "queries").select("query_id", F.col("query_text").alias("q")), ready
+
+
+@query
+def answer_messages(spark: SparkSession, d: str) -> DataFrame:
+    m = retrieval.answer_messages(*_material(spark, d), SYSTEM, PER_CHUNK, ROOM, 100)
+    content = lambda k: F.col("messages")[k]["content"]
+    return m.select("query_id", content(0).alias("system"), F.length(content(1)).alias("n"), F.md5(content(1)).alias("hash"))
+
+
+@query
+def answer_sources(spark: SparkSession, d: str) -> DataFrame:
+    a = retrieval.answer_sources(_material(spark, d)[1], PER_CHUNK)
+    return a.select("query_id", "ref", "id", "modal", "doc_id", "page", "type", "ord", F.md5("content").alias("hash"), "index_dir", "source_file")
+
+
+def echo(chats: list[list[tuple[str, str]]]) -> list[str | None]:
+    """A deterministic chat model: the length and the last characters of what it is asked, in angle brackets."""
+    return [f"答：< “{len(c[-1][1])} {c[-1][1][-12:].strip()}” >" for c in chats]
+
+
+@query
+def answer_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates to answers with a model that repeats the question behind its material."""
+    questions, ready = _material(spark, d)
+    prompt = ("问：", "\n", "\n再问：")
+    m = retrieval.answer_messages(questions, ready, SYSTEM, PER_CHUNK, ROOM, 100, prompt)
+    return providers.chat(m, "messages", "answer", echo).select("query_id", "answer")
+
+
+@query
+def multi_query_routes(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "queries").select("query_id", F.col("query_text").alias("q"))
+    return retrieval.expand_questions(q, echo, ("换词：", "换概念："), "设想：").select("query_id", "route", "name", "q")
+
+
+@query
+def embedding_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens by type of unit where the provider reports none."""
+    u = content_list(spark, d, *EVAL_UNIT).select("type", chunking.eval_unit_text().alias("body"))
+    used = providers.embed_counting(u, "body", "v", "tokens", lambda texts: ([[0.0]] * len(texts), None), 100)
+    return used.groupBy("type").agg(F.sum("tokens").alias("tokens"), F.count("v").alias("embedded"))
+
+
 @query
 def multi_route_merge(spark: SparkSession, d: str) -> DataFrame:
     """The three modalities as routes of one query, merged in their order."""
@@ -500,6 +561,71 @@ _route("route_nothing", None, [])
 _route("route_both", "report", [], "both")
 
 
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    """All questions routed in one job, by their own kind or one that overrides it."""
+    override = F.when(F.contains("query_text", F.lit("公告")), "notice").when(F.contains("query_text", F.lit("年")) & F.col("doc_type").isNull(), "both")
+    q = table(spark, d, "queries").select("query_id", "doc_type", dm.query_period("query_text", CURRENT_YEAR)["years"].alias("years"), override.alias("override"))
+    return registry.route_batch(q, *_indexes(spark, d))
+
+
+@query
+def route_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _routed(spark, d)
+
+
+@query
+def route_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return registry.decisions(_routed(spark, d))
+
+
+def _built(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The registries of the dense index (meta) and of the sparse index (chunks, one sub-index for each document)."""
+    sparse = chunks(spark, d, "doc_id", "ord", "meta").select(F.col("doc_id").alias("index_dir"), F.col("ord").alias("rid"), "doc_id", F.col("meta").alias("doc_meta"))
+    return registry.build(meta(spark, d, "index_dir", "rid", "doc_id", "doc_meta"), sparse, "faiss_ctrl", "bm25_ctrl")
+
+
+@query
+def registry_build(spark: SparkSession, d: str) -> DataFrame:
+    return _built(spark, d)[0].select("doc_id", "doc_type", "year", "quarter", "source_date")
+
+
+@query
+def registry_build_index(spark: SparkSession, d: str) -> DataFrame:
+    return _built(spark, d)[1].groupBy("kind", "doc_type", "year_key").agg(F.count("*").alias("dirs"), F.min("index_dir").alias("first_dir"))
+
+
+@query
+def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse index of meta is written by kind and year; a search reads the folders of one kind and year only."""
+    rows = meta(spark, d, "index_dir", "rid", "embed_text", "doc_meta")
+    folder = shared_folder(spark, "index")
+    facts = rows.groupBy(F.col("index_dir").alias("idx")).agg(F.max("doc_meta.doc_type").alias("doc_type"), F.max("doc_meta.year").alias("year"))
+    ix.SparseIndex.build(spread(rows), "index_dir", "rid", "embed_text").write(folder, cut(facts))
+    stored = ix.SparseIndex.read(spark, folder, (F.col("doc_type") == "report") & (F.col("year") == 2021))
+    top = retrieval.bm25_top_k(table(spark, d, "queries").select("query_id", F.col("query_text").alias("q")), stored, 3, 20)
+    return top.select("query_id", "idx", "rid", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def lines_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written as JSON lines and read again; null fields are left out of the files."""
+    folder = shared_folder(spark, "lines")
+    c = chunks(spark, d, "doc_id", "type", "page", "content", "ord", "meta")
+    files.write_lines(c.select("id", "doc_id", "type", "page", "content", F.col("ord").alias("order"), "meta"), folder)
+    back = files.read_lines(spark, folder, files.CHUNK)
+    return back.select("id", "doc_id", "type", "page", F.md5("content").alias("hash"), "order", F.col("meta.year").alias("year"), F.array_join("meta.years_mentioned", ",").alias("years"))
+
+
+@query
+def report_append(spark: SparkSession, d: str) -> DataFrame:
+    """A report that grows with each run: two runs of the chunk statistics, with their run ids."""
+    folder = shared_folder(spark, "report")
+    for run in (1, 2):
+        files.write_lines(chunk_stats(spark, d).withColumn("run", F.lit(run)), folder, "append")
+    schema = "source string, type string, chunk_count long, avg_chunk_len double, run int"
+    return files.read_lines(spark, folder, T._parse_datatype_string(schema))
+
+
 @query
 def latest_version(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d)
