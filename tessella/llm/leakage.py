@@ -38,6 +38,8 @@ RUN, WINDOW, SHINGLE, RADIUS, SIMILARITY = 40, 24, 3, 3, 0.8
 #: Item-sized windows: the radius, the ratio of neighbouring window sizes, the shortest size, steps for each window.
 NEAR_RADIUS, GROWTH, SHORTEST, STEPS = 11, 1.12, 24, 8
 BLOCK_CHARS, PASS_BLOCKS = 2_000_000, 8
+#: Item-sized windows are counted in 16 bits; longer passages are refused.
+LONGEST = 60_000
 #: Characters (and windows) of corpus text that are fingerprinted at once (bounds the memory of a worker).
 SLICE = 400_000
 #: The bits of a byte as eight bytes of 0 or 1.
@@ -135,15 +137,18 @@ def shingle_hashes(a: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def bit_sums(a: np.ndarray) -> np.ndarray:
-    """Row i: how often each bit is set in the hashes of the shingles that begin before i."""
-    bits = np.unpackbits(shingle_hashes(a).view(np.uint8).reshape(-1, 8), axis=1)
-    return np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
+    """Row i: how often each bit is set in the hashes of the shingles that begin before i, modulo 2 ** 16."""
+    h = shingle_hashes(a)
+    out = np.zeros((len(h) + 1, 64), np.uint16)
+    np.cumsum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint16, out=out[1:])
+    return out
 
 
 def spans(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """SimHash of a[start:stop] for all spans, from `bit_sums`."""
+    """SimHash of a[start:stop] for all spans (of fewer than 2 ** 16 characters), from `bit_sums`."""
     ends = stops - SHINGLE + 1
-    return np.packbits(sums[ends] - sums[starts] > ((ends - starts) // 2)[:, None], axis=1).view(np.uint64).ravel()
+    half = ((ends - starts) // 2).astype(np.uint16)[:, None]
+    return np.packbits(sums[ends] - sums[starts] > half, axis=1).view(np.uint64).ravel()
 
 
 class Sized:
@@ -152,6 +157,8 @@ class Sized:
     def __init__(self, ids: list[int], texts: list[np.ndarray], radius: int):
         self.ids, self.texts = ids, texts
         size = np.array([len(t) for t in texts])
+        if size.size and size.max() >= LONGEST:
+            raise ValueError(f"a passage has fewer than {LONGEST} letters and digits")
         level = np.floor(np.log(np.maximum(size, SHORTEST) / SHORTEST) / np.log(GROWTH) + 1e-9).astype(int)
         self.classes = []
         for k in np.unique(level[size >= SHORTEST]):

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window as W
 
 from tessella.session import broadcast_if_small, cut
 
-CAPACITY, WINDOW_SLACK, DEPTH, TOKENIZER = 2048, 16, 4, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+CAPACITY, WINDOW_SLACK, DEPTH = 2048, 16, 4
 #: Fixed value: how the public byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rows that one (size, salt) group should hold at most, by count of all rows.
@@ -44,8 +44,8 @@ def _encoder(vocabulary: bytes):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, tokens) of every row."""
+def token_counts(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
+    """(key, tokens) of every row; tokenizer: the file of a byte-level vocabulary."""
     with open(tokenizer, "rb") as f:
         vocabulary = f.read()
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)

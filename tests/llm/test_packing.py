@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import packing as pk
+from tessella.llm.queries import TOKENIZER
 
 
 def used(patterns):
@@ -63,5 +64,5 @@ def test_frame(spark):
 
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "公司公告 abc"), (2, None), (3, ""), (4, "长" * 20000)], "k int, t string")
-    got = {r.k: r.tokens for r in pk.token_counts(df, "k", "t").collect()}
+    got = {r.k: r.tokens for r in pk.token_counts(df, "k", "t", TOKENIZER).collect()}
     assert got[2] == got[3] == 0 and 0 < got[1] < 20 and got[4] > 1000
