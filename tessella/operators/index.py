@@ -101,4 +101,6 @@ def resume(rows: DataFrame, earlier: DataFrame, key: list[str], old: str, new: s
 
 def write_index(df: DataFrame, path: str) -> None:
     """An index table, partitioned by kind and year so that routing prunes folders; the kinds and years written replace those that were there."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_type", "year").parquet(path)
+    # adaptive execution gathers a small kind and year into one file and splits a large one
+    even = df.hint("rebalance", "doc_type", "year")
+    even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_type", "year").parquet(path)
