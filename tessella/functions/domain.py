@@ -15,6 +15,7 @@ REPORT_WORDS = """年报 年度报告 半年度 半年报 一季报 第一季度
 NOTICE_WORDS = """公告 关于 签订合同 中标 回购 股份回购 质押 减持 增持 停牌 复牌 对外担保 担保 项目 定增 配股 董事会 股东大会
 回复问询 更正 变更 提示性公告 提示公告 进展 终止 中止""".split()
 REPORT_TITLES = "年报 季报 季度报告 年度报告 述职报告 工作报告".split()
+# Patterns of years, ranges, quarters and spans of years, Han numerals, and how many years of a range count.
 YEAR = r"((?:19|20)(?U:\d){2})"
 RANGE = rf"{YEAR}(?U:\s)*[-~至到—－](?U:\s)*{YEAR}"
 QUARTER = r"(?i)(Q[1-4]|[一二三四]季(?:度|报)?|第[一二三四]季度|[1-4]季报)"

@@ -172,7 +172,7 @@ def prune_none(spark: SparkSession, d: str) -> DataFrame:
 @query
 def textify_simple_table(spark: SparkSession, d: str) -> DataFrame:
     """HTML of nations as text: the header names the columns, blank cells are left out."""
-    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     html = F.concat(F.lit("<table><tr><th>国家</th><th></th><th>区域</th></tr><tr>"), cell("n_name"), cell(F.col("n_nationkey").cast("string")), cell(F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.col("r_name"))), F.lit("</tr></table>"))
     return tables.textify(n.select("n_nationkey", html.alias("html")), "html", "body").drop("html")

@@ -72,3 +72,10 @@ def test_vectors(spark):
 def test_strip_html_decodes_every_entity(spark, raw):
     assert one(spark, raw, tx.strip_html) == " ".join(html.unescape(raw).split())
     assert one(spark, None, tx.strip_html) is None
+
+
+def test_title_by_path(spark):
+    rows = [("2020-01-01 1 公司 某事", "库/公告/x.json"), ("2020-01-01 1 公司 某事", "库/财报/x.json"), ("2020-01-01 1 公司 某事", None), (None, None)]
+    df = spark.createDataFrame(rows, "d string, p string")
+    got = [(r.t.source_path, r.t.doc_type, r.t.year) for r in df.select(dm.title_meta("d", "p").alias("t")).collect()]
+    assert got == [("库/公告/x.json", "notice", 2020), ("库/财报/x.json", "report", 2020), ("", None, 2020), ("", None, None)]
