@@ -600,7 +600,7 @@ def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
     rows = meta(spark, d, "index_dir", "rid", "embed_text", "doc_meta")
     folder = shared_folder(spark, "index")
     facts = rows.groupBy(F.col("index_dir").alias("idx")).agg(F.max("doc_meta.doc_type").alias("doc_type"), F.max("doc_meta.year").alias("year"))
-    ix.SparseIndex.build(spread(rows), "index_dir", "rid", "embed_text").write(folder, cut(facts))
+    ix.SparseIndex.build(rows, "index_dir", "rid", "embed_text").write(folder, cut(facts))
     stored = ix.SparseIndex.read(spark, folder, (F.col("doc_type") == "report") & (F.col("year") == 2021))
     top = retrieval.bm25_top_k(table(spark, d, "queries").select("query_id", F.col("query_text").alias("q")), stored, 3, 20)
     return top.select("query_id", "idx", "rid", F.round("score", 6).alias("score"), "rank")

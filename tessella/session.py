@@ -72,7 +72,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column,
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores where its files give less than half as many tasks, for work that costs much more than a shuffle."""
+    """`df` over all cores where its files give less than half as many tasks, for work that costs much more than a shuffle.
+
+    df: read, filtered and united only (asking for the partitions of a frame with a shuffle would run it)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
