@@ -37,7 +37,7 @@ from tessella.llm.codepoints import fold, fold_all
 RUN, WINDOW, SHINGLE, RADIUS, SIMILARITY = 40, 24, 3, 3, 0.8
 #: Item-sized windows: the radius, the ratio of neighbouring window sizes, the shortest size, steps for each window.
 NEAR_RADIUS, GROWTH, SHORTEST, STEPS = 11, 1.12, 24, 8
-BLOCK_CHARS, PASS_BLOCKS = 2_000_000, 8
+BLOCK_CHARS, PASS_BLOCKS = 2_000_000, 4
 #: Item-sized windows are counted in 16 bits; longer passages are refused.
 LONGEST = 60_000
 #: Characters (and windows) of corpus text that are fingerprinted at once (bounds the memory of a worker).
