@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.functions import vector as vec
-from tessella.session import broadcast_if_small, cut
+from tessella.session import broadcast_if_small, cut, kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -24,24 +24,17 @@ def tokenized(rows: DataFrame, index: str, rid: str, text: str) -> DataFrame:
     return tokens.withColumn("dl", F.size("tokens"))
 
 
-def postings(tokens: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(idx, rid, term, tf, dl) of every row with tokens; a row's counts are combined in its task.
-
-    only: (term) of a small set; other terms are dropped before the shuffle."""
+def postings(tokens: DataFrame) -> DataFrame:
+    """(idx, rid, term, tf, dl) of every row with tokens; a row's counts are combined in its task."""
     each = tokens.select("idx", "rid", "dl", F.explode("tokens").alias("term"))
-    if only is not None:
-        each = each.join(broadcast_if_small(only.select("term").distinct()), "term", "left_semi")
     return each.groupBy("idx", "rid", "dl", "term").agg(F.count("*").alias("tf")).select("idx", "rid", "term", "tf", "dl")
 
 
-def index_stats(tokens: DataFrame) -> DataFrame:
-    """(idx, n, avgdl): rows (with or without tokens) and their mean number of tokens."""
-    return tokens.groupBy("idx").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def document_frequencies(tokens: DataFrame) -> DataFrame:
-    """(idx, term, df): rows that have the term, without making postings: each row's distinct tokens are combined before the shuffle."""
-    return tokens.select("idx", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("idx", "term").agg(F.count("*").alias("df"))
+def frequencies(tokens: DataFrame) -> DataFrame:
+    """(idx, term, df, length): the rows that have the term, without making postings: each row's distinct tokens are combined before
+    the shuffle. Where term is null, all rows of the sub-index (with or without tokens) and their tokens."""
+    each = tokens.select("idx", "dl", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))).alias("term"))
+    return each.groupBy("idx", "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length"))
 
 
 def term_stats(df: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
@@ -55,7 +48,7 @@ def term_stats(df: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> Dat
 
 @dataclass
 class SparseIndex:
-    """The stored sparse index: tokens (idx, rid, tokens, dl), terms (idx, term, df, idf), stats (idx, n, avgdl)."""
+    """The sparse index: tokens (idx, rid, tokens, dl), terms (idx, term, df, idf), stats (idx, n, avgdl)."""
 
     tokens: DataFrame
     terms: DataFrame
@@ -63,10 +56,12 @@ class SparseIndex:
 
     @classmethod
     def build(cls, rows: DataFrame, index: str, rid: str, text: str) -> SparseIndex:
-        """Texts are read and tokenised once; all tables are kept in the shared folder."""
-        tokens = cut(tokenized(rows, index, rid, text))
-        stats = cut(index_stats(tokens))
-        return cls(tokens, cut(term_stats(cut(document_frequencies(tokens)), stats)), stats)
+        """Texts are tokenised once for all statistics, which are kept in the shared folder, and again by what reads `tokens`:
+        kept tokens would take several times the disk of the texts."""
+        tokens = tokenized(rows, index, rid, text)
+        counts = kept(frequencies(tokens), "terms")
+        stats = cut(counts.filter("term IS NULL").select("idx", F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl")))
+        return cls(tokens, term_stats(counts.filter("term IS NOT NULL").select("idx", "term", "df"), stats), stats)
 
     def write(self, path: str, facts: DataFrame) -> None:
         """Three folders, partitioned by kind and year (of `facts`: idx, doc_type, year), so that routing prunes folders."""

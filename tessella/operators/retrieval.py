@@ -7,10 +7,12 @@ rounded to 9 decimals. Null ids count as one id when duplicates are removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -100,41 +102,220 @@ def best_and_least(df: DataFrame, most: int) -> DataFrame:
     return best.unionByName(least).distinct()
 
 
-def bm25_scores(queries: DataFrame, post: DataFrame, terms: DataFrame, stats: DataFrame, k1: float = ix.K1, b: float = ix.B) -> DataFrame:
-    """(query_id, idx, rid, score) of all rows that share a term. queries: (query_id, q text); repeated terms count repeatedly."""
-    asked = queries.select("query_id", F.explode(tx.bm25_tokens("q")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = broadcast_if_small(asked)
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hit = post.join(asked, "term").join(terms.select("idx", "term", "idf"), ["idx", "term"]).join(broadcast_if_small(stats.select("idx", "avgdl"), True), "idx")
-    return hit.groupBy("query_id", "idx", "rid").agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
-
-
-def bm25_top_k(queries: DataFrame, index: ix.SparseIndex, k: int, most: int | None = None) -> DataFrame:
-    """(query_id, idx, rid, score, rank): the k best rows per sub-index; rows without a match score 0 and fill up to k, the least rid first.
-
-    most: only the `most` best rows of a query over all sub-indexes, and a least one; then rows without a match are filled up in
-    the first `2 * most` sub-indexes only: such rows can be among the best only if fewer than `most` rows match, and then they leave
-    enough of these sub-indexes with a row that does not. (Both bounds on such rows take scores as positive; where the mean idf of a
-    sub-index is below 0, rows that match can score below 0.)"""
-    asked = cut(queries.select("query_id", "q"))
-    # only the terms that are asked for need postings
-    post = ix.postings(index.tokens, asked.select(F.explode(tx.bm25_tokens("q")).alias("term")))
-    scores = cut(bm25_scores(asked, post, index.terms, index.stats))
-    fill = index.tokens.select("idx", "rid").filter("idx IS NOT NULL")
-    if most is not None:
-        first = index.stats.filter("idx IS NOT NULL").orderBy("idx").limit(2 * most).select("idx")
-        fill = fill.join(broadcast_if_small(first), "idx", "left_semi")
-    # among rows that score 0 only the k least rids of a sub-index can be among its k best
-    fill = broadcast_if_small(vec.top_k(fill, ["idx"], [F.col("rid")], k, "n").drop("n"))
-    zero = None
-    for ids in blocks_of(asked.select("query_id"), "query_id", 4096):
-        part = fill.select(F.explode(F.lit([r.query_id for r in ids])).alias("query_id"), "idx", "rid", F.lit(0.0).alias("score"))
-        zero = part if zero is None else zero.unionByName(part)
-    if zero is None:
-        return scores.withColumn("rank", F.lit(0)).limit(0)
-    best = scores.unionByName(zero.join(scores, ["query_id", "idx", "rid"], "left_anti").select("query_id", "idx", "rid", "score"))
-    top = vec.top_k(best, ["query_id", "idx"], [desc("score"), F.col("rid")], k, "rank")
-    return top if most is None else best_and_least(top, most)
+#: Rows of a sub-index that one group of a search holds; larger sub-indexes are searched in parts. Cells of a block of scores.
+PART_ROWS, CELLS = 8192, 2_000_000
+#: Rows whose scores are sorted before the rest of a group has to exceed the k-th best.
+FIRST_ROWS = 64
+
+
+def _encoder(vocabulary: list[str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tokens become `t`: pairs (number of a term that is asked for, its count in the row) of 32 bits."""
+    words = pa.array(vocabulary, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("tokens")
+            number = pc.index_in(column.flatten(), value_set=words.cast(column.type.value_type)).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+            known = number >= 0
+            number, row, out = number[known], row[known], []
+            step = max(1, CELLS // max(1, len(words)))
+            for lo in range(0, batch.num_rows, step):
+                a, b = np.searchsorted(row, (lo, lo + step))
+                count = np.bincount((row[a:b] - lo) * len(words) + number[a:b])
+                at = np.flatnonzero(count)
+                pairs = np.stack([at % max(1, len(words)), count[at]], axis=1).astype(np.uint32)
+                ends = np.searchsorted(at, np.arange(1, min(step, batch.num_rows - lo)) * len(words))
+                out += [x.tobytes() for x in np.split(pairs, ends)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema if f.name != "t"), pa.array(out, pa.binary())], names=schema.names)
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows from one head to the row before the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        lo = 0
+        for at in np.flatnonzero(batch.column("head").to_numpy(zero_copy_only=False)):
+            held += [batch.slice(lo, at - lo)] if at > lo else []
+            if held:
+                yield pa.Table.from_batches(held)
+            held, lo = [], at
+        held += [batch.slice(lo)] if batch.num_rows > lo else []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _firsts(group: np.ndarray, n: int) -> np.ndarray:
+    """Of sorted group numbers, whether a place is among the first n of its group."""
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, int)
+    return np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)])) < n
+
+
+def _best_rows(term: np.ndarray, doc: np.ndarray, weight: np.ndarray, m: int, words: int, slots: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bag of terms, the k best of m rows: scores in units of 1e-9, scores, positions (m where there are fewer rows).
+
+    term, doc, weight: the entries of the rows, by row. slots, lengths: the bags' terms and their number, the longest bag first."""
+    bags = len(lengths)
+    b9, best, at = np.full((bags, k), -np.inf), np.zeros((bags, k)), np.full((bags, k), m)
+    lo = 0
+    while lo < m:
+        hi = min(m, lo + (max(FIRST_ROWS, CELLS // max(1, bags)) if lo else FIRST_ROWS))
+        a, b = np.searchsorted(doc, (lo, hi))
+        n = hi - lo
+        w = np.zeros((words, n))
+        w[term[a:b], doc[a:b] - lo] = weight[a:b]
+        score = np.zeros((bags, n))
+        step = max(256, 65536 // n)
+        for c in range(0, bags, step):
+            own = lengths[c : c + step]
+            for j in range(own[0]):
+                r = int(np.searchsorted(-own, -j))  # bags of more than j terms
+                score[c : c + r] += w.take(slots[c : c + r, j], axis=0)
+        s9 = np.rint(score * 1e9)
+        if lo:  # rows come by rid, so that a later one has to be better
+            row, col = np.nonzero(s9 > b9[:, -1:])
+        else:
+            col = np.argsort(-s9, axis=1, kind="stable")[:, :k]
+            row, col = np.repeat(np.arange(bags), col.shape[1]), col.ravel()
+        if len(row):
+            hit = row[np.r_[True, row[1:] != row[:-1]]]
+            bag, v9 = np.r_[np.repeat(hit, k), row], np.r_[b9[hit].ravel(), s9[row, col]]
+            v, place = np.r_[best[hit].ravel(), score[row, col]], np.r_[at[hit].ravel(), lo + col]
+            order = np.lexsort((place, -v9, bag))
+            keep = order[_firsts(bag[order], k)]
+            b9[hit], best[hit], at[hit] = (x[keep].reshape(-1, k) for x in (v9, v, place))
+        lo = hi
+    return b9, best, at
+
+
+class _Pool:
+    """The `most` best rows of each bag among the sub-indexes of a task, and the last one; sub-indexes come in order."""
+
+    def __init__(self, bags: int, most: int):
+        self.most, self.limit, self.rows = most, max(1_000_000, 2 * bags * most), 0
+        self.over, self.least = np.full(bags, -np.inf), np.full(bags, np.inf)
+        self.last = [np.zeros(bags), np.zeros(bags, int), np.zeros(bags, int)]  # score, position, rank
+        self.kept: list[tuple[np.ndarray, ...]] = []
+        self.size, self.idx, self.rid = 0, [], []
+
+    def add(self, b9: np.ndarray, best: np.ndarray, at: np.ndarray, idx: pa.Array, rid: pa.Array) -> None:
+        n = min(b9.shape[1], len(rid))
+        b9, best, at = b9[:, :n], best[:, :n], at[:, :n] + self.rows
+        row, col = np.nonzero(b9 > self.over[:, None])
+        self.kept.append((row, b9[row, col], best[row, col], at[row, col], col + 1))
+        self.size += len(row)
+        lower = b9[:, -1] <= self.least
+        self.least[lower] = b9[lower, -1]
+        for x, y in zip(self.last, (best[:, -1], at[:, -1], np.full(len(at), n))):
+            x[lower] = y[lower]
+        self.rows += len(rid)
+        self.idx.append(idx)
+        self.rid.append(rid)
+        if self.size > self.limit:
+            self.reduce()
+
+    def reduce(self) -> None:
+        bag, v9, v, at, rank = map(np.concatenate, zip(*self.kept))
+        order = np.lexsort((at, -v9, bag))
+        keep = order[_firsts(bag[order], self.most)]
+        self.kept, self.size = [tuple(x[keep] for x in (bag, v9, v, at, rank))], len(keep)
+        full = keep[np.flatnonzero(_firsts(bag[keep][::-1], 1)[::-1])]  # the last of each bag
+        full = full[np.bincount(bag[keep], minlength=len(self.over))[bag[full]] == self.most]
+        self.over[bag[full]] = v9[full]
+
+    def result(self) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray]:
+        """bag, idx, rid, score, rank"""
+        self.reduce()
+        bag, _, v, at, rank = self.kept[0]
+        score, place, n = self.last
+        other = np.flatnonzero(~np.isin(np.arange(len(place)) * self.rows + place, bag * self.rows + at))
+        at = np.r_[at, place[other]]
+        return np.r_[bag, other], pa.concat_arrays(self.idx).take(at), pa.concat_arrays(self.rid).take(at), np.r_[v, score[other]], np.r_[rank, n[other]]
+
+
+def _searcher(numbers: np.ndarray, slots: np.ndarray, lengths: np.ndarray, words: int, k: int, most: int | None, k1: float, b: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["no", "idx", "rid", "score", "rank", "whole"]
+
+    def rows(bag: np.ndarray, idx: pa.Array, rid: pa.Array, score: np.ndarray, rank: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[bag]), idx, rid, pa.array(score), pa.array(rank.astype(np.int32)), pa.array(np.full(len(bag), whole))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = None if most is None else _Pool(len(numbers), most)
+        for group in _groups(batches):
+            first, docs = group.slice(0, 1).to_pylist()[0], group.slice(1)
+            if not docs.num_rows:
+                continue
+            idf = np.zeros(words)
+            idf[first["ids"] or []] = first["idfs"] or []
+            t = docs.column("t").combine_chunks()
+            term, count = np.frombuffer(b"".join(t.to_pylist()), np.uint32).reshape(-1, 2).T.astype(np.int64)
+            doc = np.repeat(np.arange(len(t)), pc.binary_length(t).to_numpy(zero_copy_only=False) // 8)
+            dl = docs.column("dl").to_numpy()[doc]
+            weight = idf[term] * count * (k1 + 1) / (count + k1 * (1 - b + b * dl / (first["avgdl"] or 1)))
+            b9, best, at = _best_rows(term, doc, weight, len(t), words, slots, lengths, k)
+            idx, rid = docs.column("idx").combine_chunks(), docs.column("rid").combine_chunks()
+            if pool and first["whole"]:
+                pool.add(b9, best, at, idx, rid)
+            else:
+                bag, rank = np.nonzero(at < len(t))
+                yield from rows(bag, idx.take(at[bag, rank]), rid.take(at[bag, rank]), best[bag, rank], rank + 1, first["whole"])
+        if pool and pool.rows:
+            yield from rows(*pool.result(), True)
+
+    return run
+
+
+def bm25_top_k(queries: DataFrame, index: ix.SparseIndex, k: int, most: int | None = None, k1: float = ix.K1, b: float = ix.B, block: int = 8192, part_rows: int = PART_ROWS) -> DataFrame:
+    """(query_id, idx, rid, score, rank): the k best rows per sub-index; rows without a match score 0, the least rid first.
+
+    most: only the `most` best rows of a query over all sub-indexes, and the last one.
+
+    Queries of the same terms (repeated terms count repeatedly) are one bag. The rows of a sub-index, or of a part of a large
+    one, are held in one task against the bags, in blocks: scores of pairs of query and row are neither shuffled nor stored,
+    only the k best (with most: the best of the task's sub-indexes) leave the task."""
+    spark = index.tokens.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *index.tokens.schema]}
+    terms = F.flatten(F.collect_list(tx.bm25_tokens("q")))
+    asked = cut(queries.groupBy("query_id").agg(F.array_join(F.array_sort(terms), " ").alias("bag")))
+    bags = cut(asked.select("bag").distinct().withColumn("no", F.monotonically_increasing_id()))
+    parts = F.ceil(F.col("n") / part_rows).cast("int")
+    stats = broadcast_if_small(index.stats.filter("idx IS NOT NULL").select("idx", "avgdl", parts.alias("parts")), True)
+    docs = index.tokens.join(stats, "idx").select("idx", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"), "rid", "dl", "tokens")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    found = None
+    for rows in blocks_of(bags, "no", block):
+        rows.sort(key=lambda r: -len(r.bag.split()))
+        split = [r.bag.split() for r in rows]
+        vocabulary = sorted({t for bag in split for t in bag})
+        number = {t: i for i, t in enumerate(vocabulary)}
+        lengths = np.array([len(x) for x in split])
+        slots = np.zeros((len(rows), max(1, lengths[0])), np.int32)
+        for i, bag in enumerate(split):
+            slots[i, : len(bag)] = [number[t] for t in bag]
+        coded = docs.mapInArrow(_encoder(vocabulary, pa.schema([(c, pa.null()) for c in ("idx", "part", "rid", "dl", "t")])), f"idx {kinds['idx']}, part int, rid {kinds['rid']}, dl int, t binary")
+        words = spark.createDataFrame(list(number.items()), "term string, id int")
+        given = index.terms.join(F.broadcast(words), "term").groupBy("idx").agg(F.collect_list(F.struct("id", "idf")).alias("w"))
+        heads = stats.join(given, "idx", "left").select("idx", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("head"), "avgdl", (F.col("parts") == 1).alias("whole"), F.col("w.id").alias("ids"), F.col("w.idf").alias("idfs"))
+        both = coded.withColumn("head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+        groups = both.repartition(tasks, "idx", "part").sortWithinPartitions("idx", "part", F.desc("head"), "rid")
+        search = _searcher(np.array([r.no for r in rows]), slots, lengths, len(vocabulary), k, most, k1, b)
+        part = groups.mapInArrow(search, f"no bigint, idx {kinds['idx']}, rid {kinds['rid']}, score double, rank int, whole boolean")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], f"query_id {kinds['query_id']}, idx {kinds['idx']}, rid {kinds['rid']}, score double, rank int")
+    if most is None:
+        top = vec.top_k(found, ["no", "idx"], [desc("score"), F.col("rid")], k, "rank")
+    else:
+        # parts of a large sub-index gave k rows each, and none is left out before its k best are known
+        placed = F.row_number().over(W.partitionBy("no", "idx").orderBy(desc("score"), "rid"))
+        known = found.withColumn("rank", F.when(F.col("whole"), F.col("rank")).otherwise(placed)).filter(F.col("rank") <= k)
+        of = W.partitionBy("no")
+        first, last = F.row_number().over(of.orderBy(desc("score"), "idx", "rid")), F.row_number().over(of.orderBy(F.round("score", 9), F.desc("idx"), F.desc("rid")))
+        top = known.withColumns({"__first": first, "__last": last}).filter((F.col("__first") <= most) | (F.col("__last") == 1))
+    by = broadcast_if_small(asked.join(bags, "bag").select("query_id", "no"))
+    return top.join(by, "no").select("query_id", "idx", "rid", "score", "rank")
 
 
 def page_filter(df: DataFrame, first: int | None, last: int | None) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -88,6 +89,26 @@ def test_bm25_against_naive(spark):
     assert retrieval.bm25_top_k(q.limit(0), index(df), 3).count() == 0 == retrieval.bm25_top_k(q, index(df.limit(0)), 3).count()
 
 
+def stored_bytes(spark):
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+def test_bm25_pairs_are_not_stored(spark):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{w}" for w in rng.zipf(1.3, n) % 40)
+    df = spark.createDataFrame([(i, "st"[i % 3 == 0], text(60)) for i in range(1500)] + [(2000 + i, "u", "") for i in range(3)], "doc_id int, source string, text string").cache()
+    q = spark.createDataFrame([(i, text(6)) for i in range(300)] + [(900, "nowhere"), (901, None), (902, "")], "query_id int, q string").cache()
+    before = stored_bytes(spark)
+    built = index(df)
+    full = {tuple(r) for r in retrieval.bm25_top_k(q, built, 4).collect()}
+    assert stored_bytes(spark) - before < 2_000_000  # 303 x 1,503 scores and the tokens took more
+    assert len(full) == 303 * 11 and {r[1:] for r in full if r[0] == 900} == {r[1:] for r in full if r[0] == 902} == {r[1:] for r in full if r[0] == 901}
+    assert {r[1:] for r in full if r[0] == 900} == {(s, d, 0.0, k) for s, ds in (("s", (1, 2, 4, 5)), ("t", (0, 3, 6, 9)), ("u", (2000, 2001, 2002))) for k, d in enumerate(ds, 1)}
+    place = lambda rows: {(r[0], r[1], r[4]): (r[2], pytest.approx(r[3])) for r in rows}
+    assert {k: (v[0], v[1].expected) for k, v in place(retrieval.bm25_top_k(q, built, 4, block=70, part_rows=90).collect()).items()} == place(full)
+
+
 def test_dense_against_naive(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(-2, 3, (60, 4)).astype(float)
