@@ -20,6 +20,7 @@ from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
 from tessella.functions import vector as vec
+from tessella.session import broadcast_if_small
 
 #: A slice of units (start, n); of a unit that is cut, the characters from `begin` on, `length` of them.
 Slice = tuple[int, int, int, int]
@@ -116,6 +117,13 @@ def latest_by_key(df: DataFrame, key: list[str], version: str) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(version).isNotNull(), version)).alias("__row")).select(*key, "__row.*").select(*df.columns)
 
 
+def latest_of_repeated(df: DataFrame, key: str, version: str) -> DataFrame:
+    """The same rows as `latest_by_key`, where few keys are repeated: only keys and the rows of repeated ones are shuffled."""
+    again = broadcast_if_small(df.groupBy(key).count().filter(F.col("count") > 1).select(key).filter(F.col(key).isNotNull()))
+    several = df.join(again, key, "left_semi").select(df.columns).unionByName(df.filter(F.col(key).isNull()))
+    return df.filter(F.col(key).isNotNull()).join(again, key, "left_anti").select(df.columns).unionByName(latest_by_key(several, [key], version))
+
+
 def unit_text() -> Column:
     """The text of an OCR unit: the items of a list joined by `；`, else the first of text and content that is not blank."""
     items = F.array_join(F.filter(F.transform("items", tx.normalize_space), lambda x: x != ""), "；")

@@ -102,8 +102,8 @@ def best_and_least(df: DataFrame, most: int) -> DataFrame:
     return best.unionByName(least).distinct()
 
 
-#: Rows of a sub-index that one group of a search holds; larger sub-indexes are searched in parts. Cells of a block of scores.
-PART_ROWS, CELLS = 8192, 2_000_000
+#: Cells of a block of scores.
+CELLS = 2_000_000
 #: Rows whose scores are sorted before the rest of a group has to exceed the k-th best.
 FIRST_ROWS = 64
 
@@ -113,20 +113,18 @@ def _encoder(vocabulary: list[str], schema: pa.Schema) -> Callable[[Iterator[pa.
     words = pa.array(vocabulary, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = max(1, len(words))
+        step = max(1, min(1000, CELLS // wide))
         for batch in batches:
-            column = batch.column("tokens")
-            number = pc.index_in(column.flatten(), value_set=words.cast(column.type.value_type)).fill_null(-1).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
-            known = number >= 0
-            number, row, out = number[known], row[known], []
-            step = max(1, CELLS // max(1, len(words)))
+            out = []
             for lo in range(0, batch.num_rows, step):
-                a, b = np.searchsorted(row, (lo, lo + step))
-                count = np.bincount((row[a:b] - lo) * len(words) + number[a:b])
+                column = batch.column("tokens").slice(lo, step)
+                number = pc.index_in(column.flatten(), value_set=words.cast(column.type.value_type)).fill_null(-1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(column)), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+                count = np.bincount(row[number >= 0] * wide + number[number >= 0])
                 at = np.flatnonzero(count)
-                pairs = np.stack([at % max(1, len(words)), count[at]], axis=1).astype(np.uint32)
-                ends = np.searchsorted(at, np.arange(1, min(step, batch.num_rows - lo)) * len(words))
-                out += [x.tobytes() for x in np.split(pairs, ends)]
+                pairs = np.stack([at % wide, count[at]], axis=1).astype(np.uint32)
+                out += [x.tobytes() for x in np.split(pairs, np.searchsorted(at, np.arange(1, len(column)) * wide))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema if f.name != "t"), pa.array(out, pa.binary())], names=schema.names)
 
     return run
@@ -267,7 +265,7 @@ def _searcher(numbers: np.ndarray, slots: np.ndarray, lengths: np.ndarray, words
     return run
 
 
-def bm25_top_k(queries: DataFrame, index: ix.SparseIndex, k: int, most: int | None = None, k1: float = ix.K1, b: float = ix.B, block: int = 8192, part_rows: int = PART_ROWS) -> DataFrame:
+def bm25_top_k(queries: DataFrame, index: ix.SparseIndex, k: int, most: int | None = None, k1: float = ix.K1, b: float = ix.B, block: int = 8192, part_rows: int = ix.PART_ROWS) -> DataFrame:
     """(query_id, idx, rid, score, rank): the k best rows per sub-index; rows without a match score 0, the least rid first.
 
     most: only the `most` best rows of a query over all sub-indexes, and the last one.

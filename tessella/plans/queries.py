@@ -597,10 +597,11 @@ def registry_build_index(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
     """The sparse index of meta is written by kind and year; a search reads the folders of one kind and year only."""
-    rows = meta(spark, d, "index_dir", "rid", "embed_text", "doc_meta")
+    given = table(spark, d, "meta").select("id", "index_dir", "rid", "embed_text", F.struct("doc_meta.doc_type", "doc_meta.year").alias("doc_meta"), "loaded_at")
+    rows = chunking.latest_of_repeated(given, "id", "loaded_at")
     folder = shared_folder(spark, "index")
     facts = rows.groupBy(F.col("index_dir").alias("idx")).agg(F.max("doc_meta.doc_type").alias("doc_type"), F.max("doc_meta.year").alias("year"))
-    ix.SparseIndex.build(rows, "index_dir", "rid", "embed_text").write(folder, cut(facts))
+    ix.SparseIndex.store(rows, "index_dir", "rid", "embed_text", cut(facts), folder)
     stored = ix.SparseIndex.read(spark, folder, (F.col("doc_type") == "report") & (F.col("year") == 2021))
     top = retrieval.bm25_top_k(table(spark, d, "queries").select("query_id", F.col("query_text").alias("q")), stored, 3, 20)
     return top.select("query_id", "idx", "rid", F.round("score", 6).alias("score"), "rank")

@@ -125,6 +125,40 @@ def test_dense_against_naive(spark):
     assert retrieval.dense_top_k(q.limit(0), df, 4).count() == 0
 
 
+def test_index_is_stored_without_shuffled_terms(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{w}" for w in rng.zipf(1.2, n) % 3000)
+    df = spark.createDataFrame([(f"a document of reports, number {i // 5:04}", i % 5, text(int(rng.integers(0, 80)))) for i in range(3000)] + [(None, 0, "w1")], "idx string, rid int, text string").cache()
+    facts = df.select("idx").distinct().select("idx", F.when(F.col("idx") < "a document of reports, number 0500", "report").alias("doc_type"), F.when(F.col("idx") > "a document of reports, number 0100", 2021).alias("year"))
+    before = stored_bytes(spark)
+    ix.SparseIndex.store(df, "idx", "rid", "text", facts, str(tmp_path / "stored"))
+    assert stored_bytes(spark) - before < 200_000  # only facts are kept; tokens, terms and frequencies took megabytes
+    assert {p.name for p in (tmp_path / "stored/terms").iterdir() if p.is_dir()} == {"doc_type=report", "doc_type=__HIVE_DEFAULT_PARTITION__"}
+    built = ix.SparseIndex.build(df, "idx", "rid", "text")
+    with monkeypatch.context() as m:
+        m.setattr(ix, "PART_ROWS", 1)  # as for an index with a large sub-index
+        ix.SparseIndex.store(df.filter("idx < 'a document of reports, number 0002'"), "idx", "rid", "text", facts, str(tmp_path / "large"))
+    assert ix.SparseIndex.read(spark, str(tmp_path / "large")).stats.count() == 2
+    got = ix.SparseIndex.read(spark, str(tmp_path / "stored"))
+    for name in ("tokens", "terms", "stats"):
+        rows = lambda x: sorted((tuple(round(v, 9) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v for v in r) for r in getattr(x, name).filter("idx IS NOT NULL").select(*sorted(getattr(built, name).columns)).collect()), key=str)
+        assert rows(got) == rows(built)
+
+
+def test_most_keeps_the_last_row_of_all(spark):
+    # 30 sub-indexes, none but the first of which has the term: the last row is that of the last sub-index
+    rows = spark.createDataFrame([(f"d{i:02}", r, "x y z" if i else f"a x{r}") for i in range(30) for r in range(4)], "idx string, rid int, text string")
+    q = spark.createDataFrame([(1, "a"), (2, "y"), (3, "none")], "query_id int, q string")
+    built = ix.SparseIndex.build(rows, "idx", "rid", "text")
+    full = retrieval.bm25_top_k(q, built, 3).collect()
+    want = set()
+    for n in (1, 2, 3):
+        own = sorted((r for r in full if r.query_id == n), key=lambda r: (-round(r.score, 9), r.idx, r.rid))
+        want |= {tuple(r) for r in own[:5] + own[-1:]}
+    for part_rows in (2, 100):
+        assert {tuple(r) for r in retrieval.bm25_top_k(q, built, 3, 5, part_rows=part_rows).collect()} == want
+
+
 ROWS = [("r21", "report", "2021"), ("ru", "report", "unknown"), ("n21", "notice", "2021"), ("n22", "notice", "2022"), ("x", None, "2021")]
 ROUTES = [
     ("report", [2021], None, {"r21"}, {"r21"}), ("report", [2030], None, {"r21", "ru", "n21", "n22"}, {"ru"}), ("report", [], None, set(), {"ru"}), ("notice", [], None, "all", "all"),
