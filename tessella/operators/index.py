@@ -87,9 +87,7 @@ def terms_of_whole(tokens: DataFrame, *more: str, epsilon: float = EPSILON) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(lo, 2000) for b in batches for lo in range(0, b.num_rows, 2000)):
             idx = batch.column("idx")
             new = 1 + np.flatnonzero(pc.not_equal(idx.slice(1), idx.slice(0, len(idx) - 1)).to_numpy(zero_copy_only=False))
             last = int(new[-1]) if len(new) else 0  # the sub-index of the last rows may go on

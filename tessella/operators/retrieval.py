@@ -172,11 +172,13 @@ def _best_rows(term: np.ndarray, doc: np.ndarray, weight: np.ndarray, m: int, wo
                 r = int(np.searchsorted(-own, -j))  # bags of more than j terms
                 score[c : c + r] += w.take(slots[c : c + r, j], axis=0)
         s9 = np.rint(score * 1e9)
-        if lo:  # rows come by rid, so that a later one has to be better
-            row, col = np.nonzero(s9 > b9[:, -1:])
-        else:
-            col = np.argsort(-s9, axis=1, kind="stable")[:, :k]
-            row, col = np.repeat(np.arange(bags), col.shape[1]), col.ravel()
+        if not lo:
+            first = np.argsort(-s9, axis=1, kind="stable")[:, :k]
+            own = slice(0, first.shape[1])
+            b9[:, own], best[:, own], at[:, own] = np.take_along_axis(s9, first, 1), np.take_along_axis(score, first, 1), first
+            lo = hi
+            continue
+        row, col = np.nonzero(s9 > b9[:, -1:])  # rows come by rid, so that a later one has to be better
         if len(row):
             hit = row[np.r_[True, row[1:] != row[:-1]]]
             bag, v9 = np.r_[np.repeat(hit, k), row], np.r_[b9[hit].ravel(), s9[row, col]]
@@ -192,7 +194,7 @@ class _Pool:
     """The `most` best rows of each bag among the sub-indexes of a task, and the last one; sub-indexes come in order."""
 
     def __init__(self, bags: int, most: int):
-        self.most, self.limit, self.rows = most, max(1_000_000, 2 * bags * most), 0
+        self.most, self.limit, self.rows = most, max(200_000, 2 * bags * most), 0
         self.over, self.least = np.full(bags, -np.inf), np.full(bags, np.inf)
         self.last = [np.zeros(bags), np.zeros(bags, int), np.zeros(bags, int)]  # score, position, rank
         self.kept: list[tuple[np.ndarray, ...]] = []
@@ -265,7 +267,7 @@ def _searcher(numbers: np.ndarray, slots: np.ndarray, lengths: np.ndarray, words
     return run
 
 
-def bm25_top_k(queries: DataFrame, index: ix.SparseIndex, k: int, most: int | None = None, k1: float = ix.K1, b: float = ix.B, block: int = 8192, part_rows: int = ix.PART_ROWS) -> DataFrame:
+def bm25_top_k(queries: DataFrame, index: ix.SparseIndex, k: int, most: int | None = None, k1: float = ix.K1, b: float = ix.B, block: int = 16384, part_rows: int = ix.PART_ROWS) -> DataFrame:
     """(query_id, idx, rid, score, rank): the k best rows per sub-index; rows without a match score 0, the least rid first.
 
     most: only the `most` best rows of a query over all sub-indexes, and the last one.
